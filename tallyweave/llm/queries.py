@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import neighbours, pieces, quantiles, tokens
+from tallyweave.llm import derived, neighbours, parsing, pieces, quantiles, tokens
 from tallyweave.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 0").select("repo", "id").distinct()
 
 
+def p3_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.derived_files(table(spark, sf_dir, "walked_files"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_derived(spark, sf_dir).select("repo", "rel_path").distinct()
+
+
+def p5_unparsable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.unparsable(table(spark, sf_dir, "walked_files"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_unparsable(spark, sf_dir).select("repo", "rel_path").distinct()
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.rates(parsing.judge_files(table(spark, sf_dir, "walked_files")))
+
+
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "file_vectors"))
 
@@ -40,6 +60,11 @@ QUERIES: dict[str, Query] = {
     "p1_percentiles": p1_percentiles,
     "p2_pieces": p2_pieces,
     "p2_found": p2_found,
+    "p3_derived": p3_derived,
+    "p3_found": p3_found,
+    "p5_unparsable": p5_unparsable,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_neighbours": p6_neighbours,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
