@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import derived, neighbours, parsing, pieces, quantiles, tokens
+from tallyweave.llm import derived, neighbours, parsing, pieces, quantiles, tokens, truncation
 from tallyweave.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judge(table(spark, sf_dir, "documents")).where("truncated").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(truncation.judge(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "p1_percentiles": p1_percentiles,
     "p2_pieces": p2_pieces,
@@ -68,6 +76,8 @@ QUERIES: dict[str, Query] = {
     "p6_neighbours": p6_neighbours,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
 }
 
 SQL: dict[str, str] = {
