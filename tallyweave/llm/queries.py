@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import derived, neighbours, parsing, pieces, quantiles, tokens, truncation
+from tallyweave.llm import derived, leaks, neighbours, parsing, pieces, quantiles, tokens, truncation
 from tallyweave.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(p8_leaks(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.judge(table(spark, sf_dir, "documents")).where("truncated").select("doc_id").distinct()
 
@@ -76,6 +88,9 @@ QUERIES: dict[str, Query] = {
     "p6_neighbours": p6_neighbours,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p8_leaks": p8_leaks,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
     "p9_found": p9_found,
     "p9_rates": p9_rates,
 }
