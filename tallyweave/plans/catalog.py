@@ -1,51 +1,8 @@
-"""Registered queries of the core operators with their SQL."""
+"""All registered queries of the core: importing this module fills the registry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyweave.plans import analytics, ingest, names, quality, retrieval  # noqa: F401
+from tallyweave.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tallyweave.operators import orphans
-from tallyweave.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under ``name``, with the SQL that gives the same rows."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-@query("p4_found", """
-    SELECT DISTINCT l.repo, l.src_chunk_id, l.kind, l.name, l.line, f.field
-    FROM (SELECT DISTINCT repo, src_chunk_id, kind, name, line, indexed_at, dst_chunk_id, norm FROM links) l
-    CROSS JOIN (VALUES ('src_chunk_id'), ('dst_chunk_id'), ('norm')) f(field)
-    WHERE (f.field = 'src_chunk_id' AND l.src_chunk_id IS NOT NULL AND NOT EXISTS (
-              SELECT 1 FROM chunks c WHERE c.repo = l.repo AND c.id = l.src_chunk_id
-                 AND c.deleted_at IS NULL AND c.indexed_at <= l.indexed_at))
-       OR (f.field = 'dst_chunk_id' AND l.dst_chunk_id IS NOT NULL AND NOT EXISTS (
-              SELECT 1 FROM chunks c WHERE c.repo = l.repo AND c.id = l.dst_chunk_id
-                 AND c.deleted_at IS NULL AND c.indexed_at <= l.indexed_at))
-       OR (f.field = 'norm' AND l.norm IS NOT NULL AND l.kind = 'mentions' AND NOT EXISTS (
-              SELECT 1 FROM links a WHERE a.kind IN ('defines', 'declares') AND a.norm = l.norm))
-""")
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = orphans.orphan_links(table(spark, sf_dir, "links"), table(spark, sf_dir, "chunks"))
-    return rows.where(F.col("origin") == "direct").select("repo", "src_chunk_id", "kind", "name", "line", "field").distinct()
-
-
-@query("p4_report")
-def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.orphan_report(orphans.orphan_links(table(spark, sf_dir, "links"), table(spark, sf_dir, "chunks")))
+__all__ = ["QUERIES", "SQL"]
