@@ -32,7 +32,7 @@ SALTS = 32
 
 @dataclass(frozen=True)
 class Reference:
-    """``child`` columns point at ``parent`` key columns.
+    """``child`` columns point at ``parent`` key columns; the last one is the reference itself.
 
     ``child_where``: which child records hold this reference at all.
     ``parents``: the parent table, of which only ``parent_keys``, ``parent_since``
@@ -77,10 +77,13 @@ def _lookup(refs: DataFrame, keys: list[str], parents: DataFrame, hot: DataFrame
 
 
 def _references(children: DataFrame, record: Sequence[str], ref: Reference) -> DataFrame:
-    """(__child, __at, k0..): the non-null references of the distinct records."""
+    """(__child, __at, k0..): the records whose last key column, the reference, is not null.
+
+    A null in the columns before it (a scope, such as the repository) matches no
+    parent, so such a reference leads to nothing.
+    """
     rows = children if ref.child_where is None else children.where(ref.child_where)
-    for c in ref.child_keys:
-        rows = rows.where(F.col(c).isNotNull())
+    rows = rows.where(F.col(ref.child_keys[-1]).isNotNull())
     at = F.col(ref.child_at) if ref.child_at else F.lit(None).cast("timestamp")
     keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(ref.child_keys)]
     return rows.select(F.struct(*record).alias("__child"), at.alias("__at"), *keys)
