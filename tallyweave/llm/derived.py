@@ -33,6 +33,7 @@ from tallyweave.session import spread
 
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*")
 _DIGITS = re.compile(r"(?:0x)?[0-9a-f]*\d[0-9a-f]*|\d+", re.IGNORECASE)
+_HAS_DIGIT = re.compile(r"\d").search
 _COMMENT = re.compile(r"^\s*(?://+!?|#+!?|/\*+!?|<!--+|\*+|--|;+|%|\"\"\"|''')\s?")
 
 #: What a tool writes at the head of its output, in the languages of the workspace.
@@ -83,15 +84,11 @@ TEMPLATE_NAMES = 8
 HEAD_LINES = 12
 
 
-def _shape(name: str) -> str:
-    """Letters as they are in lower case; other scripts as one letter."""
-    return "".join(c if c.isascii() else "~" for c in name.lower())
-
-
-def trigrams(name: str) -> Iterator[str]:
-    s = f"^{_shape(name)}$"
-    s = "^" + s
-    return (s[i : i + 3] for i in range(len(s) - 2))
+def trigrams(name: str) -> list[str]:
+    """Trigrams of a name in lower case; letters outside ASCII count as one letter."""
+    s = name.lower() if name.isascii() else "".join(c if c.isascii() else "~" for c in name.lower())
+    s = f"^^{s}$"
+    return [s[i : i + 3] for i in range(len(s) - 2)]
 
 
 def style_of(name: str) -> str:
@@ -104,15 +101,17 @@ def style_of(name: str) -> str:
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
+    counts: dict[str, dict[str, int]] = {}
     names: Counter = Counter()
 
     def fold() -> None:
         for (lang, name), n in names.items():
+            own = counts.setdefault(lang, {})
             for g in trigrams(name):
-                counts[lang, g] += n
+                own[g] = own.get(g, 0) + n
             if len(name) > 4:
-                counts[lang, "style " + style_of(name)] += n
+                style = "style " + style_of(name)
+                own[style] = own.get(style, 0) + n
         names.clear()
 
     for pdf in batches:
@@ -123,7 +122,26 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(names) > 200_000:
             fold()
     fold()
-    yield pd.DataFrame([(g, k, n) for (g, k), n in counts.items()], columns=["lang", "gram", "n"])
+    yield pd.DataFrame([(lang, g, n) for lang, own in counts.items() for g, n in own.items()], columns=["lang", "gram", "n"])
+
+
+class _Costs(dict):
+    """Trigram -> bits, each worked out once."""
+
+    def __init__(self, model: NameModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def __reduce__(self):
+        return _Costs, (self.model,)
+
+    def __missing__(self, g: str) -> float:
+        m = self.model
+        p1 = (m.uni[g[2]] + 0.5) / (m.total + 32)
+        p2 = (m.bi[g[1:]] + 4 * p1) / (m.context[g[1]] + 4)
+        p3 = (m.tri.get(g, 0) + 4 * p2) / (m.pair[g[:2]] + 4)
+        out = self[g] = -math.log2(p3)
+        return out
 
 
 class NameModel:
@@ -139,21 +157,17 @@ class NameModel:
             self.context[g[1]] += n
             self.uni[g[2]] += n
         self.total = sum(self.uni.values()) or 1
+        self.named = sum(self.styles.values())
+        self.cost = _Costs(self)
 
     def bits(self, name: str) -> float:
         """Mean bits per character, the end of the name included."""
-        total, n = 0.0, 0
-        for g in trigrams(name):
-            p1 = (self.uni[g[2]] + 0.5) / (self.total + 32)
-            p2 = (self.bi[g[1:]] + 4 * p1) / (self.context[g[1]] + 4)
-            p3 = (self.tri.get(g, 0) + 4 * p2) / (self.pair[g[:2]] + 4)
-            total -= math.log2(p3)
-            n += 1
-        return total / n
+        grams = trigrams(name)
+        return sum(map(self.cost.__getitem__, grams)) / len(grams)
 
     def foreign(self, style: str) -> bool:
         """Whether fewer than one in fifty names of the language has the style."""
-        return self.styles.get(style, 0) * 50 < sum(self.styles.values())
+        return self.styles.get(style, 0) * 50 < self.named
 
 
 def train(files: DataFrame) -> dict[str, NameModel]:
@@ -234,25 +248,29 @@ def content_signs(text: str, lang: str | None, model: NameModel | None, memory:
         out.append("data: literals")
     names = _IDENT.findall(text)
     if len(names) >= 20 and model is not None:
-        distinct = set(names)
-        bare = Counter(_DIGITS.sub("0", n) for n in distinct if any(map(str.isdigit, n)))
+        distinct = Counter(names)
+        bare = Counter(_DIGITS.sub("0", n) for n in distinct if _HAS_DIGIT(n))
         alike = max(bare.values(), default=0)
         if alike >= TEMPLATE_NAMES and alike >= TEMPLATE_SHARE * len(distinct):
             out.append("generated: template names")
         mangled = used = foreign = styled = 0
-        for n in names:
-            if len(n) > 200:
+        judged = memory.setdefault(lang, {})
+        if len(judged) > 200_000:
+            judged.clear()
+        for n, times in distinct.items():
+            size_ = len(n)
+            if size_ > 200:
                 continue
-            known = memory.get((lang, n))
+            known = judged.get(n)
             if known is None:
-                if len(memory) > 500_000:
-                    memory.clear()
-                known = memory[lang, n] = (model.bits(n) > MANGLED_BITS, len(n) > 4 and model.foreign(style_of(n)))
-            used += 1
-            mangled += known[0]
-            if len(n) > 4:
-                styled += 1
-                foreign += known[1]
+                known = judged[n] = (model.bits(n) > MANGLED_BITS, size_ > 4 and model.foreign(style_of(n)))
+            used += times
+            if known[0]:
+                mangled += times
+            if size_ > 4:
+                styled += times
+                if known[1]:
+                    foreign += times
         # Squeezed text: a mangled file has hardly any white space or very long lines.
         squeezed = text.count(" ") + text.count("\n") + text.count("\t") < 0.08 * size or size > 400 * (text.count("\n") + 1)
         if used and mangled >= MANGLED_SHARE * used and squeezed:
