@@ -286,7 +286,7 @@ def judge(docs: DataFrame) -> DataFrame:
     mark = (
         F.when(F.col("marker").isNull(), F.lit(0.0))
         .when((share >= MARKER_SHARE) & limit_marks, F.when(F.col("at_limit") > 0.5, F.lit(4.0)).otherwise(F.lit(-8.0)))
-        .when(share >= MARKER_SHARE, F.lit(4.0))
+        .when(share >= MARKER_SHARE, F.when(F.col("kind") == "sentence", F.lit(10.0)).otherwise(F.lit(4.0)))
         .otherwise(F.lit(-8.0))
     )
     declared = F.when(F.col("declared") > F.greatest("chars", "bytes") + 4, F.lit(DECLARED_MORE)).otherwise(F.lit(0.0))
