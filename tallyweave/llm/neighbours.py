@@ -138,7 +138,8 @@ def _matrix(column: pd.Series, dim: int) -> np.ndarray:
 def _search_block(k: int, relax: float, dim: int):
     def run(key, shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(block):
-            return pd.DataFrame({"rep": [], "others": [], "cos": []})
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({"rep": pd.Series([], dtype="int64"), "others": none, "cos": none})
         shard = shard.sort_values("rep")
         tree = Tree(_matrix(shard["unit"], dim))
         # One more than k, since a query finds itself in its own shard.
