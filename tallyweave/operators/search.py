@@ -64,21 +64,23 @@ def lexical(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def _block_search(k: int, dim: int):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": [], "row_id": [], "similarity": []})
+            return pd.DataFrame({"query_id": queries["query_id"].iloc[:0], "row_id": rows["row_id"].iloc[:0], "similarity": np.zeros(0)})
         q = np.stack(queries["vector"].to_numpy()).astype(np.float64)
         r = np.stack(rows["vector"].to_numpy()).astype(np.float64)
         q /= np.linalg.norm(q, axis=1, keepdims=True)
         r /= np.linalg.norm(r, axis=1, keepdims=True)
         ids = rows["row_id"].to_numpy()
         sims = q @ r.T
-        out = []
+        owners, found, scores = [], [], []
         for own, s in zip(queries["query_id"].tolist(), sims, strict=True):
             s = np.where(ids == own, -np.inf, s)
             # All ties of the k-th place stay, so that the merge can order them.
             least = np.partition(s, -min(k, len(s)))[-min(k, len(s))]
             top = np.nonzero((s >= least - 1e-9) & np.isfinite(s))[0]
-            out.append(pd.DataFrame({"query_id": own, "row_id": ids[top], "similarity": s[top]}))
-        return pd.concat(out, ignore_index=True)
+            owners += [own] * len(top)
+            found += ids[top].tolist()
+            scores += s[top].tolist()
+        return pd.DataFrame({"query_id": owners, "row_id": found, "similarity": scores})
 
     return run
 
