@@ -28,6 +28,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("origin") == "direct").select("repo", "src_chunk_id", "kind", "name", "line", "field").distinct()
 
 
-@query("p4_report")
+@query("p4_report", """
+    WITH l AS (SELECT DISTINCT repo, src_chunk_id, kind, name, line, indexed_at, dst_chunk_id, norm FROM links),
+    c AS (SELECT repo, id, min(indexed_at) AS since FROM chunks WHERE deleted_at IS NULL AND repo IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+    o AS (SELECT l.*, l.src_chunk_id IS NOT NULL AND NOT coalesce(s.since <= l.indexed_at, false) AS bad_src, l.dst_chunk_id IS NOT NULL AND NOT coalesce(d.since <= l.indexed_at, false) AS bad_dst
+        FROM l LEFT JOIN c s ON s.repo = l.repo AND s.id = l.src_chunk_id LEFT JOIN c d ON d.repo = l.repo AND d.id = l.dst_chunk_id),
+    dead AS (SELECT DISTINCT repo, src_chunk_id, kind, name, line, indexed_at FROM o WHERE bad_src OR bad_dst),
+    a AS (SELECT DISTINCT norm FROM l WHERE kind IN ('defines', 'declares') AND norm IS NOT NULL),
+    b AS (SELECT DISTINCT norm FROM l WHERE kind IN ('defines', 'declares') AND norm IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dead x WHERE x.repo IS NOT DISTINCT FROM l.repo
+        AND x.src_chunk_id IS NOT DISTINCT FROM l.src_chunk_id AND x.kind = l.kind AND x.name IS NOT DISTINCT FROM l.name AND x.line IS NOT DISTINCT FROM l.line AND x.indexed_at IS NOT DISTINCT FROM l.indexed_at)),
+    r AS (SELECT DISTINCT 'src_chunk_id' AS field, 'direct' AS origin, repo, src_chunk_id, kind, name, line, indexed_at FROM o WHERE bad_src
+        UNION ALL SELECT DISTINCT 'dst_chunk_id', 'direct', repo, src_chunk_id, kind, name, line, indexed_at FROM o WHERE bad_dst
+        UNION ALL SELECT DISTINCT 'norm', CASE WHEN norm IN (SELECT norm FROM a) THEN 'inherited' ELSE 'direct' END, repo, src_chunk_id, kind, name, line, indexed_at FROM l WHERE kind = 'mentions' AND norm IS NOT NULL AND norm NOT IN (SELECT norm FROM b))
+    SELECT field, repo, strftime(indexed_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(CASE WHEN origin = 'direct' THEN 1 END) AS direct_orphans, count(CASE WHEN origin = 'inherited' THEN 1 END) AS inherited_orphans
+    FROM r GROUP BY ALL
+""")
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(orphans.orphan_links(table(spark, sf_dir, "links"), table(spark, sf_dir, "chunks")))
