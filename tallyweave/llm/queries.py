@@ -96,5 +96,10 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "p6_found": """WITH u AS (SELECT DISTINCT vec_id, vector FROM file_vectors WHERE len(vector) = 64
+            AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+        s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+        SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE c >= 0.95 AND k <= 10""",
     "p2_found": "SELECT DISTINCT repo, id FROM chunks WHERE length(text) > 900",
 }
