@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import numbers as N
 from tallyweave.functions import text as T
+from tallyweave.session import cut
 
 #: Okapi parameters and the constant of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Up to so many query terms are sent to every executor.
+MOST_TERMS = 200_000
 #: At most this share of an answer is history.
 COMMIT_SHARE = 0.2
 
@@ -34,15 +37,17 @@ def postings(chunks: DataFrame) -> DataFrame:
 def lexical(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """BM25 top k per query: (query_id, repo, id, score, rank).
 
-    Only postings of query terms are kept before they are counted; document
-    frequencies and lengths come from all chunks.
+    Only postings of query terms are kept, before they are counted, and are read
+    once for frequencies and scores; lengths come from all chunks.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query_text")))).alias("term"))
     docs = chunks.where(F.col("kind") != "commit").select("repo", "id", T.tokens(F.col("text")).alias("words"))
     docs = docs.withColumn("length", F.size("words"))
     stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
     wanted = terms.select("term").distinct()
-    hits = (
+    if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        wanted = F.broadcast(wanted)  # a few MB at most; more terms meet the words in a shuffle
+    hits = cut(
         docs.select("repo", "id", "length", F.explode("words").alias("term"))
         .join(wanted, "term", "left_semi")
         .groupBy("term", "repo", "id", "length")
