@@ -78,7 +78,7 @@ def _python(text: str) -> None:
 
 def _yaml(text: str) -> None:
     if yaml is not None:
-        for _ in yaml.parse(text, Loader=_YAML_LOADER):
+        for _ in yaml.compose_all(text, Loader=_YAML_LOADER):
             pass
         return
     for line in text.splitlines():
