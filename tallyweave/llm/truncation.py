@@ -75,7 +75,8 @@ def ending(text: str) -> tuple[str, str | None, str | None, bool]:
     while last.startswith(">"):
         last = last[1:].lstrip()
     own = len(lines) == 1 or not lines[-2].strip(" \r\t>")
-    closing = whole[len(body) - len(lines[-1]) :].strip()[:120] if own or (len(lines) > 1 and lines[-2].strip() == "--") else None
+    # A short line of its own may be how many texts close.
+    closing = whole[len(body) - len(lines[-1]) :].strip() if own and len(lines[-1]) <= 80 else None
     if body.endswith("�"):
         return "broken", None, marker, own
     fence = None
@@ -281,7 +282,7 @@ def judge(docs: DataFrame) -> DataFrame:
     word = F.when((F.col("kind") == "list") & rich & (F.coalesce("word_n", F.lit(0)) < F.greatest(F.lit(1), F.col("all_words") * 0.00005)), F.lit(UNKNOWN_WORD)).otherwise(F.lit(0.0))
     new_form = F.when(F.col("form").isNotNull() & (F.col("all_forms") >= 100) & (F.coalesce("form_n", F.lit(0)) < F.greatest(F.lit(2), F.col("all_forms") * 0.001)), F.lit(UNKNOWN_FORM)).otherwise(F.lit(0.0))
     closing = F.when(F.col("closing_n") >= F.greatest(F.lit(3.0), F.col("all_texts") * CLOSING_SHARE), F.lit(KNOWN_CLOSING)).otherwise(F.lit(0.0))
-    limit_marks = F.col("marker_at_limit") >= 0.5 * F.col("marker_n")
+    limit_marks = F.col("marker_at_limit") >= 0.9 * F.col("marker_n")
     share = F.col("marker_n") / F.col("source_n")
     mark = (
         F.when(F.col("marker").isNull(), F.lit(0.0))
