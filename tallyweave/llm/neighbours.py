@@ -39,8 +39,8 @@ from tallyweave.session import cut
 K = 10
 DIM = 64
 #: Pruning is relaxed by this factor. Distances in 64 dimensions lie close together,
-#: so factors below 4 prune next to nothing; at 5 about one true neighbour in a
-#: hundred is missed, at 8 one in twenty.
+#: so factors below 4 prune next to nothing; at 5 about three true neighbours in a
+#: thousand are missed, at 8 one in twenty.
 RELAX = 5.0
 SHARD_ROWS = 8192
 LEAF_ROWS = 512
