@@ -6,9 +6,9 @@ Each file is then judged by
     * mangled names: identifiers whose cross-entropy under the model is high
     * template-like names: few distinct names once numbers are taken out
     * a naming style foreign to its language in this workspace
-together with what its head comment, its path and its shape say (generator and
-licence banners, vendor and output folders, lock files, literals and number
-tables that fill the file).
+together with what its outermost comments, its path and its shape say (generator
+and licence banners at the head, at the foot or between, vendor and output
+folders, lock files, literals and number tables that fill the file).
 
 Defined results for odd input
     * null content: judged by its path alone; empty content: likewise
@@ -20,8 +20,10 @@ Defined results for odd input
 
 from __future__ import annotations
 
+import io
 import math
 import re
+import tokenize
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.lexing import CODE, STATES, brackets, lex
 from tallyweave.session import spread
 
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*")
@@ -81,7 +84,20 @@ MANGLED_BITS = 4.2
 MANGLED_SHARE, TEMPLATE_SHARE, DATA_SHARE, FOREIGN_SHARE = 0.5, 0.3, 0.5, 0.8
 #: So many names that differ in nothing but numbers make a template.
 TEMPLATE_NAMES = 8
-HEAD_LINES = 12
+
+_SLASHES, _HASHES, _DASHES, _MARKUP = r"//[^\n]*|/\*[\s\S]*?\*/[ \t\r]*$", r"#[^\n]*", r"--[^\n]*|/\*[\s\S]*?\*/[ \t\r]*$", r"<!--[\s\S]*?-->[ \t\r]*$"
+#: How a comment that begins a line looks, by language; other languages: any of them.
+_OWN_LINE = {
+    **dict.fromkeys(("python", "yaml", "toml", "bash", "shell", "ruby", "dockerfile", "makefile", "elixir", "perl", "r"), _HASHES),
+    **dict.fromkeys((*STATES, "tsx", "c", "cpp", "csharp", "kotlin", "swift", "scala", "objc", "css", "json"), _SLASHES),
+    **dict.fromkeys(("php", "hcl"), rf"{_SLASHES}|{_HASHES}"), "sql": _DASHES, **dict.fromkeys(("markdown", "html", "xml", "vue", "svelte"), _MARKUP),
+}
+_OWN_LINE = {g: re.compile(rf"^(?:{p})", re.MULTILINE) for g, p in _OWN_LINE.items()}
+_ANY_OWN_LINE = re.compile(rf"^(?:{_SLASHES}|{_HASHES}|--[^\n]*|{_MARKUP}|[;%][^\n]*)", re.MULTILINE)
+#: Texts inside a file of the languages without a lexer here: here-documents, long strings, fences.
+_QUOTED = re.compile(r"<<[-~]?[ \t]*(['\"]?)(\w+)\1[^\n]*\n(?:[\s\S]*?\n)??[ \t]*\2[ \t\r]*$|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|^```[\s\S]*?^```", re.MULTILINE)
+#: Code that a comment above it does not describe.
+_OPENING = re.compile(r"(?:import|from|package|use|using|require|include|#include|module|namespace)\b|[\"']use strict|#!")
 
 
 def trigrams(name: str) -> list[str]:
@@ -190,17 +206,17 @@ def train(files: DataFrame) -> dict[str, NameModel]:
     return {g: NameModel(c) for g, c in by_lang.items()}
 
 
-def head_comments(text: str, lines: int = HEAD_LINES) -> list[str]:
-    """The comment lines before the first code of a file."""
-    out, inside = [], False
-    for line in text[:20_000].split("\n", lines)[:lines]:
-        s = line.strip()
-        if not s:
-            continue
-        if s.startswith(("<<<<<<<", "=======", ">>>>>>>", "|||||||", "@@")):
-            continue
-        s = s.lstrip("+") if s.startswith("+") else s
-        if inside or _COMMENT.match(s):
+def head_comments(text: str) -> tuple[list[str], int]:
+    """The comment lines before the first code of a file, and where that code begins."""
+    out, inside, at = [], False, 0
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        s = text[at:end].strip()
+        if s and not s.startswith(("<<<<<<<", "=======", ">>>>>>>", "|||||||", "@@")):
+            s = s.lstrip("+") if s.startswith("+") else s
+            if not (inside or _COMMENT.match(s)):
+                break
             out.append(s)
             if s.startswith("/*") and "*/" not in s:
                 inside = True
@@ -208,8 +224,64 @@ def head_comments(text: str, lines: int = HEAD_LINES) -> list[str]:
                 inside = False
                 if s.rstrip().endswith("*/") is False and not s.startswith("/*"):
                     break
+        at = end + 1
+    return out, at
+
+
+def _outermost(text: str, lang: str, at: int) -> bool:
+    """Whether a line that begins at ``at`` lies in no string, comment or bracket."""
+    if lang in STATES:
+        before = lex(lang, text[:at])
+        return before.error is not None or (before.state == CODE and not brackets(before.tokens)[1])
+    if lang == "python":
+        line, depth = text.count("\n", 0, at) + 1, 0
+        try:
+            for t in tokenize.generate_tokens(io.StringIO(text, newline="\n").readline):
+                if t.end[0] >= line and t.start[0] <= line:
+                    return t.type == tokenize.COMMENT and depth == 0
+                if t.type == tokenize.OP:
+                    depth += (t.string in "([{") - (t.string in ")]}")
+        except (tokenize.TokenError, SyntaxError):
+            pass  # no valid file: what stands at the margin counts
+        return True
+    return not any(m.start() < at < m.end() for m in _QUOTED.finditer(text))
+
+
+def _says(line: str) -> str | None:
+    if BY_HAND.search(line):
+        return None
+    if GENERATED.search(line):
+        return "generated: banner"
+    return "vendored: banner" if VENDORED.match(line) or PATCHED.match(line) else None
+
+
+def banners(text: str, lang: str | None) -> list[str]:
+    """Signs of the comments before the code, and of those that stand on their own behind it.
+
+    Behind the first code a comment counts at the outermost level and at the
+    margin, unless it leads straight into code other than imports: it then speaks
+    of that code, not of the file.
+    """
+    head, rest = head_comments(text)
+    out = [s for s in map(_says, head) if s]
+    for m in _OWN_LINE.get(lang, _ANY_OWN_LINE).finditer(text, rest):
+        said = next((s for s in map(_says, map(str.strip, m.group().split("\n"))) if s), None)
+        if said is None or said in out:
             continue
-        break
+        own = _OWN_LINE.get(lang, _ANY_OWN_LINE)
+        end, last = m.end(), m
+        while last:
+            end = last.end()
+            last = own.match(text, end + 1) if end + 1 < len(text) else None
+        following = text[end + 1 : end + 200].split("\n", 1)[0]
+        if following.strip() and not _OPENING.match(following):
+            continue
+        if lang == "python":
+            code = re.compile(r"^(?![ \t\r]*(?:#|$)).", re.MULTILINE).search(text, end)
+            if code and code.group() in " \t":
+                continue
+        if _outermost(text, lang or "", m.start()):
+            out.append(said)
     return out
 
 
@@ -231,14 +303,7 @@ def path_signs(path: str | None) -> list[str]:
 
 
 def content_signs(text: str, lang: str | None, model: NameModel | None, memory: dict) -> list[str]:
-    out = []
-    for line in head_comments(text):
-        if BY_HAND.search(line):
-            continue
-        if GENERATED.search(line):
-            out.append("generated: banner")
-        elif VENDORED.match(line) or PATCHED.match(line):
-            out.append("vendored: banner")
+    out = banners(text, lang)
     size = len(text)
     sums = any(w in text for w in ("integrity", "checksum", "resolved"))
     if _LOCK_HEAD.search(text[:400]) or (sums and len(_LOCK_SUM.findall(text)) >= 3):

@@ -49,3 +49,24 @@ def test_odd_input(spark):
     rows = [(None, None, None, None), ("r", None, None, "x" * 100_000), ("r", "vendor/x/a", None, ""), ("r", "p", "go", "\x00é😀")]
     got = {(r.repo, r.rel_path) for r in D.derived_files(spark.createDataFrame(rows * 2, schema)).collect()}
     assert ("r", "vendor/x/a") in got and (None, None) not in got
+
+
+def test_banners_behind_the_code_and_behind_long_licences():
+    licence = "".join(f"# Licence line {i} of the workspace.\n" for i in range(40))
+    go = "package a\n\nfunc F() string {\n\treturn `\n%s\n`\n}\n"
+    banner = "Code generated by toolx v1. DO NOT EDIT."
+    told = {
+        "footer": ("python", HAND + "\n# <auto-generated> payload bindings </auto-generated>\n"), "last line": ("python", HAND + f"# {banner}"),
+        "licence": ("python", licence + f"# {banner}\n" + HAND), "later": ("python", "import a\n" + licence + f"# {banner}\n\n" + HAND),
+        "far": ("python", HAND * 200 + f"\n# {banner}\n"), "go": ("go", go % "x" + f"\n// {banner}\n"), "block": ("go", go % "x" + f"\n/*\n * {banner}\n */\n"),
+        "rust": ("rust", "fn f<'a>(x: &'a str) -> &'a str { x }\n\n// Machine-written client for the shard service.\n"),
+        "crlf": ("java", f"class A {{\r\n}}\r\n// {banner}\r\n"), "package": ("go", f"package a\n\n// {banner}\nimport \"b\"\n"), "unknown": ("klingon", f"x\n# {banner}\n"),
+    }
+    silent = {
+        "string": ("python", HAND + f'T = """\n# {banner}\n\n"""\n'), "raw": ("go", go % f"// {banner}\n"), "template": ("typescript", f"const t = `\n// {banner}\n\n`;\n"),
+        "inner": ("python", HAND + f"\ndef g(x):\n# {banner}\n\n    return x\n"), "bracket": ("go", f"package a\n\nvar x = []int{{\n// {banner}\n\n1}}\n"),
+        "of a function": ("python", HAND + "\n# Automatically created by the caller.\ndef g(x):\n    return x\n"), "here": ("bash", f"cat <<EOF\n# {banner}\n\nEOF\n"),
+        "by hand": ("python", HAND + "\n# Template used by the code generator, maintained manually.\n"), "text": ("markdown", "Intro\n\n* Run make docs to update.\n\n# Generated by whom?\n"),
+    }
+    assert {k for k, (g, t) in told.items() if D.banners(t, g) != ["generated: banner"]} == set()
+    assert {k: D.banners(t, g) for k, (g, t) in silent.items() if D.banners(t, g)} == {}
