@@ -1,8 +1,9 @@
 """Source files that are not valid in their language.
 
-A file (or its parts) is first turned into lexer-state maps and bracket
-summaries, which reduce associatively; a file whose brackets and strings close
-is then judged statement by statement with the local grammar of its language.
+A file is lexed whole, whatever its size; one whose brackets and strings close is
+then judged statement by statement with the local grammar of its language. Files
+stored as parts are turned into lexer-state maps and bracket summaries, which
+reduce associatively (``reduce_parts``).
 Python, JSON, TOML and YAML have an exact parser at hand, which takes the place
 of the local grammar.
 
@@ -12,7 +13,7 @@ Defined results for odd input
     * null or unknown lang, markdown: never flagged
     * byte order mark at the start: ignored
     * exact duplicate rows: one file; empty table: no rows
-    * very long files: read as parts of PART_CHARS, whole
+    * very long files: lexed whole, like short ones
     * extra columns, whatever their names: ignored
 """
 
@@ -103,10 +104,6 @@ def fault(lang: str | None, text: str | None) -> str | None:
     if text.startswith("﻿"):
         text = text[1:]
     if lang in STATES:
-        if len(text) > PART_CHARS:
-            found = open_ends(reduce(combine, (summarise(lang, p) for p in parts_of(text))))
-            if found:
-                return found
         whole = lex(lang, text)
         if whole.error:
             return whole.error
@@ -170,7 +167,10 @@ def reduce_parts(parts: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, open_end) of files stored as parts (key, lang, part_no, text).
 
     For files too long for one row: every part is summarised where it lies, and
-    only the summaries, a few strings each, meet in the reduction.
+    only the summaries, a few strings each, meet in the reduction. A summary knows
+    the states of lexing.STATES only: a part that begins inside a multi-line string
+    of Rust or JavaScript, nested Rust comments or the ``${ }`` of a template may be
+    given an open end that the whole file does not have.
     """
 
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -84,3 +84,15 @@ def test_tokens_of_odd_text():
         for text in ["", "\x00", "'", '"', "`", "/*", "//", "\\", "é😀", "🙂" * 10, "a" * 100_000, "(" * 5000]:
             lex(lang, text)
             P.fault(lang, text)
+
+
+def test_size_does_not_change_the_verdict():
+    many = P.PART_CHARS // 8
+    long = {
+        "string": ("rust", 'const S: &str = "' + "line it's\n" * many + '";\n'), "raw": ("rust", 'const S: &str = r##"' + 'a "# b\n' * 2 * many + '"##;\n'),
+        "plain raw": ("rust", 'const S: &str = r"' + "a { b\n" * 2 * many + '";\n'), "nested": ("rust", "/* a /* b\n" + "x ( y\n" * 2 * many + "*/ c */\nfn f() {}\n"),
+        "template": ("typescript", "const t = `a ${[\n" + "  call(1),\n" * many + "].join()} b`;\n"), "continued": ("javascript", 'const s = "' + "it (\\\n" * 2 * many + '";\n'),
+    }
+    for name, (lang, text) in long.items():
+        assert len(text) > P.PART_CHARS and P.fault(lang, text) is None, (name, P.fault(lang, text))
+        assert P.fault(lang, text + "(\n") is not None, name
