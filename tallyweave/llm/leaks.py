@@ -169,6 +169,8 @@ class Index:
 
 _MARGIN = 40
 _SHIFTS = 3
+#: Words of a block and bits of a band of diagonals that are looked at together first.
+_LOOK, _BAND = 12, 2
 
 
 def passage(item: np.ndarray, text: np.ndarray, near: int, least: int = LEAST) -> tuple[int, int, int, int] | None:
@@ -251,6 +253,9 @@ def search(index: Index, texts: Sequence[str | None]) -> list[tuple[int, int, in
     np.add.at(cover, at, 1)
     np.add.at(cover, at + narrow - WINDOW + 1, -1)
     starts = np.nonzero(np.cumsum(cover[:-1]) > 0)[0]
+    blocks = -(-np.array(lengths) // _LOOK)
+    first_block = np.cumsum(blocks) - blocks
+    block_start = np.repeat(begins - first_block * _LOOK, blocks) + np.arange(blocks.sum()) * _LOOK
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
     for s in range(0, len(starts), _SLICE):
         p, string = index.candidates(x, starts[s : s + _SLICE])
@@ -260,12 +265,19 @@ def search(index: Index, texts: Sequence[str | None]) -> list[tuple[int, int, in
         rep = np.repeat(np.arange(len(p)), n)
         place = np.repeat(index.first[string], n) + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
         item, q, p = index.place_item[place], index.place_at[place], p[rep]
-        # One row per text, item and band of diagonals (which also tells the text).
-        band = ((p - q + index.longest) >> 2) * np.int64(len(index.codes)) + item
-        _, once = np.unique(band, return_index=True)
+        # One look per text, item, block of words and band of diagonals, wide enough
+        # for all of its candidates.
+        block = first_block[of[p]] + (p - begins[of[p]]) // _LOOK
+        band = ((p - q) >> _BAND) - (block_start[block] >> _BAND) + (index.longest >> _BAND) + 2
+        key = (block * np.int64((index.longest + _LOOK >> _BAND) + 5) + band) * np.int64(len(index.codes)) + item
+        _, once = np.unique(key, return_index=True)
         item, q, p = item[once], q[once], p[once]
-        keep = _plausible(index, x, of, item, q, p)
-        for i, qq, pp in zip(item[keep].tolist(), q[keep].tolist(), p[keep].tolist(), strict=True):
+        keep = _plausible(index, x, of, item, q, p, _LOOK - 1, (1 << _BAND) - 1)
+        item, q, p = item[keep], q[keep], p[keep]
+        # The exact check reads the whole item, so one survivor per text, item and band of diagonals will do.
+        band = np.stack([of[p], item, (p - q) >> _BAND])
+        _, once = np.unique(band, axis=1, return_index=True)
+        for i, qq, pp in zip(item[once].tolist(), q[once].tolist(), p[once].tolist(), strict=True):
             t = int(of[pp])
             if (t, i) in out:
                 continue
@@ -277,11 +289,15 @@ def search(index: Index, texts: Sequence[str | None]) -> list[tuple[int, int, in
     return [(t, i, *v) for (t, i), v in out.items()]
 
 
-def _plausible(index: Index, x: np.ndarray, of: np.ndarray, item: np.ndarray, q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Candidates around which enough words agree on the diagonal or those beside it."""
+def _plausible(index: Index, x: np.ndarray, of: np.ndarray, item: np.ndarray, q: np.ndarray, p: np.ndarray, words: int = 0, diagonals: int = 0) -> np.ndarray:
+    """Candidates around which enough words agree on the diagonal or those beside it.
+
+    With ``words`` and ``diagonals`` it holds for a candidate when it holds for any
+    other one that is at most so many away.
+    """
     edits = index.least // EDIT_EVERY
     span = index.least + edits
-    around = np.arange(-span, WINDOW + span)
+    around = np.arange(-span - words, WINDOW + span + words)
     keep = np.zeros(len(p), dtype=bool)
     for s in range(0, len(p), 50_000):
         at = p[s : s + 50_000, None] + around
@@ -290,7 +306,7 @@ def _plausible(index: Index, x: np.ndarray, of: np.ndarray, item: np.ndarray, q:
         word = np.where(ok & (of[at] == of[p[s : s + 50_000]][:, None]), x[at], 0)
         row = item[s : s + 50_000, None]
         same = np.zeros(word.shape, dtype=bool)
-        for shift in range(-_SHIFTS, _SHIFTS + 1):
+        for shift in range(-_SHIFTS - diagonals, _SHIFTS + diagonals + 1):
             column = np.clip(q[s : s + 50_000, None] + around + shift + _MARGIN, 0, index.padded.shape[1] - 1)
             same |= index.padded[row, column] == word
         total = np.concatenate([np.zeros((len(same), 1), int), np.cumsum(same & (word > 0), axis=1)], axis=1)

@@ -96,3 +96,36 @@ def test_rows(spark):
     assert got == {(r.doc_id, r.item_id) for r in L.leaks(d, e, block=7).collect()}
     assert {(r.item_id, r.documents) for r in L.leaked_items(L.leaks(d, e)).collect()} == {(0, 2), (97, 2), (1, 1), (2, 1)}
     assert L.leaks(d.limit(0), e).count() == 0 and L.leaks(d, e.limit(0)).count() == 0
+
+
+def test_passages_behind_a_shared_opening():
+    r = random.Random(5)
+    opening = " ".join(r.choice(VOCAB) for _ in range(17))
+    items = [(i, opening + " " + " ".join(r.choice(VOCAB) for _ in range(130))) for i in range(20)]
+    index = L.Index(items)
+    texts = []
+    for _, text in items:
+        w = text.split()
+        # The opening, some sixty words of which every third is changed, then the item word by word.
+        texts.append(" ".join(w[:17] + [x if k % 3 else "zzz" for k, x in enumerate(w[17:80])] + w[80:120]))
+    assert {(t, index.items[i]) for t, i, *_ in L.search(index, texts)} == {(n, n) for n in range(20)}
+    # A text that ends like the item begins does not hide what the next one holds.
+    w = items[3][1].split()
+    pairs = [" ".join(["yyy"] * 30 + w[:20]), " ".join(["xxx"] * 60 + w[80:120])]
+    assert [t for t, *_ in L.search(index, pairs)] == [1]
+
+
+def test_all_candidates_of_a_block_are_looked_at():
+    index = L.Index(ITEMS)
+    r = random.Random(8)
+    x = np.array([r.randrange(len(index.number)) for _ in range(3000)], dtype=np.int32)
+    x[500:560] = index.codes[4][10:70]
+    of = np.zeros(len(x), dtype=int)
+    p = np.repeat(np.arange(450, 600), 40)
+    q = np.clip(p - 490 + np.tile(np.arange(-20, 20), 150), 0, 78)
+    item = np.full(len(p), 4)
+    exact = L._plausible(index, x, of, item, q, p)
+    for near in range(0, len(p), 701):
+        together = (abs(p - p[near]) < L._LOOK) & (abs((p - q) - (p[near] - q[near])) < 1 << L._BAND)
+        if exact[together].any():
+            assert L._plausible(index, x, of, item[[near]], q[[near]], p[[near]], L._LOOK - 1, (1 << L._BAND) - 1).all()
