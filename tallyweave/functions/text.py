@@ -79,6 +79,12 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({IDENTIFIER})"), 1)
 
 
+def holds_name(text: Column, name: Column) -> Column:
+    """Whether a text holds a name, taken literally, with no word character on either side."""
+    literal = F.regexp_replace(name, r"([^\p{L}\p{N}_])", r"\\$1")
+    return F.regexp_like(text, F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), literal, F.lit(r"(?![\p{L}\p{N}_])")))
+
+
 #: Lines that say nothing about what code does.
 NOT_CODE = r"^\s*(#|//|\*|/\*|import\b|from\b|use\b|using\b|package\b|require\b|include\b)"
 

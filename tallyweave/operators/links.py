@@ -168,11 +168,17 @@ def read_ports(chunks: DataFrame) -> DataFrame:
 def text_mentions(chunks: DataFrame, names: DataFrame, stored: DataFrame) -> DataFrame:
     """Lines that hold a wanted name as a whole word and have no stored edge.
 
-    ``names``: query_id, name. Names meet the texts through an equi-join on the
-    identifiers of each line.
+    ``names``: query_id, name. A name of any form counts as it was recorded: 8080,
+    PROJ-412, dotted, dashed, beyond ASCII. Names meet the texts through an
+    equi-join of their first word with the words of each line; the whole name must
+    then stand there between word borders. Names without any word match nothing.
     """
+    first = F.regexp_extract("name", f"({T.WORD})", 1)
+    wanted = names.select("query_id", "name", first.alias("__word")).where(F.col("__word") != "")
     at = chunks.select("repo", "path", "start_line", F.posexplode(T.lines(F.col("text"))).alias("n", "content"))
-    seen = at.select("repo", "path", (F.col("start_line") + F.col("n")).alias("line"), F.explode(F.array_distinct(T.identifiers(F.col("content")))).alias("name")).join(names, "name").distinct()
+    words = F.array_distinct(F.regexp_extract_all(F.col("content"), F.lit(f"({T.WORD})"), 1))
+    held = at.select("repo", "path", (F.col("start_line") + F.col("n")).alias("line"), "content", F.explode(words).alias("__word")).join(wanted, "__word")
+    seen = held.where(T.holds_name(F.col("content"), F.col("name"))).select("name", "repo", "path", "line", "query_id").distinct()
     return seen.join(stored.select("repo", "path", "line", "query_id").distinct(), ["repo", "path", "line", "query_id"], "left_anti")
 
 

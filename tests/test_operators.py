@@ -48,6 +48,15 @@ def test_references_prefer_the_exact_spelling(spark):
     assert [r.name for r in found] == ["max_retries", "maxRetries"]
 
 
+def test_text_mentions_of_names_in_any_form(spark):
+    text = "port = 8080\nport = 18080\nsee PROJ-412, not PROJ-4123\nPROJ-4123\na.b-c d\naxb-c\nUseGröße(größe)\nx8080 8080_\nmax_retries\nxmax_retries 8080.\nlist[0](x)\n"
+    chunks = spark.createDataFrame([("r", "p", 11, text)], "repo string, path string, start_line int, text string")
+    names = spark.createDataFrame(list(enumerate(["8080", "PROJ-412", "a.b-c", "größe", "max_retries", "[0](x", "--", ""])), "query_id bigint, name string")
+    stored = spark.createDataFrame([("r", "p", 11, 4)], "repo string, path string, line int, query_id bigint")
+    got = {(r.name, r.line) for r in links.text_mentions(chunks, names, stored).collect()}
+    assert got == {("8080", 11), ("8080", 20), ("PROJ-412", 13), ("a.b-c", 15), ("größe", 17), ("max_retries", 19)}
+
+
 def test_blame_takes_the_first_line_in_range(spark):
     chunks = spark.createDataFrame([("r", "p", "c1", "code", 1, 5), ("r", "p", "c2", "code", 4, 9)], "repo string, path string, id string, kind string, start_line int, end_line int")
     blame = spark.createDataFrame([("r", "p", i, "aaaaaaaa" if i < 5 else "bbbbbbbb") for i in range(1, 9)], "repo string, path string, line int, sha string")
