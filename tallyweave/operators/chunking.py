@@ -185,16 +185,35 @@ def pattern_spans(lang: str, lines: list[str]) -> list[Span]:
     return cover(lines, out)
 
 
-_SECTION = re.compile(r"(?is)<(script|style|template)\b([^>]*)>(.*?)</\1\s*>")
+_TAG = re.compile(r"(?is)<!--.*?-->|<(/?)(script|style|template)\b((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
+_END = {tag: re.compile(rf"(?i)</{tag}\s*>") for tag in ("script", "style")}
+
+
+def _template_end(text: str, at: int) -> re.Match | None:
+    """The tag that closes a template whose inside begins at ``at``; inner templates count."""
+    depth = 1
+    for m in _TAG.finditer(text, at):
+        if (m.group(2) or "").lower() == "template" and not m.group(3).rstrip().endswith("/"):
+            depth += -1 if m.group(1) else 1
+            if not depth:
+                return m
+    return None
 
 
 def container_sections(text: str) -> list[tuple[str, int, str]]:
     """(lang, first line, text) of the script, style and markup parts of a single-file component."""
-    out = []
-    for m in _SECTION.finditer(text):
-        tag, attributes = m.group(1).lower(), m.group(2)
+    out, at = [], 0
+    while m := _TAG.search(text, at):
+        at = m.end()
+        if not m.group(2) or m.group(1) or m.group(3).rstrip().endswith("/"):
+            continue
+        tag, attributes = m.group(2).lower(), m.group(3)
+        end = _template_end(text, at) if tag == "template" else _END[tag].search(text, at)
+        if not end:
+            continue
         lang = {"script": "typescript" if re.search(r"lang=[\"']?ts", attributes) else "javascript", "style": "css", "template": "html"}[tag]
-        out.append((lang, text.count("\n", 0, m.start(3)) + 1, m.group(3)))
+        out.append((lang, len((text[:at] + "x").splitlines()), text[at : end.start()]))
+        at = end.end()
     return out
 
 
@@ -224,7 +243,7 @@ def spans_of(text: str, lang: str | None, kind: str | None) -> list[Span]:
         out = []
         for inner, first, part in container_sections(text):
             out += [(a + first - 1, b + first - 1, s, n) for a, b, s, n in spans_of(part, inner, kind)]
-        return out or windows(lines)
+        return cover(lines, out) if out else windows(lines)
     if lang == "python":
         return python_spans(text, lines)
     if lang in DEFINITIONS:

@@ -154,6 +154,19 @@ def test_every_filled_line_is_covered():
     assert chunking.spans_of("def broken(:\n", "python", "code")[0][3] == "parse-error"
 
 
+def test_every_filled_line_of_a_component_is_covered():
+    vue = "<!-- <script> -->\n<template>\n  <div v-if=\"a > b\">\n    <template #head>\n      <b>x</b>\n    </template>\n    <template #none />\n    <i>after</i>\n  </div>\n</template>\n\n<script lang=\"ts\">\nexport function f(a: number) {\n  return a\n}\n</script>\n<style>p { a: b }</style>\n<i18n>\n{}\n</i18n>\n"
+    svelte = "<script>\n  let n = 1\n</script>\n\n<h1>{n}</h1>\n{#if n}\n  <p>text</p>\n{/if}\n"
+    for lang, text in (("vue", vue), ("vue", vue.replace("\n", "\r\n")), ("svelte", svelte), ("svelte", "<script>\nlet open\n<p>x</p>\n"), ("vue", "<template>\n\n</template>")):
+        spans = chunking.spans_of(text, lang, "code")
+        held = {i for a, b, *_ in spans for i in range(a, b + 1)}
+        lines = text.splitlines()
+        assert {i for i, line in enumerate(lines, 1) if line.strip()} <= held <= set(range(1, len(lines) + 1)), (lang, text, spans)
+    assert (13, 15, "f", "function_declaration") in chunking.spans_of(vue, "vue", "code")
+    inner = {lang: (first, part) for lang, first, part in chunking.container_sections(vue)}
+    assert set(inner) == {"html", "typescript", "css"} and inner["html"][0] == 2 and "after" in inner["html"][1] and inner["typescript"][0] == 12
+
+
 def test_markdown_by_window_functions_equals_the_scan(spark):
     texts = ["intro\n# One\nx\n## Two\ny\n", "# A\n```\n# no\n```\nt", "\n\n# One\nbody", "", "\n\n", "plain"]
     df = spark.createDataFrame([("r", f"p{i}", "markdown", t) for i, t in enumerate(texts)], "repo string, rel_path string, lang string, content string")
