@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.lexing import CODE, STATES, brackets, lex
+from tallyweave.llm.lexing import CODE, STATES, lex
 from tallyweave.session import spread
 
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*")
@@ -232,7 +232,7 @@ def _outermost(text: str, lang: str, at: int) -> bool:
     """Whether a line that begins at ``at`` lies in no string, comment or bracket."""
     if lang in STATES:
         before = lex(lang, text[:at])
-        return before.error is not None or (before.state == CODE and not brackets(before.tokens)[1])
+        return before.error is not None or (before.state == CODE and not before.openers)
     if lang == "python":
         line, depth = text.count("\n", 0, at) + 1, 0
         try:

@@ -1,9 +1,11 @@
 """Source files that are not valid in their language.
 
-A file is lexed whole, whatever its size; one whose brackets and strings close is
-then judged statement by statement with the local grammar of its language. Files
-stored as parts are turned into lexer-state maps and bracket summaries, which
-reduce associatively (``reduce_parts``).
+A file of a brace language, whatever its size, is cut into parts at line ends.
+Every part becomes a lexer-state map with a bracket summary; the maps reduce
+associatively, within a row (``judge_files``) or across partitions
+(``reduce_parts``). A file whose reduction closes every bracket, string and comment
+is then judged statement by statement with the local grammar of its language, the
+tokens of each part being read from the state that the reduction gives it.
 Python, JSON, TOML and YAML have an exact parser at hand, which takes the place
 of the local grammar.
 
@@ -13,13 +15,19 @@ Defined results for odd input
     * null or unknown lang, markdown: never flagged
     * byte order mark at the start: ignored
     * exact duplicate rows: one file; empty table: no rows
-    * very long files: lexed whole, like short ones
+    * very long files: cut into more parts; size changes no verdict
+    * nesting deeper than a parser at hand goes: JSON and YAML are checked without
+      recursion, Python by its tokens and brackets, TOML is not flagged
     * extra columns, whatever their names: ignored
 """
 
 from __future__ import annotations
 
+import io
 import json
+import re
+import sys
+import tokenize
 import tomllib
 import warnings
 from collections.abc import Iterator
@@ -30,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.grammar import check
-from tallyweave.llm.lexing import CODE, STATES, brackets, combine, lex, summarise
+from tallyweave.llm.lexing import CODE, COMMENT, START, STATES, Summary, combine, finish, lex, summarise
 from tallyweave.session import spread
 
 try:
@@ -40,7 +48,7 @@ try:
 except ImportError:  # judged by brackets and indentation only
     yaml = None
 
-PART_CHARS = 1 << 16
+PART_CHARS = 1 << 13
 
 
 def parts_of(text: str, size: int = PART_CHARS) -> list[str]:
@@ -55,9 +63,9 @@ def parts_of(text: str, size: int = PART_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
-def open_ends(summary) -> str | None:
+def open_ends(summary: Summary) -> str | None:
     """What a reduced summary leaves open when the file begins as plain code."""
-    state, closers, openers, error = summary.of(CODE)
+    (state, _), closers, openers, error = finish(summary)
     if error:
         return error
     if state != CODE:
@@ -67,20 +75,104 @@ def open_ends(summary) -> str | None:
     return f"{openers[-1]} never closed" if openers else None
 
 
+def brace_fault(lang: str, text: str, size: int = PART_CHARS) -> str | None:
+    """The verdict on a text of a brace language through the reduction of its parts."""
+    parts = parts_of(text, size)
+    read: list[dict] = [{} for _ in parts]
+    found = open_ends(reduce(combine, [summarise(lang, p, i == 0, r) for i, (p, r) in enumerate(zip(parts, read, strict=True))]))
+    if found:
+        return found
+    tokens, state, stack, newline = [], START, [], True
+    for part, runs in zip(parts, read, strict=True):
+        x = runs.get(state)
+        if x is None or x.fork is not None or state[0] not in (CODE, COMMENT):
+            x = lex(lang, part, state, stack, newline)
+        else:
+            del stack[len(stack) - len(x.closers) :]
+            stack.extend(x.openers)
+        tokens += x.tokens
+        state, newline = (x.state, x.argument), x.newline
+    return check(lang, tokens)
+
+
 def _no_constant(name: str):
     raise ValueError(f"{name} is no JSON value")
 
 
+_JSON = re.compile(r'[ \t\r\n]*(?:(?P<open>[\[{])|(?P<close>[\]}])|(?P<sep>[,:])|(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<other>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|(?:true|false|null)\b)|(?P<end>\Z))')
+
+
+def _deep_json(text: str) -> None:
+    """A check without recursion, for nesting that the parser at hand does not follow."""
+    stack, wants, pos = [], "value", 0  # what may stand next: value, first (value or end), key, key1, colon, more
+    while True:
+        m = _JSON.match(text, pos)
+        if m is None:
+            raise ValueError(f"no JSON at {pos}")
+        kind, pos = m.lastgroup, m.end()
+        if kind == "end":
+            if stack or wants != "more":
+                raise ValueError("ends inside a value")
+            return
+        c = m.group(kind)
+        if kind == "open" and wants in ("value", "first"):
+            stack.append(c)
+            wants = "first" if c == "[" else "key1"
+        elif kind == "close" and stack and stack[-1] + c in ("[]", "{}") and wants in ("more", "first" if c == "]" else "key1"):
+            stack.pop()
+            wants = "more"
+        elif kind == "str" and wants in ("key", "key1"):
+            wants = "colon"
+        elif kind in ("str", "other") and wants in ("value", "first"):
+            wants = "more"
+        elif c == ":" and wants == "colon":
+            wants = "value"
+        elif c == "," and wants == "more" and stack:
+            wants = "value" if stack[-1] == "[" else "key"
+        else:
+            raise ValueError(f"{c[:20]} out of place")
+
+
+def _json(text: str) -> None:
+    try:
+        # Numbers stay strings: their size is no matter of syntax.
+        json.loads(text, parse_constant=_no_constant, parse_int=str, parse_float=str)
+    except RecursionError:
+        _deep_json(text)
+
+
 def _python(text: str) -> None:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        compile(text, "file", "exec", dont_inherit=True)
+    digits = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(text, "file", "exec", dont_inherit=True)
+    except (RecursionError, MemoryError):  # too deep for the compiler, which says nothing about the syntax
+        try:
+            for _ in tokenize.generate_tokens(io.StringIO(text).readline):
+                pass
+        except tokenize.TokenError as e:
+            raise SyntaxError(str(e)) from None
+    finally:
+        sys.set_int_max_str_digits(digits)
+
+
+def _toml(text: str) -> None:
+    try:
+        tomllib.loads(text.replace("\r\n", "\n"))
+    except RecursionError:
+        pass  # nested deeper than the parser goes: no fault was found
 
 
 def _yaml(text: str) -> None:
     if yaml is not None:
-        for _ in yaml.compose_all(text, Loader=_YAML_LOADER):
-            pass
+        try:
+            for _ in yaml.compose_all(text, Loader=_YAML_LOADER):
+                pass
+        except RecursionError:
+            for _ in yaml.parse(text, Loader=yaml.SafeLoader):
+                pass
         return
     for line in text.splitlines():
         if line.lstrip(" ").startswith("\t") and line.strip():
@@ -91,8 +183,8 @@ def _yaml(text: str) -> None:
 
 _EXACT = {
     "python": _python,
-    "json": lambda t: json.loads(t, parse_constant=_no_constant),
-    "toml": lambda t: tomllib.loads(t.replace("\r\n", "\n")),
+    "json": _json,
+    "toml": _toml,
     "yaml": _yaml,
 }
 
@@ -104,19 +196,11 @@ def fault(lang: str | None, text: str | None) -> str | None:
     if text.startswith("﻿"):
         text = text[1:]
     if lang in STATES:
-        whole = lex(lang, text)
-        if whole.error:
-            return whole.error
-        if whole.state != CODE:
-            return f"ends inside a {whole.state}"
-        closers, openers, wrong = brackets(whole.tokens)
-        if wrong or closers or openers:
-            return wrong or (f"unmatched {closers[0]}" if closers else f"{openers[-1]} never closed")
-        return check(lang, whole.tokens)
+        return brace_fault(lang, text)
     if lang in _EXACT:
         try:
             _EXACT[lang](text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        except (SyntaxError, ValueError) as e:
             return str(e)[:200] or type(e).__name__
         except Exception as e:  # the parsers' own error classes
             if yaml is not None and isinstance(e, yaml.YAMLError):
@@ -167,21 +251,16 @@ def reduce_parts(parts: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, open_end) of files stored as parts (key, lang, part_no, text).
 
     For files too long for one row: every part is summarised where it lies, and
-    only the summaries, a few strings each, meet in the reduction. A summary knows
-    the states of lexing.STATES only: a part that begins inside a multi-line string
-    of Rust or JavaScript, nested Rust comments or the ``${ }`` of a template may be
-    given an open end that the whole file does not have.
+    only the summaries, a few short strings each, meet in the reduction.
     """
 
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [json.dumps(summarise(g, t).by_state) for g, t in zip(pdf["lang"], pdf["text"], strict=True)]
+            found = [json.dumps(summarise(g, t).dump()) for g, t in zip(pdf["lang"], pdf["text"], strict=True)]
             yield pd.DataFrame({key: pdf[key], "part_no": pdf["part_no"], "summary": found})
 
     def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
-        from tallyweave.llm.lexing import Summary
-
-        rows = [Summary(tuple((s, tuple(x)) for s, x in json.loads(j))) for j in pdf.sort_values("part_no")["summary"]]
+        rows = [Summary.load(json.loads(j)) for j in pdf.sort_values("part_no")["summary"]]
         return pd.DataFrame({key: [pdf[key].iloc[0]], "open_end": [open_ends(reduce(combine, rows))]})
 
     kind = parts.schema[key].dataType.simpleString()

@@ -4,7 +4,7 @@ from functools import reduce
 import pytest
 
 from tallyweave.llm import parsing as P
-from tallyweave.llm.lexing import CODE, STATES, combine, lex, summarise
+from tallyweave.llm.lexing import STATES, combine, entry_states, finish, lex, summarise
 
 GOOD = {
     "javascript": [
@@ -42,31 +42,45 @@ def test_invalid(lang):
         assert P.fault(lang, text) is not None, (lang, text)
 
 
+HARD = {
+    "javascript": "const t = `a ${[\n  { b: 1 },\n  `c ${ d(\n1) }\n e`,\n].join()} f\n`;\nconst s = \"it (\\\n  goes on }\\\n here\";\nconst q = a\n / 2 /\n 3;\nconst r = [\n/[)}]/g,\n];\n",
+    "go": "package a\n/* { */\nvar r = `raw (\n\n{ `\n",
+    "rust": "/* a /* b\n { */ /*\n */ c\n */\nconst S: &str = \"a \\\n \\\" ( \n b\";\nconst R: &str = r##\"a \"# {\n \"# b\n\"##;\nconst P: &str = r\"c\n{\";\nfn f<'a>() {\n}\n",
+    "java": "class A {\n  String s = \"\"\"\n  { \\\"\"\" (\n  \"\"\";\n /* } \n */ }\n",
+}
+HARD["typescript"] = HARD["javascript"]
+
+
 @pytest.mark.parametrize("lang", sorted(STATES))
-def test_summaries_are_associative_and_complete(lang):
+def test_summaries_are_associative_and_say_what_the_whole_does(lang):
     rng = random.Random(7)
-    text = "\n".join(GOOD[lang] * 3)
+    text = HARD[lang] + "\n".join(GOOD[lang] * 2)
     lines = text.splitlines(keepends=True)
     whole = summarise(lang, text)
-    for _ in range(12):
-        cuts = sorted(rng.sample(range(1, len(lines)), min(4, len(lines) - 1)))
-        parts = ["".join(lines[a:b]) for a, b in zip([0, *cuts], [*cuts, len(lines)])]
-        sums = [summarise(lang, p) for p in parts]
-        left = reduce(combine, sums)
-        right = sums[-1]
+    entries = set(entry_states(lang, text)[0]) | {("comment", 3), ("text", 5)}
+    for _ in range(40):
+        cuts = sorted(rng.sample(range(1, len(lines)), min(rng.randint(1, 6), len(lines) - 1)))
+        sums = [summarise(lang, "".join(lines[a:b])) for a, b in zip([0, *cuts], [*cuts, len(lines)])]
+        left, right = reduce(combine, sums), sums[-1]
         for s in reversed(sums[:-1]):
             right = combine(s, right)
-        assert left == right
-        if lang not in ("javascript", "typescript"):  # a cut inside ${ } is seen as plain code there
-            assert left.of(CODE)[:3] == whole.of(CODE)[:3]
+        for state in entries:
+            for stack in ("", "{", "({$[{$", "$$${"):
+                want = finish(whole, state, stack)
+                for got in (finish(left, state, stack), finish(right, state, stack)):
+                    assert (got[3] is None) == (want[3] is None) and (want[3] is not None or got == want), (state, stack)
+    read = finish(whole)
+    x = lex(lang, text)
+    assert read[3] is None and x.error is None and (x.state, x.argument, x.closers, x.openers) == (*read[0], read[1], read[2])
 
 
 def test_long_files_by_parts(spark):
     text = "package a\n\n" + "func F() int {\n\treturn 1\n}\n" * 6000
     assert len(text) > P.PART_CHARS and P.fault("go", text) is None and P.fault("go", text[:-3]) is not None
-    parts = [("x", "go", i, p) for i, p in enumerate(P.parts_of(text, 4000))] + [("y", "go", i, p) for i, p in enumerate(P.parts_of(text[:-3], 4000))] + [("z", "cobol", 0, "x")]
+    nested = "const t = `a ${[\n" + "  {a: 1},\n" * 2000 + "].join()}`;\n"
+    parts = [("x", "go", i, p) for i, p in enumerate(P.parts_of(text, 4000))] + [("y", "go", i, p) for i, p in enumerate(P.parts_of(text[:-3], 4000))] + [("z", "cobol", 0, "x")] + [("n", "javascript", i, p) for i, p in enumerate(P.parts_of(nested, 3000))]
     got = {r.file_id: r.open_end for r in P.reduce_parts(spark.createDataFrame(parts, "file_id string, lang string, part_no int, text string")).collect()}
-    assert got["x"] is None and got["y"] is not None and "z" not in got
+    assert got["x"] is None and got["n"] is None and got["y"] is not None and "z" not in got
 
 
 def test_rows_and_rates(spark):
@@ -96,3 +110,20 @@ def test_size_does_not_change_the_verdict():
     for name, (lang, text) in long.items():
         assert len(text) > P.PART_CHARS and P.fault(lang, text) is None, (name, P.fault(lang, text))
         assert P.fault(lang, text + "(\n") is not None, name
+
+
+@pytest.mark.parametrize("lang", sorted(STATES))
+def test_small_parts_give_the_verdict_of_the_whole(lang):
+    for text in [HARD[lang], *GOOD[lang], *BAD[lang]]:
+        want = P.brace_fault(lang, text, 1 << 30)
+        for size in (1, 20, 90):
+            assert (P.brace_fault(lang, text, size) is None) == (want is None), (lang, text, size)
+
+
+def test_size_and_depth_are_no_matter_of_syntax():
+    deep = 200_000
+    assert P.fault("json", "[" * deep + "]" * deep) is None and P.fault("json", "[" * deep + "]" * (deep - 1)) is not None
+    assert P.fault("json", '{"a":' * deep + "1" + "}" * deep) is None and P.fault("json", '{"a":' * deep + "1," + "}" * deep) is not None
+    assert P.fault("json", "9" * 5000) is None and P.fault("python", "x = " + "9" * 5000 + "\n") is None
+    assert P.fault("python", "x = " + "+".join(["a"] * 200_000) + "\n") is None and P.fault("python", "x = (" + "+".join(["a"] * 200_000) + "\n") is not None
+    P.fault("toml", "a = " + "[" * 5000 + "]" * 5000 + "\n"), P.fault("yaml", "[" * 5000 + "]" * 5000 + "\n")
