@@ -76,6 +76,10 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(truncation.judge(table(spark, sf_dir, "documents")))
 
 
+def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.fitted_limits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_percentiles": p1_percentiles,
     "p2_pieces": p2_pieces,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "p8_items": p8_items,
     "p9_found": p9_found,
     "p9_rates": p9_rates,
+    "p9_limits": p9_limits,
 }
 
 SQL: dict[str, str] = {

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pandas as pd
+
 from tallyweave.llm import truncation as C
 
 WHOLE = ["A full sentence.", "Why not?", "He said “no.”", "# T\n\n- one thing\n- two things", "| a | b |\n| --- | --- |\n| 1 | 2 |", "Text.\n\n```\ncode(\n```", "x.\n\n-- \nthe team", "x.\n\nRefs: T-1", "x.\n\nhttps://a.example/b-1", "x.\n\n+1 👍", "(see above)", "終わりです。", "See <b>this</b>"]
@@ -65,8 +67,34 @@ def test_rows(spark):
     assert len(judged) == len(rows) + len(extra)
     found = {r.doc_id for r in judged if r.truncated}
     assert len(found & cut) >= 0.97 * len(cut) and len(found - cut) <= 0.03 * len(cut), (sorted(found - cut)[:5], sorted(cut - found)[:5])
-    limits = {(r.source_key, r.limit) for r in C.length_limits(C.read_endings(df)).where("unit = 'chars'").collect()}
+    limits = {(r.source, r.limit) for r in C.fitted_limits(df).where("unit = 'chars'").collect()}
     assert ("limited", 300) in limits
+    # The verdicts rest on the fit: without its limits many change.
+    none = spark.createDataFrame([], "source_key string, unit string, limit int, posterior double, limited_share double, texts bigint")
+    without = {r.doc_id for r in C.judge(df, none).collect() if r.truncated}
+    assert len(found ^ without) >= 0.1 * len(cut)
     shares = {r.source: (r.documents, r.truncated) for r in C.rates(C.judge(df)).collect()}
     assert shares["limited"][0] == 150 and None in shares
     assert C.judge(df.limit(0)).count() == 0
+
+
+def cells(rows):
+    return pd.DataFrame(rows, columns=["f", "role", "more", "prior", "n"])
+
+
+def test_evidence_follows_from_the_texts_at_limits():
+    # Two endings that no prior tells apart: only one of them is found at the limits.
+    rows = [("heading", "none", False, 0.99, 300), ("heading", "none", False, 0.0, 10), ("remark", "none", False, 0.0, 310), ("sentence", "none", False, 0.0, 5000)]
+    fit = C.fit_evidence(cells(rows))
+    assert fit["endings"]["heading"] + fit["base"] > 0 > fit["endings"]["remark"] + fit["base"]
+    # A marker that only lost texts bear, and a declared length that only they miss.
+    rows = [("prose", "none", False, 0.99, 300), ("prose", "a", False, 0.0, 100), ("prose", "none", True, 0.0, 50), ("sentence", "b", False, 0.0, 100), ("sentence", "none", False, 0.0, 5000)]
+    fit = C.fit_evidence(cells(rows))
+    assert fit["roles"]["a"] > 1 > -1 > fit["roles"]["b"] and fit["more"][True] > 2
+    assert C.fit_evidence(cells([]))["endings"]["prose"] > 0
+
+
+def test_more_lost_texts_than_the_least_share():
+    rows = [("prose", "none", False, 0.99, 300), ("prose", "none", False, 0.0, 1500), ("sentence", "none", False, 0.0, 3500)]
+    fit = C.fit_evidence(cells(rows))
+    assert fit["base"] > math.log(0.2 / 0.8) and fit["base"] + fit["endings"]["prose"] > 0
