@@ -60,7 +60,7 @@ KINDS = {
     "list unknown": (0.03, 0.02), "trailer unknown": (0.015, 0.005), "url unknown": (0.015, 0.005), "sign-off unknown": (0.015, 0.005),
     "prose known": (0.002, 0.02), "sentence known": (0.002, 0.05), "remark known": (0.002, 0.02), "heading known": (0.002, 0.01),
 }
-PRIOR_TEXTS, PRIOR_MARKS, PRIOR_DECLARED, DECLARED_RATES = 50.0, 20.0, 200.0, (0.1, 0.01)
+PRIOR_TEXTS, PRIOR_MARKS, PRIOR_DECLARED, DECLARED_RATES = 50.0, 3.0, 200.0, (0.1, 0.01)
 #: Share of the texts away from limits that is taken as lost at least; what the
 #: fit says of them raises it. No posterior of a limit counts as more than MOST_LOGIT.
 LEAST_SHARE, MOST_LOGIT = 0.05, 5.0
