@@ -283,7 +283,9 @@ def fit_evidence(cells: pd.DataFrame, rounds: int = 30) -> dict[str, dict]:
     # Both priors have the same say, so an ending that was never seen keeps its prior ratio.
     strength = PRIOR_TEXTS * max(1.0, ((n * (1 - p)).sum() + PRIOR_TEXTS) / ((n * p).sum() + PRIOR_TEXTS))
     away = share(f, n * (1 - p), len(known), w0, strength)
-    base = float(min(0.5, max(LEAST_SHARE, (away / lost)[lost >= 0.02].min())))
+    at_limits = np.bincount(f, n * p, len(known))
+    common = at_limits >= max(5.0, 0.02 * at_limits.sum())
+    base = float(min(0.5, max(LEAST_SHARE, (away / lost)[common].min() if common.any() else 0.0)))
     logit = np.log(np.maximum(p, 1e-9) / (1.0000001 - p))
     start = np.clip(logit, math.log(base / (1 - base)), MOST_LOGIT)
     ends, marks, says = np.log(lost / away), np.zeros(max(1, len(roles))), np.zeros(2)
