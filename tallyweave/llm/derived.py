@@ -1,11 +1,16 @@
 """Source files that were not written by hand in this workspace.
 
 Per language a character trigram model of identifiers is trained over all files
-(every distinct identifier of a file counts once, so no large file dominates).
+(every distinct identifier of a file counts once, so no large file dominates; what
+stands in comments is no identifier).
 Each file is then judged by
     * mangled names: identifiers whose cross-entropy under the model is high
     * template-like names: few distinct names once numbers are taken out
     * a naming style foreign to its language in this workspace
+    * names foreign to the workspace: words that name folders and begin outermost
+      comments about as often, but that no code uses and the model finds unlikely, are
+      the names of projects maintained elsewhere; files under such a folder or comment
+      are vendored
 together with what its outermost comments, its path and its shape say (generator
 and licence banners at the head, at the foot or between, vendor and output
 folders, lock files, literals and number tables that fill the file).
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.lexing import CODE, STATES, lex
-from tallyweave.session import spread
+from tallyweave.session import cut, spread
 
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*")
 _DIGITS = re.compile(r"(?:0x)?[0-9a-f]*\d[0-9a-f]*|\d+", re.IGNORECASE)
@@ -73,7 +78,7 @@ LOCK_NAME = re.compile(
     r"^(?:package-lock\.json|npm-shrinkwrap\.json|pnpm-lock\.ya?ml|yarn\.lock|poetry\.(?:lock|toml)|pdm\.lock|uv\.lock|pipfile\.lock|cargo\.lock|go\.sum|composer\.lock|gemfile\.lock|[\w.-]+\.lock(?:\.\w+)?)$",
     re.IGNORECASE,
 )
-_LOCK_HEAD = re.compile(r"\"?lockfile-?version\"?\s*[:=]", re.IGNORECASE)
+_LOCK_HEAD = re.compile(r"^[ \t{]*\"?lockfile-?version\"?\s*[:=]", re.IGNORECASE | re.MULTILINE)
 _LOCK_SUM = re.compile(r"\"?(?:integrity|checksum|resolved|hash|sha\d+)\"?\s*[:=]\s*\"?(?:sha\d+[-:])?[\w+/=-]{20,}", re.IGNORECASE)
 _LITERAL = re.compile(r"[A-Za-z0-9+/=_-]{120,}")
 _NUMBER_ROW = re.compile(r"(?:-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*,\s*){4,}")
@@ -82,6 +87,11 @@ _NUMBER_ROW = re.compile(r"(?:-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?
 MANGLED_BITS = 4.2
 #: Shares from which a file is flagged.
 MANGLED_SHARE, TEMPLATE_SHARE, DATA_SHARE, FOREIGN_SHARE = 0.5, 0.3, 0.5, 0.8
+#: Bits per character above which a word may name a project from elsewhere, how many
+#: times more often than in code it must stand in paths and in comments, and how many
+#: times more often in one of them than in the other it may: the workspace's own
+#: folders hold many files that no comment names.
+FOREIGN_BITS, FOREIGN_TIMES, FOREIGN_RATIO = 3.0, 50, 8
 #: So many names that differ in nothing but numbers make a template.
 TEMPLATE_NAMES = 8
 
@@ -116,9 +126,36 @@ def style_of(name: str) -> str:
     return "camel" if any(c.isupper() for c in bare) else "plain"
 
 
+_PART = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}(?![a-z])")
+_REMARKS = re.compile(r"(?://|#|--|<!--|/\*|^[ \t]*\*).*$", re.MULTILINE)
+#: Languages whose words are no use by code: a readme or a manifest may name any project.
+_NO_CODE = {"", "markdown", "text", "rst", "html", "xml", "json", "toml", "yaml", "ini"}
+
+
+def words_of(name: str) -> list[str]:
+    """Words of four letters or more of a name in any style."""
+    return [w.lower() for w in _PART.findall(name)]
+
+
+def folder_words(path: str | None) -> set[str]:
+    return {w for d in (path or "").split("/")[:-1] for w in words_of(d)}
+
+
+_LEAD = re.compile(r"[^\w\n]*([\w.@/-]+)")
+
+
+def comment_words(text: str | None) -> set[str]:
+    """Words of the names that the lines of the outermost comments begin with."""
+    leads = (_LEAD.match(line) for line in head_comments(text)[0]) if text else ()
+    return {w for m in leads if m for w in words_of(m.group(1))}
+
+
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial counts: trigrams and styles per language; words in code, folders and outermost comments."""
     counts: dict[str, dict[str, int]] = {}
     names: Counter = Counter()
+    used, folders, comments = Counter(), Counter(), Counter()
+    parts: dict[str, list[str]] = {}
 
     def fold() -> None:
         for (lang, name), n in names.items():
@@ -129,16 +166,30 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 style = "style " + style_of(name)
                 own[style] = own.get(style, 0) + n
         names.clear()
+        parts.clear()
 
     for pdf in batches:
-        for lang, text in zip(pdf["lang"], pdf["content"], strict=True):
-            if text:
-                lang = "" if lang is None else lang
-                names.update((lang, name) for name in set(_IDENT.findall(text)) if len(name) <= 200)
+        for path, lang, text in zip(pdf["rel_path"], pdf["lang"], pdf["content"], strict=True):
+            lang = "" if lang is None else lang
+            folders.update(folder_words(path))
+            if not text:
+                continue
+            comments.update(comment_words(text))
+            distinct = set(_IDENT.findall(text if lang in _NO_CODE else _REMARKS.sub("", text)))
+            names.update((lang, name) for name in distinct)
+            if lang not in _NO_CODE:
+                found = set()
+                for name in distinct:
+                    if name not in parts:
+                        parts[name] = words_of(name)
+                    found.update(parts[name])
+                used.update(found)
         if len(names) > 200_000:
             fold()
     fold()
-    yield pd.DataFrame([(lang, g, n) for lang, own in counts.items() for g, n in own.items()], columns=["lang", "gram", "n"])
+    grams = [(lang, g, n, 0, 0) for lang, own in counts.items() for g, n in own.items()]
+    words = [(None, w, used[w], folders[w], comments[w]) for w in used.keys() | folders.keys() | comments.keys()]
+    yield pd.DataFrame(grams + words, columns=["lang", "gram", "n", "folders", "comments"])
 
 
 class _Costs(dict):
@@ -186,26 +237,44 @@ class NameModel:
         return self.styles.get(style, 0) * 50 < self.named
 
 
-def train(files: DataFrame) -> dict[str, NameModel]:
+def count_names(files: DataFrame) -> DataFrame:
+    """(lang, gram, n, folders, comments): trigram counts per language and, with null lang,
+    in how many files each word stands in code (n), in the folders and in outermost comments.
+
+    One pass; counts are added per partition, then by key.
+    """
+    slim = spread(files.select("rel_path", "lang", "content"))
+    rows = slim.mapInPandas(_count_batches, "lang string, gram string, n bigint, folders bigint, comments bigint")
+    return cut(rows.groupBy("lang", "gram").agg(*[F.sum(c).alias(c) for c in ("n", "folders", "comments")]))
+
+
+def train(counts: DataFrame) -> dict[str, NameModel]:
     """Models per language, from all files.
 
-    The counts are added per partition, then by key; what reaches the driver is
-    one row per language and trigram over some 40 characters, at most 64,000 rows
-    a language whatever the corpus holds.
+    What reaches the driver is one row per language and trigram over some 40
+    characters, at most 64,000 rows a language whatever the corpus holds.
     """
-    rows = (
-        spread(files.select("lang", "content"))
-        .mapInPandas(_count_batches, "lang string, gram string, n bigint")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-        .toLocalIterator()
-    )
     by_lang: dict[str, dict[str, int]] = {}
-    for lang, gram, n in rows:
+    for lang, gram, n in counts.where(F.col("lang").isNotNull()).select("lang", "gram", "n").toLocalIterator():
         by_lang.setdefault(lang, {})[gram] = n
     return {g: NameModel(c) for g, c in by_lang.items()}
 
 
+def foreign_words(counts: DataFrame) -> DataFrame:
+    """(word): words that name folders and begin outermost comments, and that code does not use."""
+    rare = F.col("n") * FOREIGN_TIMES < F.least("folders", "comments")
+    even = F.greatest("folders", "comments") <= FOREIGN_RATIO * F.least("folders", "comments")
+    return counts.where(F.col("lang").isNull() & rare & even).select(F.col("gram").alias("word"))
+
+
+def _everyone(models: dict[str, NameModel]) -> NameModel:
+    """One model of the names of all languages."""
+    whole: Counter = Counter()
+    for m in models.values():
+        whole.update(m.tri)
+    return NameModel(whole)
+
+
 def head_comments(text: str) -> tuple[list[str], int]:
     """The comment lines before the first code of a file, and where that code begins."""
     out, inside, at = [], False, 0
@@ -273,7 +342,8 @@ def banners(text: str, lang: str | None) -> list[str]:
         while last:
             end = last.end()
             last = own.match(text, end + 1) if end + 1 < len(text) else None
-        following = text[end + 1 : end + 200].split("\n", 1)[0]
+        stop = text.find("\n", end + 1)
+        following = text[end + 1 : len(text) if stop < 0 else stop]
         if following.strip() and not _OPENING.match(following):
             continue
         if lang == "python":
@@ -306,7 +376,7 @@ def content_signs(text: str, lang: str | None, model: NameModel | None, memory:
     out = banners(text, lang)
     size = len(text)
     sums = any(w in text for w in ("integrity", "checksum", "resolved"))
-    if _LOCK_HEAD.search(text[:400]) or (sums and len(_LOCK_SUM.findall(text)) >= 3):
+    if (lang in _NO_CODE and _LOCK_HEAD.search(text)) or (sums and len(_LOCK_SUM.findall(text)) >= 3):
         out.append("lock: content")
     bulk = sum(m.end() - m.start() for m in _NUMBER_ROW.finditer(text)) + sum(m.end() - m.start() for m in _LITERAL.finditer(text))
     if size >= 200 and bulk >= DATA_SHARE * size:
@@ -324,15 +394,13 @@ def content_signs(text: str, lang: str | None, model: NameModel | None, memory:
             judged.clear()
         for n, times in distinct.items():
             size_ = len(n)
-            if size_ > 200:
-                continue
             known = judged.get(n)
             if known is None:
                 known = judged[n] = (model.bits(n) > MANGLED_BITS, size_ > 4 and model.foreign(style_of(n)))
             used += times
             if known[0]:
                 mangled += times
-            if size_ > 4:
+            elif size_ > 4:
                 styled += times
                 if known[1]:
                     foreign += times
@@ -346,27 +414,54 @@ def content_signs(text: str, lang: str | None, model: NameModel | None, memory:
 
 
 def _judge_batches(models: dict[str, NameModel]):
+    everyone = _everyone(models)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory: dict = {}
+        unlikely: dict[str, bool] = {}
         for pdf in batches:
-            found = []
+            found, named = [], []
             for path, lang, text in zip(pdf["rel_path"], pdf["lang"], pdf["content"], strict=True):
                 lang = "" if lang is None else lang
                 signs = path_signs(path)
                 if text:
                     signs += content_signs(text, lang, models.get(lang), memory)
                 found.append(list(dict.fromkeys(signs)))
-            yield pd.DataFrame({"repo": pdf["repo"], "rel_path": pdf["rel_path"], "lang": pdf["lang"], "signs": found})
+                words = folder_words(path) | comment_words(text)
+                for w in words:
+                    if w not in unlikely:
+                        unlikely[w] = everyone.bits(w) >= FOREIGN_BITS
+                named.append(sorted(w for w in words if unlikely[w]))
+            yield pd.DataFrame({"repo": pdf["repo"], "rel_path": pdf["rel_path"], "lang": pdf["lang"], "signs": found, "named": named})
 
     return run
 
 
-def judge_files(files: DataFrame, models: dict[str, NameModel] | None = None) -> DataFrame:
-    """(repo, rel_path, lang, signs) of every distinct file; no sign: hand-written."""
-    models = train(files) if models is None else models
+def judge_files(files: DataFrame) -> DataFrame:
+    """(repo, rel_path, lang, signs) of every distinct file; no sign: hand-written.
+
+    Two passes over the files; what is shuffled are counts and verdicts. The unlikely
+    words of a file's folders and comments, a handful, meet the foreign words in a join.
+    """
+    counts = count_names(files)
     slim = spread(files.select("repo", "rel_path", "lang", "content"))
-    return slim.mapInPandas(_judge_batches(models), "repo string, rel_path string, lang string, signs array<string>").distinct()
+    key = ["repo", "rel_path", "lang"]
+    judged = cut(slim.mapInPandas(_judge_batches(train(counts)), "repo string, rel_path string, lang string, signs array<string>, named array<string>"))
+    named = judged.select(*key, F.explode("named").alias("word")).join(foreign_words(counts), "word", "left_semi")
+    vendored = named.select(*key, F.array(F.lit("vendored: foreign name")).alias("signs"))
+    every = judged.select(*key, "signs").distinct().unionByName(vendored.distinct())
+    return every.groupBy(*key).agg(F.array_distinct(F.flatten(F.array_sort(F.collect_list("signs")))).alias("signs"))
 
 
 def derived_files(files: DataFrame) -> DataFrame:
     return judge_files(files).where(F.size("signs") > 0)
+
+
+#: Signs that come from the name models alone, without any list of words or folders.
+BY_NAMES = ("minified: mangled names", "generated: template names", "vendored: foreign style", "vendored: foreign name")
+
+
+def sign_counts(judged: DataFrame) -> DataFrame:
+    """(sign, files, by_names): files per sign, and how many of them the name models find too."""
+    rows = judged.withColumn("by_names", F.arrays_overlap("signs", F.array(*map(F.lit, BY_NAMES))))
+    return rows.select(F.explode("signs").alias("sign"), "by_names").groupBy("sign").agg(F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("by_names"), 1)).alias("by_names"))

@@ -28,6 +28,10 @@ def p3_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.derived_files(table(spark, sf_dir, "walked_files"))
 
 
+def p3_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.sign_counts(derived.judge_files(table(spark, sf_dir, "walked_files")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_derived(spark, sf_dir).select("repo", "rel_path").distinct()
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p3_derived": p3_derived,
     "p3_found": p3_found,
+    "p3_signs": p3_signs,
     "p5_unparsable": p5_unparsable,
     "p5_found": p5_found,
     "p5_rates": p5_rates,

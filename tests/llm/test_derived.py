@@ -11,8 +11,8 @@ CASES = {
     "src/asks.py": ("# Do not edit without asking the owners of this area.\n" + HAND, []),
     "src/speaks.py": ("# Template used by the code generator, maintained manually.\n" + HAND + 'BANNER = "@generated by x"\n', []),
     "src/replaces.py": ("# Replaces the vendored helper we used to carry.\n" + HAND, []),
-    "src/copy.py": ("# pebblex 1.4 - (c) the pebblex contributors, licensed under MIT\n" + HAND, ["vendored: banner"]),
-    "src/third_party/pebblex/a.py": (HAND, ["vendored: folder"]),
+    "src/copy.py": ("# pebblex 1.4 - (c) the pebblex contributors, licensed under MIT\n" + HAND, ["vendored: banner", "vendored: foreign name"]),
+    "src/third_party/pebblex/a.py": (HAND, ["vendored: folder", "vendored: foreign name"]),
     "src/vendor_portal/a.py": (HAND, []),
     "src/generators/gen_a.py": (HAND, []),
     "src/gen/a.py": (None, ["generated: folder"]),
@@ -34,6 +34,25 @@ def test_signs(spark):
     assert {p: got[p] for p in CASES if p != "src/data.py"} == {p: sorted(s) for p, (_, s) in CASES.items() if p != "src/data.py"}
 
 
+def test_foreign_names_need_no_list(spark):
+    """Names of projects that folders and comments name and no code uses; own folders and names stay."""
+    hand = [("r", f"tools/part{i % 3}/m{i}.py", "python", HAND.replace("rows", w)) for i, w in enumerate(["alpha", "beta", "gamma", "delta"] * 30)]
+    copies = [("r", f"app/zorkwidget/a{i}.py", "python", HAND) for i in range(4)] + [("s", f"app/x/b{i}.py", "python", "# zorkwidget 2.1, with thanks\n" + HAND) for i in range(3)]
+    speaks = [("s", "tools/c.py", "python", "# Speaks like zorkwidget does.\n" + HAND), ("s", "tools/d.py", "python", "# tools of the workspace\n" + HAND), ("s", "app/target/e.py", "python", "# target of the walk\n" + HAND)]
+    readme = [("s", "README.md", "markdown", "We use zorkwidget here.\n")]
+    df = spark.createDataFrame(hand + copies + speaks + readme, "repo string, rel_path string, lang string, content string")
+    got = {(r.repo, r.rel_path): r.signs for r in D.derived_files(df).collect()}
+    assert got == {(r, p): ["vendored: foreign name"] for r, p, _, _ in copies}
+    counts = {r.sign: (r.files, r.by_names) for r in D.sign_counts(D.judge_files(df)).collect()}
+    assert counts == {"vendored: foreign name": (7, 7)}
+
+
+def test_lock_heads_and_long_names_anywhere():
+    late = "# " + "x" * 900 + "\nlockfileVersion: 9\n"
+    assert "lock: content" in D.content_signs(late, "yaml", None, {}) and D.content_signs("v = {\n lockfileVersion: 3 }\n", "javascript", None, {}) == []
+    assert D.words_of("ZorkWidget_is-Fine2") == ["zork", "widget", "fine"] and D.words_of("a" * 1000) == ["a" * 1000]
+
+
 def test_minified_by_cross_entropy(spark):
     rng = random.Random(4)
     hand = [("r", f"m{i}.js", "javascript", HAND.replace("rows", w)) for i, w in enumerate(["alpha", "beta", "gamma", "delta"] * 60)]
