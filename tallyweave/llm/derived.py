@@ -86,7 +86,7 @@ _NUMBER_ROW = re.compile(r"(?:-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?
 #: Bits per character above which an identifier counts as mangled.
 MANGLED_BITS = 4.2
 #: Shares from which a file is flagged.
-MANGLED_SHARE, TEMPLATE_SHARE, DATA_SHARE, FOREIGN_SHARE = 0.5, 0.3, 0.5, 0.8
+MANGLED_SHARE, TEMPLATE_SHARE, DATA_SHARE, FOREIGN_SHARE = 0.3, 0.3, 0.5, 0.8
 #: Bits per character above which a word may name a project from elsewhere, how many
 #: times more often than in code it must stand in paths and in comments, and how many
 #: times more often in one of them than in the other it may: the workspace's own
