@@ -1,10 +1,15 @@
 """References to records that do not exist.
 
-A foreign-key graph is declared as a list of :class:`Reference` objects. The
-operator finds, for every child record and reference, whether the referenced
-key exists (``direct`` orphans), then walks down the graph to a fixpoint: a
-parent that is itself an orphan no longer counts as existing, so the children
-that hang on nothing but orphaned parents come out as ``inherited`` orphans.
+A foreign-key graph is declared as a list of :class:`Reference` objects, each
+pointing at the keys of a :class:`Parents` table. The operator finds, for every
+child record and reference, whether the referenced key exists (``direct``
+orphans), then walks down the graph to a fixpoint: a parent that is itself an
+orphan no longer counts as existing, so the children that hang on nothing but
+orphaned parents come out as ``inherited`` orphans.
+
+All references of a level meet all parent keys in one join. What is shuffled are
+128-bit hashes of keys and records; the records themselves move once, at the end,
+to those of their references that are orphans.
 
 Defined results for odd input
     * null reference: no reference, never an orphan
@@ -18,147 +23,189 @@ Defined results for odd input
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.session import cut
 
-#: A key with more references than this is looked up through salted copies.
+#: A key with more references than this is looked up through salted copies, one for
+#: every so many references.
 HOT_KEY_ROWS = 100_000
-SALTS = 32
+
+
+@dataclass(frozen=True)
+class Parents:
+    """Keys that may be referenced: rows of a table, restricted by ``where``.
+
+    ``since``: the moment a row came to exist. ``record``: columns naming the record
+    that a row is, when the rows are themselves children (the edge the cascade
+    follows).
+    """
+
+    rows: DataFrame
+    keys: tuple[str, ...]
+    where: Column | None = None
+    since: str | None = None
+    record: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class Reference:
-    """``child`` columns point at ``parent`` key columns; the last one is the reference itself.
-
-    ``child_where``: which child records hold this reference at all.
-    ``parents``: the parent table, of which only ``parent_keys``, ``parent_since``
-    and ``parent_record`` are read; ``parent_where`` restricts it.
-    ``child_at`` / ``parent_since``: when both are given the parent must not be
-    later than the child.
-    ``parent_record``: columns naming the record that a parent row is, when the
-    parents are themselves children (the edge the cascade follows).
+    """``keys`` of a child point at the keys of ``parents``; the last one is the reference itself.
+
+    ``where``: which child records hold this reference at all. ``at``: when given
+    together with the parents' ``since``, the parent must not be later than it.
     """
 
     name: str
-    child_keys: tuple[str, ...]
-    parents: DataFrame
-    parent_keys: tuple[str, ...]
-    child_where: Column | None = None
-    parent_where: Column | None = None
-    child_at: str | None = None
-    parent_since: str | None = None
-    parent_record: tuple[str, ...] = field(default=())
-
-
-def _lookup(refs: DataFrame, keys: list[str], parents: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Left join of references to a parent side that is unique per key.
-
-    ``hot`` (keys referenced very often, at most rows / HOT_KEY_ROWS of them)
-    spreads the references of such a key over SALTS partitions; only the parent
-    rows of hot keys are repeated.
-    """
-    if hot is None:
-        return refs.join(parents, keys, "left")
-    mark = hot.withColumn("__hot", F.lit(True))
-    salted = refs.join(F.broadcast(mark), keys, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64("__child"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    )
-    copies = parents.join(F.broadcast(mark), keys, "left").withColumn(
-        "__salt",
-        F.explode(
-            F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return salted.drop("__hot").join(copies.drop("__hot"), [*keys, "__salt"], "left").drop("__salt")
+    keys: tuple[str, ...]
+    parents: Parents
+    where: Column | None = None
+    at: str | None = None
 
 
-def _references(children: DataFrame, record: Sequence[str], ref: Reference) -> DataFrame:
-    """(__child, __at, k0..): the records whose last key column, the reference, is not null.
+def _hashes(columns: Sequence[Column], *salt: int) -> list[Column]:
+    """128 bits of the columns; a null differs from every value, in every place."""
+    nulls = reduce(lambda a, b: a + b, [F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)])
+    fixed = [F.lit(s) for s in salt]
+    return [F.xxhash64(*fixed, nulls, *columns), F.xxhash64(F.lit(0x5EED), *fixed, nulls, *columns)]
 
-    A null in the columns before it (a scope, such as the repository) matches no
-    parent, so such a reference leads to nothing.
-    """
-    rows = children if ref.child_where is None else children.where(ref.child_where)
-    rows = rows.where(F.col(ref.child_keys[-1]).isNotNull())
-    at = F.col(ref.child_at) if ref.child_at else F.lit(None).cast("timestamp")
-    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(ref.child_keys)]
-    return rows.select(F.struct(*record).alias("__child"), at.alias("__at"), *keys)
-
-
-def _parents(ref: Reference, dead: DataFrame | None) -> DataFrame:
-    """One row per parent key with the earliest moment at which it existed."""
-    rows = ref.parents if ref.parent_where is None else ref.parents.where(ref.parent_where)
-    if dead is not None:
-        rows = rows.withColumn("__parent", F.struct(*ref.parent_record)).join(dead, F.col("__parent") == F.col("__dead"), "left_anti")
-    since = F.col(ref.parent_since) if ref.parent_since else F.lit(None).cast("timestamp")
-    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(ref.parent_keys)]
-    return (
-        rows.select(*keys, since.alias("__s"))
-        .groupBy(*[f"__k{i}" for i in range(len(keys))])
-        .agg(F.min("__s").alias("__since"), F.lit(True).alias("__exists"))
-    )
 
+def _record(columns: Sequence[str]) -> list[Column]:
+    r = _hashes([F.col(c) for c in columns])
+    return [r[0].alias("r1"), r[1].alias("r2")]
 
-def _hot_keys(refs: DataFrame, keys: list[str], threshold: int) -> DataFrame | None:
-    """Keys above the threshold; null when there are none.
 
-    The list has at most (references / threshold) keys, so it is small enough to
-    broadcast whatever the data are; it is counted before it is used.
+def _spaces(refs: Sequence[Reference]) -> list[Parents]:
+    out: list[Parents] = []
+    for r in refs:
+        if not any(r.parents is p for p in out):
+            out.append(r.parents)
+    return out
+
+
+def _references(children: DataFrame, record: Sequence[str], refs: Sequence[Reference], spaces: Sequence[Parents]) -> DataFrame:
+    """(k1, k2, at, r1, r2, field, held): all references that are not null, one row each.
+
+    A null in the key columns before the last (a scope, such as the repository)
+    matches no parent: ``held`` is false and such a reference leads to nothing.
+    """
+    structs = []
+    for n, r in enumerate(refs):
+        space = next(i for i, p in enumerate(spaces) if p is r.parents)
+        keys = [F.col(c) for c in r.keys]
+        k1, k2 = _hashes(keys, space)
+        at = F.col(r.at) if r.at and r.parents.since else F.lit(None).cast("timestamp")
+        held = reduce(lambda a, b: a & b, [c.isNotNull() for c in keys])
+        there = keys[-1].isNotNull() if r.where is None else keys[-1].isNotNull() & r.where
+        structs.append(F.when(F.coalesce(there, F.lit(False)), F.struct(k1.alias("k1"), k2.alias("k2"), at.alias("at"), F.lit(n).cast("byte").alias("field"), held.alias("held"))))
+    # The generator keeps the hashes of a row from being worked out once for each column of the struct.
+    return children.select(*_record(record), F.explode(F.array_compact(F.array(*structs))).alias("x")).select("x.*", "r1", "r2")
+
+
+def _parent_rows(spaces: Sequence[Parents], only: Sequence[Parents]) -> DataFrame:
+    """(k1, k2, since, r1, r2): rows of all parent tables; r1, r2 are null where no edge leads on."""
+    out = None
+    for i, p in enumerate(spaces):
+        if not any(p is q for q in only):
+            continue
+        rows = p.rows if p.where is None else p.rows.where(p.where)
+        k1, k2 = _hashes([F.col(c) for c in p.keys], i)
+        since = F.col(p.since) if p.since else F.lit(None).cast("timestamp")
+        own = _record(p.record) if p.record else [F.lit(None).cast("bigint").alias("r1"), F.lit(None).cast("bigint").alias("r2")]
+        part = rows.select(k1.alias("k1"), k2.alias("k2"), since.alias("since"), *own)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _lookup(refs: DataFrame, parents: DataFrame, how: str, hot_rows: int | None) -> DataFrame:
+    """Join of references to a parent side that is unique per key.
+
+    The references of a key that has more than ``hot_rows`` of them are spread over
+    as many copies of its one parent row as hold ``hot_rows`` each. The list of such
+    keys is counted first; it has at most (references / hot_rows) rows, so it is small
+    enough to broadcast whatever the data are.
     """
-    hot = cut(refs.groupBy(*keys).count().where(F.col("count") > threshold).select(*keys))
-    return hot if hot.take(1) else None
+    hot = None
+    if hot_rows:
+        counted = refs.groupBy("k1", "k2").count().where(F.col("count") > hot_rows)
+        hot = cut(counted.select("k1", "k2", F.ceil(F.col("count") / hot_rows).cast("int").alias("copies")))
+        hot = hot if hot.take(1) else None
+    if hot is None:
+        return refs.join(parents, ["k1", "k2"], how)
+    spot = F.pmod(F.xxhash64("r1", "r2"), F.coalesce("copies", F.lit(1))).cast("int").alias("salt")
+    salted = refs.join(F.broadcast(hot), ["k1", "k2"], "left").select(*refs.columns, spot)
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt")
+    copies = parents.join(F.broadcast(hot), ["k1", "k2"], "left").select(*parents.columns, each)
+    return salted.join(copies, ["k1", "k2", "salt"], how).drop("salt")
+
+
+def _orphaned(refs: Sequence[Reference]) -> Column:
+    timed = [n for n, r in enumerate(refs) if r.at and r.parents.since]
+    on_time = F.coalesce(F.col("since") <= F.col("at"), F.lit(False))
+    on_time = F.when(F.col("field").isin(*timed), on_time).otherwise(F.lit(True)) if timed else F.lit(True)
+    return ~F.coalesce(F.col("alive") & on_time, F.lit(False))
+
 
+def _first_level(refs: DataFrame, parents: DataFrame, orphaned: Column, hot_rows: int | None) -> DataFrame:
+    """(r1, r2, field) of the references whose key does not exist."""
+    keyed = parents.groupBy("k1", "k2").agg(F.min("since").alias("since"), F.lit(True).alias("alive"))
+    found = _lookup(refs.where("held"), keyed, "left", hot_rows).where(orphaned)
+    return found.select("r1", "r2", "field").unionByName(refs.where("NOT held").select("r1", "r2", "field")).distinct()
 
-def direct(children: DataFrame, record: Sequence[str], ref: Reference, dead: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
-    """(child struct, field): records whose reference leads to nothing."""
-    keys = [f"__k{i}" for i in range(len(ref.child_keys))]
-    refs = _references(children, record, ref)
-    hot = _hot_keys(refs, keys, hot_rows) if hot_rows else None
-    found = _lookup(refs, keys, _parents(ref, dead), hot)
-    ok = F.col("__exists").isNotNull()
-    if ref.child_at and ref.parent_since:
-        ok = ok & F.coalesce(F.col("__since") <= F.col("__at"), F.lit(False))
-    return found.where(~ok).select(F.col("__child").alias("child"), F.lit(ref.name).alias("field"))
 
+def _next_level(refs: DataFrame, parents: DataFrame, found: DataFrame, orphaned: Column, depth: int, hot_rows: int | None) -> DataFrame:
+    """(r1, r2, field): references orphaned by the records that the last round orphaned.
 
-def cascade(children: DataFrame, record: Sequence[str], refs: Sequence[Reference], max_rounds: int = 50, hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
+    Only keys that lost a parent row in that round are looked at again; what is left
+    of their rows says from when on they still exist.
+    """
+    dead = found.groupBy("r1", "r2").agg(F.min("depth").alias("died"))
+    rows = parents.join(dead, ["r1", "r2"], "left")
+    left = F.when(F.col("died").isNull(), F.col("since"))
+    keyed = (
+        rows.groupBy("k1", "k2")
+        .agg(F.min(left).alias("since"), F.max(F.col("died").isNull()).alias("alive"), F.max(F.coalesce(F.col("died") == depth - 1, F.lit(False))).alias("touched"))
+        .where("touched").drop("touched")
+    )
+    lost = _lookup(refs.where("held"), keyed, "inner", hot_rows).where(orphaned).select("r1", "r2", "field").distinct()
+    return lost.join(found.select("r1", "r2", "field"), ["r1", "r2", "field"], "left_anti")
+
+
+def cascade(children: DataFrame, record: Sequence[str], refs: Sequence[Reference], hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """All orphan references with their ``origin`` and ``depth``.
 
     Columns: the ``record`` columns, ``field``, ``origin`` (direct or inherited)
     and ``depth`` (0 for direct, n for the n-th round of the cascade).
 
-    Each round removes the records orphaned so far from the parent side of the
-    references that have a ``parent_record`` and joins the children again; it
-    ends when a round finds nothing new. Every round is cut by a checkpoint, so
-    the plan does not grow; the state is one row per orphan reference.
+    A round takes the records that the round before orphaned from the parent side
+    and joins the references of the keys this touches; the walk ends when a round
+    finds nothing new, after at most as many rounds as the longest chain has links.
+    Every round is cut by a checkpoint, so the plan does not grow; the state is one
+    narrow row per orphan reference.
     """
-    level = None
-    for r in refs:
-        part = direct(children, record, r, hot_rows=hot_rows)
-        level = part if level is None else level.unionByName(part)
-    found = cut(level.distinct().withColumn("origin", F.lit("direct")).withColumn("depth", F.lit(0)))
-    edges = [r for r in refs if r.parent_record]
-    fresh = found
-    for depth in range(1, max_rounds + 1):
-        if not edges or not fresh.take(1):
-            break
-        dead = found.select(F.col("child").alias("__dead")).distinct()
-        level = None
-        for r in edges:
-            part = direct(children, record, r, dead, hot_rows)
-            level = part if level is None else level.unionByName(part)
-        fresh = cut(
-            level.distinct()
-            .join(found.select("child", "field"), ["child", "field"], "left_anti")
-            .withColumn("origin", F.lit("inherited"))
-            .withColumn("depth", F.lit(depth))
-        )
+    spaces = _spaces(refs)
+    held = _references(children, record, refs, spaces)
+    depth = 0
+    orphaned = _orphaned(refs)
+    found = fresh = cut(_first_level(held, _parent_rows(spaces, spaces), orphaned, hot_rows).withColumn("depth", F.lit(0)))
+    edges = [p for p in spaces if p.record]
+    follow = [n for n, r in enumerate(refs) if r.parents.record]
+    while edges and fresh.take(1):
+        depth += 1
+        onward = held.where(F.col("field").isin(*follow))
+        fresh = cut(_next_level(onward, _parent_rows(spaces, edges), found, orphaned, depth, hot_rows).withColumn("depth", F.lit(depth)))
         found = found.unionByName(fresh)
-    return found.select(*[F.col(f"child.{c}").alias(c) for c in record], "field", "origin", "depth")
+    names = F.array(*[F.lit(r.name) for r in refs])
+    whole = children.select(F.struct(*record).alias("child"), *_record(record))
+    rows = found.join(whole, ["r1", "r2"]).groupBy("r1", "r2", "field", "depth").agg(F.first("child").alias("child"))
+    return rows.select(
+        *[F.col(f"child.{c}").alias(c) for c in record], names[F.col("field").cast("int")].alias("field"),
+        F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("origin"), "depth",
+    )
 
 
 LINK = ("repo", "src_chunk_id", "kind", "name", "line", "indexed_at")
@@ -166,17 +213,12 @@ LINK = ("repo", "src_chunk_id", "kind", "name", "line", "indexed_at")
 
 def link_references(links: DataFrame, chunks: DataFrame) -> list[Reference]:
     """The foreign keys of the link table: two to chunks, one to other links' names."""
-    alive = F.col("deleted_at").isNull()
-    to_chunk = {"parents": chunks, "parent_keys": ("repo", "id"), "parent_where": alive, "child_at": "indexed_at", "parent_since": "indexed_at"}
+    alive = Parents(chunks, ("repo", "id"), F.col("deleted_at").isNull() & F.col("repo").isNotNull() & F.col("id").isNotNull(), "indexed_at")
+    anchors = Parents(links, ("norm",), F.col("kind").isin("defines", "declares") & F.col("norm").isNotNull(), record=LINK)
     return [
-        Reference("src_chunk_id", ("repo", "src_chunk_id"), **to_chunk),
-        Reference("dst_chunk_id", ("repo", "dst_chunk_id"), **to_chunk),
-        Reference(
-            "norm", ("norm",), links, ("norm",),
-            child_where=F.col("kind") == "mentions",
-            parent_where=F.col("kind").isin("defines", "declares"),
-            parent_record=LINK,
-        ),
+        Reference("src_chunk_id", ("repo", "src_chunk_id"), alive, at="indexed_at"),
+        Reference("dst_chunk_id", ("repo", "dst_chunk_id"), alive, at="indexed_at"),
+        Reference("norm", ("norm",), anchors, where=F.col("kind") == "mentions"),
     ]
 
 

@@ -61,7 +61,7 @@ def test_hot_keys_give_the_same_rows(spark):
 def test_chain_of_any_depth(spark):
     """Records that point at records of their own table, three levels down."""
     nodes = spark.createDataFrame([("a", "zzz"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", None), ("f", "e")], "id string, up string")
-    ref = orphans.Reference("up", ("up",), nodes, ("id",), parent_record=("id", "up"))
+    ref = orphans.Reference("up", ("up",), orphans.Parents(nodes, ("id",), record=("id", "up")))
     found = {(r.id, r.origin, r.depth) for r in orphans.cascade(nodes, ("id", "up"), [ref]).collect()}
     assert found == {("a", "direct", 0), ("b", "inherited", 1), ("c", "inherited", 2), ("d", "inherited", 3)}
 
