@@ -121,19 +121,24 @@ def _parent_rows(spaces: Sequence[Parents], only: Sequence[Parents]) -> DataFram
     return out
 
 
-def _lookup(refs: DataFrame, parents: DataFrame, how: str, hot_rows: int | None) -> DataFrame:
+def _hot_keys(refs: DataFrame, hot_rows: int | None) -> DataFrame | None:
+    """(k1, k2, copies): keys with more than ``hot_rows`` references; null when there are none.
+
+    The list has at most (references / hot_rows) rows, so it is small enough to
+    broadcast whatever the data are; it is counted before it is used.
+    """
+    if not hot_rows:
+        return None
+    counted = refs.groupBy("k1", "k2").count().where(F.col("count") > hot_rows)
+    hot = cut(counted.select("k1", "k2", F.ceil(F.col("count") / hot_rows).cast("int").alias("copies")))
+    return hot if hot.take(1) else None
+
+
+def _lookup(refs: DataFrame, parents: DataFrame, how: str, hot: DataFrame | None) -> DataFrame:
     """Join of references to a parent side that is unique per key.
 
-    The references of a key that has more than ``hot_rows`` of them are spread over
-    as many copies of its one parent row as hold ``hot_rows`` each. The list of such
-    keys is counted first; it has at most (references / hot_rows) rows, so it is small
-    enough to broadcast whatever the data are.
+    The references of a hot key are spread over several copies of its one parent row.
     """
-    hot = None
-    if hot_rows:
-        counted = refs.groupBy("k1", "k2").count().where(F.col("count") > hot_rows)
-        hot = cut(counted.select("k1", "k2", F.ceil(F.col("count") / hot_rows).cast("int").alias("copies")))
-        hot = hot if hot.take(1) else None
     if hot is None:
         return refs.join(parents, ["k1", "k2"], how)
     spot = F.pmod(F.xxhash64("r1", "r2"), F.coalesce("copies", F.lit(1))).cast("int").alias("salt")
@@ -150,29 +155,23 @@ def _orphaned(refs: Sequence[Reference]) -> Column:
     return ~F.coalesce(F.col("alive") & on_time, F.lit(False))
 
 
-def _first_level(refs: DataFrame, parents: DataFrame, orphaned: Column, hot_rows: int | None) -> DataFrame:
+def _first_level(refs: DataFrame, parents: DataFrame, orphaned: Column, hot: DataFrame | None) -> DataFrame:
     """(r1, r2, field) of the references whose key does not exist."""
     keyed = parents.groupBy("k1", "k2").agg(F.min("since").alias("since"), F.lit(True).alias("alive"))
-    found = _lookup(refs.where("held"), keyed, "left", hot_rows).where(orphaned)
+    found = _lookup(refs.where("held"), keyed, "left", hot).where(orphaned)
     return found.select("r1", "r2", "field").unionByName(refs.where("NOT held").select("r1", "r2", "field")).distinct()
 
 
-def _next_level(refs: DataFrame, parents: DataFrame, found: DataFrame, orphaned: Column, depth: int, hot_rows: int | None) -> DataFrame:
-    """(r1, r2, field): references orphaned by the records that the last round orphaned.
-
-    Only keys that lost a parent row in that round are looked at again; what is left
-    of their rows says from when on they still exist.
-    """
+def _touched(parents: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """(k1, k2, since, alive): the keys that lost a parent row in round ``depth``, and what is left of them."""
     dead = found.groupBy("r1", "r2").agg(F.min("depth").alias("died"))
     rows = parents.join(dead, ["r1", "r2"], "left")
     left = F.when(F.col("died").isNull(), F.col("since"))
-    keyed = (
+    return (
         rows.groupBy("k1", "k2")
-        .agg(F.min(left).alias("since"), F.max(F.col("died").isNull()).alias("alive"), F.max(F.coalesce(F.col("died") == depth - 1, F.lit(False))).alias("touched"))
+        .agg(F.min(left).alias("since"), F.max(F.col("died").isNull()).alias("alive"), F.max(F.coalesce(F.col("died") == depth, F.lit(False))).alias("touched"))
         .where("touched").drop("touched")
     )
-    lost = _lookup(refs.where("held"), keyed, "inner", hot_rows).where(orphaned).select("r1", "r2", "field").distinct()
-    return lost.join(found.select("r1", "r2", "field"), ["r1", "r2", "field"], "left_anti")
 
 
 def cascade(children: DataFrame, record: Sequence[str], refs: Sequence[Reference], hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
@@ -182,23 +181,27 @@ def cascade(children: DataFrame, record: Sequence[str], refs: Sequence[Reference
     and ``depth`` (0 for direct, n for the n-th round of the cascade).
 
     A round takes the records that the round before orphaned from the parent side
-    and joins the references of the keys this touches; the walk ends when a round
-    finds nothing new, after at most as many rounds as the longest chain has links.
+    and looks again only at the references of the keys this touches; what is left of a
+    key's rows says from when on it still exists. The walk ends when no key is touched,
+    after at most as many rounds as the longest chain has links.
     Every round is cut by a checkpoint, so the plan does not grow; the state is one
     narrow row per orphan reference.
     """
     spaces = _spaces(refs)
     held = _references(children, record, refs, spaces)
+    orphaned, hot = _orphaned(refs), _hot_keys(held.where("held"), hot_rows)
     depth = 0
-    orphaned = _orphaned(refs)
-    found = fresh = cut(_first_level(held, _parent_rows(spaces, spaces), orphaned, hot_rows).withColumn("depth", F.lit(0)))
+    found = cut(_first_level(held, _parent_rows(spaces, spaces), orphaned, hot).withColumn("depth", F.lit(0)))
     edges = [p for p in spaces if p.record]
-    follow = [n for n, r in enumerate(refs) if r.parents.record]
-    while edges and fresh.take(1):
+    onward = held.where(F.col("held") & F.col("field").isin(*[n for n, r in enumerate(refs) if r.parents.record]))
+    while edges:
+        keys = cut(_touched(_parent_rows(spaces, edges), found, depth))
+        if not keys.take(1):
+            break
         depth += 1
-        onward = held.where(F.col("field").isin(*follow))
-        fresh = cut(_next_level(onward, _parent_rows(spaces, edges), found, orphaned, depth, hot_rows).withColumn("depth", F.lit(depth)))
-        found = found.unionByName(fresh)
+        lost = _lookup(onward, keys, "inner", hot).where(orphaned).select("r1", "r2", "field").distinct()
+        fresh = lost.join(found.select("r1", "r2", "field"), ["r1", "r2", "field"], "left_anti")
+        found = found.unionByName(cut(fresh.withColumn("depth", F.lit(depth))))
     names = F.array(*[F.lit(r.name) for r in refs])
     whole = children.select(F.struct(*record).alias("child"), *_record(record))
     rows = found.join(whole, ["r1", "r2"]).groupBy("r1", "r2", "field", "depth").agg(F.first("child").alias("child"))
