@@ -5,11 +5,12 @@ Every function takes a table of queries, so one plan answers many queries.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import numbers as N
@@ -18,8 +19,9 @@ from tallyweave.session import cut
 
 #: Okapi parameters and the constant of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Up to so many query terms are sent to every executor.
-MOST_TERMS = 200_000
+#: Up to so many query terms, and cells of queries by terms (4 bytes each), are sent to
+#: every executor; up to so many terms are named in the filter of a stored index.
+MOST_TERMS, MOST_CELLS, MOST_NAMED = 200_000, 50_000_000, 5_000
 #: At most this share of an answer is history.
 COMMIT_SHARE = 0.2
 
@@ -34,30 +36,99 @@ def postings(chunks: DataFrame) -> DataFrame:
     )
 
 
-def lexical(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """BM25 top k per query: (query_id, repo, id, score, rank).
+def _counted(terms: list[str]):
+    """Batches of (repo, id, words) to (repo, id, length, t, tf): the wanted terms by number."""
+    number = {t: n for n, t in enumerate(terms)}
 
-    Only postings of query terms are kept, before they are counted, and are read
-    once for frequencies and scores; lengths come from all chunks.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query_text")))).alias("term"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lengths, ts, tfs = [], [], []
+            for words in pdf["words"]:
+                found = Counter(n for n in map(number.get, words) if n is not None)
+                lengths.append(len(words))
+                ts.append(list(found.keys()))
+                tfs.append(list(found.values()))
+            yield pd.DataFrame({"repo": pdf["repo"], "id": pdf["id"], "length": lengths, "t": ts, "tf": tfs})
+
+    return run
+
+
+def _top(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest per row above ``least``, with all ties of the k-th."""
+    width = sims.shape[1]
+    kth = np.partition(sims, width - k, axis=1)[:, width - k] if k < width else np.full(len(sims), -np.inf)
+    return np.nonzero((sims >= kth[:, None] - 1e-9) & (sims > least))
+
+
+def _scored(ids: list[int], weights: np.ndarray, idf: np.ndarray, mean: float, k: int, most: int = 512):
+    """BM25 of every query against batches of documents; k per query and batch leave."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = np.array(ids, dtype=np.int64)
+        for whole in batches:
+            for at in range(0, len(whole), most):
+                pdf = whole.iloc[at : at + most]
+                sizes = pdf["t"].map(len).to_numpy()
+                if not sizes.sum():
+                    continue
+                t, tf = np.concatenate(pdf["t"].to_numpy()).astype(np.int64), np.concatenate(pdf["tf"].to_numpy()).astype(float)
+                row = np.repeat(np.arange(len(pdf)), sizes)
+                length = pdf["length"].to_numpy(float)[row]
+                present, column = np.unique(t, return_inverse=True)
+                gains = np.zeros((len(present), len(pdf)))
+                gains[column, row] = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
+                scores = weights[:, present] @ gains
+                q, d = _top(scores, k, 0.0)
+                yield pd.DataFrame({"query_id": asked[q], "repo": pdf["repo"].to_numpy()[d], "id": pdf["id"].to_numpy()[d], "score": scores[q, d]})
+
+    return run
+
+
+def lexical(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """BM25 top k per query: (query_id, repo, id, score, rank), over all chunks but commits."""
     docs = chunks.where(F.col("kind") != "commit").select("repo", "id", T.tokens(F.col("text")).alias("words"))
+    return _lexical(docs, queries, k)
+
+
+def _lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """A batch of queries of at most MOST_TERMS terms and MOST_CELLS (query, term) cells is
+    scored where the documents lie, block by block; a larger one meets them in a shuffle."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query_text")))).alias("term")).distinct()
+    bound = terms.agg(F.count_distinct("term").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
+    if bound.terms > MOST_TERMS or bound.terms * bound.queries > MOST_CELLS:
+        return _lexical_joined(docs, terms, k)
+    pairs = terms.toPandas()
+    wanted, ids = sorted(pairs["term"].unique()), sorted(pairs["query_id"].unique().tolist())
+    number, place = {t: n for n, t in enumerate(wanted)}, {q: n for n, q in enumerate(ids)}
+    weights = np.zeros((len(ids), len(wanted)), dtype=np.float32)
+    weights[pairs["query_id"].map(place).to_numpy(int), pairs["term"].map(number).to_numpy(int)] = 1
+    counted = cut(docs.mapInPandas(_counted(wanted), "repo string, id string, length int, t array<int>, tf array<int>"))
+    stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean")).first()
+    df = np.zeros(len(wanted))
+    for t, n in counted.select(F.explode("t").alias("t")).groupBy("t").count().toLocalIterator():
+        df[t] = n
+    idf = np.log(1.0 + (stats.docs - df + 0.5) / (df + 0.5))
+    scored = counted.mapInPandas(_scored(ids, weights, idf, stats.mean or 1.0, k), "query_id bigint, repo string, id string, score double").withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "repo", "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _lexical_joined(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """The same for any number of terms: postings of the asked terms meet the queries in joins."""
     docs = docs.withColumn("length", F.size("words"))
     stats = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
-    wanted = terms.select("term").distinct()
-    if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        wanted = F.broadcast(wanted)  # a few MB at most; more terms meet the words in a shuffle
-    hits = cut(
-        docs.select("repo", "id", "length", F.explode("words").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("term", "repo", "id", "length")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    found = docs.select("repo", "id", "length", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    return _ranked(found.groupBy("term", "repo", "id", "length").agg(F.count(F.lit(1)).alias("tf")), stats, terms, k)
+
+
+def _ranked(hits: DataFrame, stats: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """Scores of postings (term, repo, id, length, tf) of the asked terms."""
+    hits = cut(hits)
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = (
-        hits.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("gain", idf * gain)
+        hits.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("gain", idf * gain)  # stats: one row
         .join(terms, "term")
         .groupBy("query_id", "repo", "id")
         .agg(F.round(F.sum("gain"), 6).alias("score"))
@@ -66,55 +137,90 @@ def lexical(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_search(k: int, dim: int):
+#: Buckets that the terms of a stored index fall into.
+BUCKETS = 256
+
+
+def bucket_of(term: Column | str) -> Column:
+    return F.pmod(F.hash(term), F.lit(BUCKETS))
+
+
+def store_index(chunks: DataFrame, path: str) -> None:
+    """Write the lexical index of chunks: postings by term bucket, and the corpus statistics."""
+    rows = postings(chunks).withColumn("bucket", bucket_of("term"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    docs = chunks.where(F.col("kind") != "commit").select(F.size(T.tokens(F.col("text"))).alias("length"))
+    docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def lexical_stored(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
+    """BM25 from a stored index: only the buckets of the asked terms are read, and of
+    those only the row groups that may hold them."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query_text")))).alias("term")).distinct()
+    rows = spark.read.parquet(f"{path}/postings")
+    asked = terms.select("term").distinct()
+    named = [r.term for r in asked.limit(MOST_NAMED + 1).collect()]
+    if len(named) <= MOST_NAMED:
+        buckets = [r.b for r in asked.select(bucket_of("term").alias("b")).distinct().collect()]
+        rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(named))
+    else:
+        rows = rows.join(asked, "term", "left_semi")
+    return _ranked(rows.select("term", "repo", "id", "length", "tf"), spark.read.parquet(f"{path}/stats"), terms, k)
+
+
+def _block_search(k: int, dim: int, skip_self: bool, per: str | None):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "row_id", *([per] if per else [])]
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": queries["query_id"].iloc[:0], "row_id": rows["row_id"].iloc[:0], "similarity": np.zeros(0)})
+            none = {"query_id": queries["query_id"].iloc[:0], "row_id": rows["row_id"].iloc[:0], **({per: rows[per].iloc[:0]} if per else {})}
+            return pd.DataFrame({**none, "similarity": np.zeros(0)})
         q = np.stack(queries["vector"].to_numpy()).astype(np.float64)
         r = np.stack(rows["vector"].to_numpy()).astype(np.float64)
         q /= np.linalg.norm(q, axis=1, keepdims=True)
         r /= np.linalg.norm(r, axis=1, keepdims=True)
-        ids = rows["row_id"].to_numpy()
-        sims = q @ r.T
-        owners, found, scores = [], [], []
-        for own, s in zip(queries["query_id"].tolist(), sims, strict=True):
-            s = np.where(ids == own, -np.inf, s)
-            # All ties of the k-th place stay, so that the merge can order them.
-            least = np.partition(s, -min(k, len(s)))[-min(k, len(s))]
-            top = np.nonzero((s >= least - 1e-9) & np.isfinite(s))[0]
-            owners += [own] * len(top)
-            found += ids[top].tolist()
-            scores += s[top].tolist()
-        return pd.DataFrame({"query_id": owners, "row_id": found, "similarity": scores})
+        owners, ids = queries["query_id"].to_numpy(), rows["row_id"].to_numpy()
+        groups = [g.to_numpy() for _, g in pd.Series(np.arange(len(rows))).groupby(rows[per].to_numpy(), dropna=False)] if per else [np.arange(len(rows))]
+        out = []
+        for at in range(0, len(q), 512):
+            sims = q[at : at + 512] @ r.T
+            if skip_self:
+                sims[owners[at : at + 512, None] == ids[None, :]] = -np.inf
+            for g in groups:
+                # All ties of the k-th place stay, so that the merge can order them.
+                i, j = _top(sims[:, g], k, -np.inf)
+                out.append(pd.DataFrame({"query_id": owners[at + i], "row_id": ids[g[j]], **({per: rows[per].to_numpy()[g[j]]} if per else {}), "similarity": sims[i, g[j]]}))
+        return pd.concat(out)[[*columns, "similarity"]]
 
     return run
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, dim: int, block_rows: int = 8192, within: str | None = None) -> DataFrame:
+def nearest(
+    queries: DataFrame, rows: DataFrame, k: int, dim: int, block_rows: int = 8192, within: str | None = None, per: str | None = None, skip_self: bool = True, ties: bool = False
+) -> DataFrame:
     """Exact cosine top k per query: (query_id, row_id, similarity, rank).
 
     Both sides (query_id / row_id, vector) are cut into blocks of bounded size;
     each pair of blocks is one matrix product, and k per query and block move on.
-    A query does not find itself. ``within`` restricts both sides to equal values
-    of a column, whose groups are cut into blocks alike.
+    A query does not find itself unless ``skip_self`` is off. ``within`` restricts
+    both sides to equal values of a column, whose groups are cut into blocks alike;
+    ``per`` gives the k best for every value of a column of the rows. With ``ties``
+    all rows as similar as the k-th are kept and ``rank`` has gaps.
     """
     by = [within] if within else []
+    kept = [per] if per else []
     # Fresh names keep both sides apart when they come from one table.
     fresh = lambda *c: [F.col(x).alias(x) for x in c]
     q = queries.where(N.usable(F.col("vector"), dim)).dropDuplicates(["query_id"]).select(*fresh("query_id", *by, "vector"))
-    r = rows.where(N.usable(F.col("vector"), dim)).dropDuplicates(["row_id"]).select(*fresh("row_id", *by, "vector"))
+    r = rows.where(N.usable(F.col("vector"), dim)).dropDuplicates(["row_id"]).select(*fresh("row_id", *by, *kept, "vector"))
     rb = max(1, -(-r.count() // block_rows))
     qb = max(1, -(-q.count() // block_rows))
     q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
     r = r.withColumn("rb", F.pmod(F.xxhash64("row_id"), F.lit(rb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).withColumn("qb", F.col("qb").cast("bigint"))
-    kind = rows.schema["row_id"].dataType.simpleString()
-    found = (
-        q.groupBy(*by, "qb", "rb").cogroup(r.groupBy(*by, "qb", "rb"))
-        .applyInPandas(_block_search(k, dim), f"query_id {queries.schema['query_id'].dataType.simpleString()}, row_id {kind}, similarity double")
-        .withColumn("similarity", F.round("similarity", 6))
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(queries, 'query_id')}, row_id {kind(rows, 'row_id')}, " + (f"{per} {kind(rows, per)}, " if per else "") + "similarity double"
+    found = q.groupBy(*by, "qb", "rb").cogroup(r.groupBy(*by, "qb", "rb")).applyInPandas(_block_search(k, dim, skip_self, per), schema).withColumn("similarity", F.round("similarity", 6))
+    order = Window.partitionBy("query_id", *kept).orderBy(F.desc("similarity"), *([] if ties else ["row_id"]))
+    return found.withColumn("rank", (F.rank() if ties else F.row_number()).over(order)).where(F.col("rank") <= k)
 
 
 def fuse(*arms: DataFrame, k: int = RRF_K) -> DataFrame:

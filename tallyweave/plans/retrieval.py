@@ -9,13 +9,13 @@ from tallyweave.functions import numbers as N
 from tallyweave.functions import text as T
 from tallyweave.operators import search, stats, store
 from tallyweave.plans.registry import LIVE, query
-from tallyweave.session import table
+from tallyweave.session import shared_folder, table
 
-#: The batch of questions that the search queries answer: id, text, file whose vector stands for it.
-QUESTIONS = ((1, "encode slow gateway", 50), (2, "split policy", 100), (3, "strip chunk index", 150), (4, "match quiet budget worker", 200))
-_Q = "q(query_id, query_text, vec_id) AS (VALUES " + ", ".join(f"({a}, '{b}', {c})" for a, b, c in QUESTIONS) + ")"
+#: The questions that the search queries answer: the words of the path, and the vector, of
+#: every file whose vec_id is divisible by 50.
 _USABLE = """usable AS (SELECT DISTINCT vec_id, repo, path, package, vector FROM file_vectors WHERE len(vector) = 64
     AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"""
+_Q = r"q AS (SELECT vec_id AS query_id, trim(regexp_replace(path, '[/_.\-]+', ' ', 'g')) AS query_text, vector FROM usable WHERE vec_id % 50 = 0)"
 _COS = "round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
 
 
@@ -23,15 +23,16 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.live(table(spark, sf_dir, "chunks"))
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(QUESTIONS), "query_id bigint, query_text string, vec_id bigint")
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "file_vectors").select("vec_id", "repo", "path", "package", "vector").where(N.usable(F.col("vector"), 64)).distinct()
 
 
-_BM25 = f"""{LIVE}, {_Q},
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = files(spark, sf_dir).where(F.col("vec_id") % 50 == 0)
+    return asked.select(F.col("vec_id").alias("query_id"), T.words(F.col("path")).alias("query_text"), "vector")
+
+
+_BM25 = f"""{LIVE}, {_USABLE}, {_Q},
     docs AS (SELECT repo, id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS words FROM live WHERE kind <> 'commit'),
     stats AS (SELECT count(*) AS docs, avg(len(words)) AS mean_length FROM docs),
     terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM q),
@@ -41,31 +42,34 @@ _BM25 = f"""{LIVE}, {_Q},
     bm AS (SELECT query_id, repo, id, round(sum(ln(1.0 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)))), 6) AS score
         FROM hits JOIN df USING (term) CROSS JOIN stats JOIN terms USING (term) GROUP BY ALL),
     lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, repo, id) AS rank FROM bm)"""
-_VEC = f"""{_USABLE}, fileone AS (SELECT repo, path, min_by(vector, vec_id) AS vector FROM usable GROUP BY repo, path),
-    vsim AS (SELECT q.query_id, l.repo, l.id, {_COS.format(a='f.vector', b='u.vector')} AS score
-        FROM q JOIN usable u ON u.vec_id = q.vec_id CROSS JOIN live l JOIN fileone f ON f.repo = l.repo AND f.path = l.path),
+_VEC = f"""fileone AS (SELECT repo, path, min_by(vector, vec_id) AS vector FROM usable GROUP BY repo, path),
+    vsim AS (SELECT q.query_id, l.repo, l.id, {_COS.format(a='f.vector', b='q.vector')} AS score
+        FROM q CROSS JOIN live l JOIN fileone f ON f.repo = l.repo AND f.path = l.path),
     vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, repo, id) AS rank FROM vsim)"""
 
 
 def vector_arm(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Chunks by the similarity of their file's centroid to the question's vector."""
-    f = files(spark, sf_dir)
-    one = f.groupBy("repo", "path").agg(F.min_by("vector", "vec_id").alias("vector"))
-    asked = questions(spark).join(f.select("vec_id", F.col("vector").alias("wanted")), "vec_id").select("query_id", "wanted")
-    scored = (
-        live(spark, sf_dir).select("repo", "path", "id").join(one, ["repo", "path"]).crossJoin(F.broadcast(asked))
-        .select("query_id", "repo", "id", F.round(N.cosine(F.col("vector"), F.col("wanted")), 6).alias("score"))
-    )
+    """Chunks by the similarity of their file's centroid to the question's vector.
+
+    The k best chunks lie in the k best of the files that have chunks, ties kept; only
+    those files meet their chunks.
+    """
+    one = files(spark, sf_dir).groupBy("repo", "path").agg(F.min_by("vector", "vec_id").alias("vector"), F.min("vec_id").alias("row_id"))
+    held = live(spark, sf_dir).select("repo", "path", "id")
+    rows = one.join(held.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    near = search.nearest(questions(spark, sf_dir).select("query_id", "vector"), rows.select("row_id", "vector"), k, 64, skip_self=False, ties=True)
+    best = near.select("query_id", "row_id", F.col("similarity").alias("score")).join(one.select("row_id", "repo", "path"), "row_id")
+    scored = best.join(held, ["repo", "path"]).select("query_id", "repo", "id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "repo", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 @query("T02_bm25", f"WITH {_BM25} SELECT query_id, repo, id, score, rank FROM lex WHERE rank <= 20")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lexical(live(spark, sf_dir), questions(spark), 20)
+    return search.lexical(live(spark, sf_dir), questions(spark, sf_dir), 20)
 
 
-@query("S14_vector_arm", f"WITH {LIVE}, {_Q}, {_VEC} SELECT query_id, repo, id, score, rank FROM vec WHERE rank <= 20")
+@query("S14_vector_arm", f"WITH {LIVE}, {_USABLE}, {_Q}, {_VEC} SELECT query_id, repo, id, score, rank FROM vec WHERE rank <= 20")
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_arm(spark, sf_dir, 20)
 
@@ -77,7 +81,7 @@ _FUSED = f"""{_BM25}, {_VEC},
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuse(vector_arm(spark, sf_dir, 60), search.lexical(live(spark, sf_dir), questions(spark), 200))
+    return search.fuse(vector_arm(spark, sf_dir, 60), search.lexical(live(spark, sf_dir), questions(spark, sf_dir), 200))
 
 
 @query("A16_rrf", f"WITH {_FUSED} SELECT query_id, repo, id, fused, score, found_by, rank FROM fused")
@@ -126,14 +130,14 @@ def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 12 k candidates scored again and fused with their former order."""
     base = fused(spark, sf_dir).where(F.col("rank") <= 120)
     texts = live(spark, sf_dir).select("repo", "id", "text")
-    scored = search.rerank(base.join(texts, ["repo", "id"]).join(questions(spark).select("query_id", "query_text"), "query_id"), search.OverlapReranker())
+    scored = search.rerank(base.join(texts, ["repo", "id"]).join(questions(spark, sf_dir).select("query_id", "query_text"), "query_id"), search.OverlapReranker())
     return search.fuse(base.select("query_id", "repo", "id", "score", "rank"), scored).select("query_id", "repo", "id", "rank", "found_by")
 
 
 @query("M06_rewrite")
 def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rewording answered in one lexical pass, then fused per question."""
-    forms = search.rewritings(questions(spark)).withColumn("form_id", F.col("query_id") * 100 + F.col("n"))
+    forms = search.rewritings(questions(spark, sf_dir)).withColumn("form_id", F.col("query_id") * 100 + F.col("n"))
     hits = search.lexical(live(spark, sf_dir), forms.select(F.col("form_id").alias("query_id"), "query_text"), 50)
     per_question = hits.withColumn("arm", F.col("query_id") % 100).withColumn("query_id", F.floor(F.col("query_id") / 100))
     sums = per_question.groupBy("query_id", "repo", "id").agg(F.round(F.sum(N.reciprocal_rank(F.col("rank"))), 9).alias("fused"))
@@ -171,15 +175,21 @@ def prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(f, f.where(T.matches_glob(F.col("path"), "src/**")))
 
 
-@query("W03_top_per_repo", f"""WITH {_USABLE}, sims AS (SELECT a.vec_id AS query_id, b.repo, b.vec_id AS row_id, {_COS.format(a='a.vector', b='b.vector')} AS similarity FROM usable a CROSS JOIN usable b WHERE a.vec_id IN (50, 100))
+@query("W03_top_per_repo", f"""WITH {_USABLE}, sims AS (SELECT a.vec_id AS query_id, b.repo, b.vec_id AS row_id, {_COS.format(a='a.vector', b='b.vector')} AS similarity FROM usable a CROSS JOIN usable b WHERE a.vec_id % 50 = 0)
     SELECT query_id, repo, row_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, repo ORDER BY similarity DESC, row_id) AS rank FROM sims) WHERE rank <= 5""")
 def top_per_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest files of every repository to two given ones."""
+    """The five nearest files of every repository to every file asked."""
     f = files(spark, sf_dir)
-    asked = f.where(F.col("vec_id").isin(50, 100)).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("wanted"))
-    sims = f.crossJoin(F.broadcast(asked)).select("query_id", "repo", F.col("vec_id").alias("row_id"), F.round(N.cosine(F.col("vector"), F.col("wanted")), 6).alias("similarity"))
-    order = Window.partitionBy("query_id", "repo").orderBy(F.desc("similarity"), "row_id")
-    return sims.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    asked = f.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "vector")
+    return search.nearest(asked, f.select(F.col("vec_id").alias("row_id"), "repo", "vector"), 5, 64, per="repo", skip_self=False)
+
+
+@query("K08_stored_index", f"WITH {_BM25} SELECT query_id, repo, id, score, rank FROM lex WHERE rank <= 20")
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical index written to the shared folder once, and searched by term bucket."""
+    path = shared_folder(spark, "lexical")
+    search.store_index(live(spark, sf_dir), path)
+    return search.lexical_stored(spark, path, questions(spark, sf_dir), 20)
 
 
 @query("F01_lang_kind", f"WITH {LIVE} SELECT repo, id FROM live WHERE lang IN ('python', 'go') AND kind IN ('code')")
@@ -258,11 +268,11 @@ def hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A21_mcnemar")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical search against itself with the first word only: discordant pairs and their p value."""
+    """Lexical search against itself with every other word only: discordant pairs and their p value."""
     items = table(spark, sf_dir, "eval_items")
     ours = _evaluated(spark, sf_dir)
     rows = live(spark, sf_dir)
-    short = items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query_text"))
+    short = items.select(F.col("item_id").alias("query_id"), F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 2 == 0), " ").alias("query_text"))
     truths = items.select(F.col("item_id").alias("query_id"), F.regexp_extract("answer_path", "^([^/]+)/", 1).alias("repo"), F.regexp_extract("answer_path", "^[^/]+/(.*)$", 1).alias("path"))
     theirs = stats.truth_ranks(search.lexical(rows, short, 50).join(rows.select("repo", "id", "path"), ["repo", "id"]), truths)
     return stats.discordant(ours, theirs, 10).select("*", F.round(N.mcnemar(F.col("only_ours"), F.col("only_theirs")), 9).alias("p"))

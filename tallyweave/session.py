@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, which every executor can read and write."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan over the cluster when it has fewer splits than there are cores.
 
