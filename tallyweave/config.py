@@ -41,16 +41,16 @@ class Config:
 
 
 def find(start: str | Path) -> Path | None:
-    """The file the environment names, or the nearest one above ``start``, or the user's."""
+    """The file the environment names, or the nearest one above ``start``, the user's, the site's."""
     named = os.environ.get(VARIABLE)
-    if named:
-        return Path(named)
+    if named:  # a name that leads nowhere is a mistake that no other file should hide
+        return Path(named) if Path(named).is_file() else None
     here = Path(start).resolve()
     for folder in (here, *here.parents):
         if (folder / NAME).is_file():
             return folder / NAME
-    own = Path.home() / ".config" / "tallyweave" / NAME
-    return own if own.is_file() else None
+    own = (Path.home() / ".config" / "tallyweave" / NAME, Path("/etc/xdg/tallyweave") / NAME)
+    return next((p for p in own if p.is_file()), None)
 
 
 _KNOWN = {"workspace": {"name", "store"}, "repos": {"id", "path", "ignore", "formats"}, "connectors": {"match", "type"}, "references": {"prefix", "url"}}

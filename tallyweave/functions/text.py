@@ -85,8 +85,8 @@ def holds_name(text: Column, name: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), literal, F.lit(r"(?![\p{L}\p{N}_])")))
 
 
-#: Lines that say nothing about what code does.
-NOT_CODE = r"^\s*(#|//|\*|/\*|import\b|from\b|use\b|using\b|package\b|require\b|include\b)"
+#: How lines begin that are no code, and the words that bring names into scope.
+NOT_CODE = r"^\s*(//|#|\*|/\*|--|;|import\b|from\b|require\b|use\b|package\b)"
 
 
 def code_identifiers(text: Column) -> Column:
@@ -175,13 +175,55 @@ def html_title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 
 
+#: Longest path segment in bytes; what is longer is cut and told apart by a hash.
+SEGMENT_BYTES = 100
+
+
+def _segment(raw: Column) -> Column:
+    """One part of an address as a safe name; empty for what is to be dropped."""
+    clean = F.regexp_replace(F.regexp_replace(raw, r"[^A-Za-z0-9._=\-]", "_"), r"^\.+$", "")
+    return F.when(F.length(clean) > SEGMENT_BYTES, F.concat(F.substring(clean, 1, SEGMENT_BYTES), F.lit("-"), F.substring(F.sha2(raw, 256), 1, 8))).otherwise(clean)
+
+
 def document_path(url: Column) -> Column:
-    """A safe relative path for a fetched address."""
-    bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[a-z]+://([^/@]*@)?", "")
-    host = F.lower(F.regexp_extract(bare, "^([^/?]*)", 1))
-    rest = F.regexp_replace(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/$", "/index")
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    segments = F.filter(F.split(rest, "/"), lambda s: ~s.isin("", ".", ".."))
-    safe = F.transform(segments, lambda s: F.regexp_replace(s, r"[^A-Za-z0-9._\-]", "_"))
-    tail = F.when(query != "", F.concat(F.lit("_"), F.regexp_replace(query, r"[^A-Za-z0-9._\-]", "_"))).otherwise(F.lit(""))
-    return F.concat(F.array_join(F.concat(F.array(host), F.when(F.size(safe) == 0, F.array(F.lit("index"))).otherwise(safe)), "/"), tail, F.lit(".md"))
+    """A safe relative path for a fetched address: host and port, folders, a leaf in ``.md``.
+
+    Credentials and fragments leave, the query joins the leaf, an address that ends in
+    a slash is an index; segments are bounded, with a hash that keeps long ones apart.
+    """
+    bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^([^/?]*)", 1)), ":(?=[0-9]+$)", "-")
+    path = F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1)
+    query = _segment(F.regexp_extract(bare, r"\?(.*)$", 1))
+    parts = F.filter(F.transform(F.split(path, "/"), _segment), lambda s: s != "")
+    last = F.element_at(parts, -1)
+    named = F.when(query == "", parts).when(F.size(parts) == 0, F.array(query)).otherwise(F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.concat(last, F.lit("-"), query))))
+    whole = F.when((F.size(named) == 0) | path.endswith("/"), F.concat(named, F.array(F.lit("index")))).otherwise(named)
+    top = F.coalesce(F.nullif(_segment(host), F.lit("")), F.lit("unknown-host"))
+    out = F.array_join(F.concat(F.array(top), whole), "/")
+    return F.when(out.endswith(".md"), out).otherwise(F.concat(out, F.lit(".md")))
+
+
+#: Words of everyday reports that say nothing about code.
+STOP_WORDS = (
+    "about", "after", "again", "against", "always", "because", "before", "behaviour", "behavior", "between", "cannot", "could", "doesn", "during", "error",
+    "should", "support", "there", "using", "version", "issue", "problem", "returns", "something", "unexpected", "without", "working", "works", "would",
+)
+
+
+def search_terms(question: Column, most: int = 8) -> Column:
+    """What one would look for by hand: quoted strings, names of code, then long words, the longest first."""
+    quoted = F.transform(F.regexp_extract_all(question, F.lit("[`\"']([^`\"']{3,60})[`\"']"), 1), lambda x: F.trim(x))
+    said = F.filter(identifiers(question), lambda w: ~F.lower(w).isin(*STOP_WORDS))
+    shaped = F.filter(said, lambda w: w.contains("_") | w.rlike("[a-z][A-Z]"))
+    ranked = F.transform(said, lambda w, i: F.struct((-F.length(w)).alias("size"), i.alias("at"), w.alias("word")))
+    long = F.transform(F.filter(F.array_sort(ranked), lambda x: x["size"] <= -6), lambda x: x["word"])
+    return F.slice(F.array_distinct(F.concat(quoted, shaped, long)), 1, most)
+
+
+def phrases(said: Column, most: int) -> Column:
+    """The lines of a model's answer that can be queries: no remarks, commands or long sentences."""
+    trimmed = F.transform(F.split(said, r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"^[ \-*\t\"]+|[ \-*\t\"]+$", ""))
+    short = lambda x: (F.length(x) >= 3) & (F.size(F.split(F.trim(x), r"\s+")) <= 14)
+    kept = F.filter(trimmed, lambda x: short(x) & ~x.rlike(r"[.:!?]$") & ~x.rlike(r"^(grep|rg |find |\$|#|```)"))
+    return F.slice(kept, 1, most)

@@ -10,8 +10,9 @@ from tallyweave.functions import text as T
 from tallyweave.operators import search
 
 NEIGHBOURS, LEAST_COMMITS, MOST_DEPTH = 5, 4, 8
-#: Folders that are not the subject of a repository.
-ASIDE = ("tests", "test", "docs", "doc", "examples", "vendor", "third_party", "scripts", "benchmarks", "fixtures")
+#: Folders that are not the subject of a repository at any depth, and at the top only.
+ASIDE = ("test", "tests", "spec", "specs", "testing", "__tests__", "e2e", "testdata", "fixtures", "vendor", "vendored", "third_party", "thirdparty")
+ASIDE_TOP = ("example", "examples", "sample", "samples", "demo", "demos", "bench", "benchmarks", "script", "scripts", "tools", "external", "deps")
 
 
 def centroids(rows: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
@@ -37,9 +38,10 @@ def branching_depth(files: DataFrame) -> DataFrame:
 
 
 def source_prefix(files: DataFrame) -> DataFrame:
-    """(repo, prefix): the folders all files share, those aside from the subject left out."""
-    head = F.split("path", "/")[0]
-    kept = files.where(~head.isin(*ASIDE))
+    """(repo, prefix): the folders all files about the subject share, with a last slash; empty if none."""
+    names = F.split("path", "/")
+    aside = F.exists(F.slice(names, 1, F.size(names) - 1), lambda d: d.isin(*ASIDE))
+    kept = files.where(~names[0].isin(*ASIDE_TOP) & ~aside)
     parts = kept.select("repo", "path", F.posexplode(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)).alias("level", "name"))
     total = kept.groupBy("repo").agg(F.count_distinct("path").alias("files"))
     levels = parts.groupBy("repo", "level").agg(F.count_distinct("name").alias("names"), F.min("name").alias("name"), F.count_distinct("path").alias("with_level"))
@@ -47,13 +49,18 @@ def source_prefix(files: DataFrame) -> DataFrame:
     run = Window.partitionBy("repo").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     kept_levels = shared.withColumn("all_ok", F.min("ok").over(run)).where("all_ok = 1")
     prefix = kept_levels.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "name"))), lambda e: e["name"]), "/").alias("prefix"))
-    return total.select("repo").join(prefix, "repo", "left").select("repo", F.coalesce("prefix", F.lit("")).alias("prefix"))
+    whole = F.when(F.col("prefix") != "", F.concat("prefix", F.lit("/")))
+    return files.select("repo").distinct().join(prefix, "repo", "left").select("repo", F.coalesce(whole, F.lit("")).alias("prefix"))
 
 
 def neighbours(files: DataFrame, k: int = NEIGHBOURS, dim: int = 64) -> DataFrame:
-    """The k most similar files of the same repository: (vec_id, other_id, similarity, rank)."""
+    """The k most similar files of the same repository: (vec_id, other_id, similarity, rank); of equals the last path first."""
     side = lambda name: files.select(F.col("vec_id").alias(name), "repo", "vector")
-    return search.nearest(side("query_id"), side("row_id"), k, dim, within="repo").select(F.col("query_id").alias("vec_id"), F.col("row_id").alias("other_id"), "similarity", "rank")
+    near = search.nearest(side("query_id"), side("row_id"), k, dim, within="repo", ties=True).drop("rank")
+    placed = near.join(files.select(F.col("vec_id").alias("row_id"), "path").dropDuplicates(["row_id"]), "row_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("path"), "row_id")
+    ranked = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query_id").alias("vec_id"), F.col("row_id").alias("other_id"), "similarity", "rank")
 
 
 def agreement(files: DataFrame, near: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -75,7 +82,8 @@ def strangers(files: DataFrame, near: DataFrame) -> DataFrame:
         F.max("similarity").alias("similarity"),
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "other_path"))), lambda e: e.other_path).alias("neighbours"),
     )
-    return grouped.where("at_home = 0").select("vec_id", "repo", "path", "package", F.array_join("neighbours", ",").alias("neighbours"), F.round("similarity", 3).alias("similarity"))
+    rows = grouped.where("at_home = 0").select("vec_id", "repo", "path", "package", F.array_join("neighbours", ",").alias("neighbours"), F.round("similarity", 3).alias("similarity"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("similarity"), "path", "vec_id")))
 
 
 def co_change(commit_files: DataFrame, least: int = LEAST_COMMITS, most_files: int = 1000) -> DataFrame:
@@ -86,20 +94,22 @@ def co_change(commit_files: DataFrame, least: int = LEAST_COMMITS, most_files: i
     slice by slice, so no task ever holds more than two slices.
     """
     rows = commit_files.select("repo", "sha", "path").distinct()
-    left = rows.withColumn("slice", F.pmod(F.xxhash64("path"), F.lit(16)))
     sizes = rows.groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n"))
     small = rows.join(sizes.where(F.col("n") <= most_files).select("repo", "sha"), ["repo", "sha"])
     lists = small.groupBy("repo", "sha").agg(F.array_sort(F.collect_list("path")).alias("p"))
     pairs = lists.select("repo", "sha", F.posexplode("p").alias("i", "left_path"), "p").select("repo", "sha", "left_path", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("right_path"))
-    big = left.join(sizes.where(F.col("n") > most_files).select("repo", "sha"), ["repo", "sha"])
-    a = big.withColumnRenamed("path", "left_path").withColumnRenamed("slice", "s1").withColumn("s2", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    b = big.withColumnRenamed("path", "right_path").withColumnRenamed("slice", "s2").withColumn("s1", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    slices = F.ceil(F.col("n") / most_files)
+    big = rows.join(sizes.where(F.col("n") > most_files).select("repo", "sha", slices.cast("bigint").alias("slices")), ["repo", "sha"]).withColumn("slice", F.pmod(F.xxhash64("path"), F.col("slices")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))
+    a = big.withColumnRenamed("path", "left_path").withColumnRenamed("slice", "s1").withColumn("s2", other)
+    b = big.withColumnRenamed("path", "right_path").withColumnRenamed("slice", "s2").withColumn("s1", other).drop("slices")
     wide = a.join(b, ["repo", "sha", "s1", "s2"]).where(F.col("left_path") < F.col("right_path")).select("repo", "sha", "left_path", "right_path")
     return pairs.unionByName(wide).groupBy("repo", "left_path", "right_path").agg(F.count(F.lit(1)).alias("commits")).where(F.col("commits") >= least)
 
 
 def coupled(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """Co-changing files of different packages with the similarity of their centroids."""
+    """Co-changing files of different packages with the similarity of their centroids; many commits and little likeness first."""
     side = lambda n: files.select("repo", F.col("path").alias(f"{n}_path"), F.col("package").alias(f"{n}_package"), F.col("vector").alias(f"{n}_vector"))
     both = pairs.join(side("left"), ["repo", "left_path"]).join(side("right"), ["repo", "right_path"]).where(F.col("left_package") != F.col("right_package"))
-    return both.select("repo", "left_path", "right_path", "commits", F.round(N.cosine(F.col("left_vector"), F.col("right_vector")), 3).alias("similarity"))
+    rows = both.select("repo", "left_path", "right_path", "commits", F.round(N.cosine(F.col("left_vector"), F.col("right_vector")), 3).alias("similarity"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("commits"), "similarity", "left_path", "right_path")))

@@ -43,12 +43,13 @@ def insert(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 def references(links: DataFrame, names: DataFrame) -> DataFrame:
     """Edges that carry a wanted name in any spelling: the batch form of a look-up.
 
-    ``names`` has query_id and name. The exact spelling comes first, then repo,
-    path, line.
+    ``names`` has query_id and name. A link counts by its norm or by the very name.
+    The exact spelling comes first, then repo, path, line.
     """
     wanted = names.select("query_id", F.col("name").alias("wanted"), T.normalised(F.col("name")).alias("norm"))
     by_norm = links.where(F.col("norm").isNotNull()).join(wanted, "norm")
-    by_name = links.where(F.col("norm").isNull()).join(wanted.withColumnRenamed("norm", "__norm"), F.col("name") == F.col("wanted")).drop("__norm")
+    other = F.col("norm").isNull() | (F.col("norm") != F.col("__norm"))
+    by_name = links.join(wanted.withColumnRenamed("norm", "__norm"), F.col("name") == F.col("wanted")).where(other).drop("__norm")
     rows = by_norm.unionByName(by_name)
     order = Window.partitionBy("query_id").orderBy((F.col("name") != F.col("wanted")).cast("int"), F.asc_nulls_last("repo"), F.asc_nulls_last("path"), F.asc_nulls_last("line"), "kind", F.asc_nulls_last("src_chunk_id"), F.asc_nulls_last("name"))
     return rows.withColumn("rank", F.row_number().over(order))
@@ -199,7 +200,7 @@ def shared_names(links: DataFrame) -> DataFrame:
 
 
 def dependency_report(links: DataFrame, least: int = LEAST_NAMES) -> DataFrame:
-    """Declared against used: (status, user, owner, names, examples).
+    """Declared against used: (status, user, owner, names, examples, place), many names first.
 
     status is ``used`` (declared and sharing names), ``undeclared`` (sharing at
     least ``least`` names, declared in neither direction) or ``unused`` (declared,
@@ -215,4 +216,5 @@ def dependency_report(links: DataFrame, least: int = LEAST_NAMES) -> DataFrame:
     undeclared = counts.where(F.col("names") >= least).join(either, ["user", "owner"], "left_anti").withColumn("status", F.lit("undeclared"))
     idle = declared.join(counts, ["user", "owner"], "left_anti").select("user", "owner", F.lit(0).cast("bigint").alias("names"), F.lit("").alias("examples"), F.lit("unused").alias("status"))
     cols = ["status", "user", "owner", "names", "examples"]
-    return used.select(cols).unionByName(undeclared.select(cols)).unionByName(idle.select(cols))
+    rows = used.select(cols).unionByName(undeclared.select(cols)).unionByName(idle.select(cols))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy(F.desc("names"), "user", "owner")))

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Upper bounds of latency buckets in milliseconds.
-BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0, 10000.0)
+#: Upper bounds of latency buckets in milliseconds, of indexing in seconds.
+BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0)
+INDEX_BOUNDS = (0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 300.0)
 NOISE, FLOOR_SECONDS = 0.15, 0.10
 
 

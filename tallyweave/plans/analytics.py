@@ -43,12 +43,20 @@ def empty_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("A18_histogram", f"""WITH s AS (SELECT reranked, ms FROM (SELECT DISTINCT * FROM searches) WHERE {_VALID} AND ms >= 0),
-    b(le) AS (VALUES (5.0), (10.0), (25.0), (50.0), (100.0), (250.0), (500.0), (1000.0), (2500.0), (5000.0), (10000.0), (NULL)), t AS (SELECT reranked, round(sum(ms), 4) AS total FROM s GROUP BY reranked)
+    b(le) AS (VALUES (5.0), (10.0), (25.0), (50.0), (100.0), (250.0), (500.0), (1000.0), (2500.0), (5000.0), (NULL)), t AS (SELECT reranked, round(sum(ms), 4) AS total FROM s GROUP BY reranked)
     SELECT s.reranked, CAST(b.le AS DOUBLE) AS le, count(CASE WHEN b.le IS NULL OR s.ms <= b.le THEN 1 END) AS n, any_value(t.total) AS total FROM s CROSS JOIN b JOIN t ON t.reranked IS NOT DISTINCT FROM s.reranked GROUP BY s.reranked, b.le""")
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.histogram(table(spark, sf_dir, "searches").distinct().where("ms >= 0"), ["reranked"], "ms")
 
 
+@query("A18_index_histogram", """WITH s AS (SELECT scenario, seconds FROM (SELECT DISTINCT scenario, repo, run_at, commit_sha, seconds FROM bench_baseline) WHERE seconds IS NOT NULL AND NOT isnan(seconds) AND seconds >= 0),
+    b(le) AS (VALUES (0.5), (1.0), (5.0), (10.0), (30.0), (60.0), (300.0), (NULL)), t AS (SELECT scenario, round(sum(seconds), 4) AS total FROM s GROUP BY scenario)
+    SELECT s.scenario, CAST(b.le AS DOUBLE) AS le, count(CASE WHEN b.le IS NULL OR s.seconds <= b.le THEN 1 END) AS n, any_value(t.total) AS total FROM s CROSS JOIN b JOIN t ON t.scenario IS NOT DISTINCT FROM s.scenario GROUP BY s.scenario, b.le""")
+def index_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "bench_baseline").select("scenario", "repo", "run_at", "commit_sha", "seconds").distinct().where("seconds >= 0")
+    return stats.histogram(rows, ["scenario"], "seconds", stats.INDEX_BOUNDS)
+
+
 @query("A19_counters", "SELECT repo, reranked, k, count(*) AS n FROM (SELECT DISTINCT * FROM searches) GROUP BY ALL")
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.counters(table(spark, sf_dir, "searches").distinct(), ["repo", "reranked", "k"])
@@ -94,14 +102,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_type", F.col("w.start").alias("start"), "n", "total", "users")
 
 
-_NOT_CODE = "^\\s*(#|//|\\*|/\\*|import\\b|from\\b|use\\b|using\\b|package\\b|require\\b|include\\b)"
+_NOT_CODE = "^\\s*(//|#|\\*|/\\*|--|;|import\\b|from\\b|require\\b|use\\b|package\\b)"
 _PRINTS = f"""{LIVE}, named AS (SELECT repo, id, path, regexp_extract_all(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{_NOT_CODE}')), chr(10)), '[A-Za-z_][A-Za-z0-9_]*') AS names FROM live WHERE kind = 'code'),
     prints AS (SELECT repo, id, path, list_distinct(list_transform(range(1, len(names) - 3), lambda i: array_to_string(names[i:i + 4], ' '))) AS s FROM named WHERE len(names) >= 60),
-    posts AS (SELECT repo, id, path, len(s) AS size, unnest(s) AS sh FROM prints),
-    rare AS (SELECT sh FROM posts GROUP BY sh HAVING count(*) BETWEEN 2 AND 40),
-    proposed AS (SELECT DISTINCT a.repo AS repo_a, a.id AS id_a, b.repo AS repo_b, b.id AS id_b FROM posts a JOIN posts b USING (sh) WHERE sh IN (SELECT sh FROM rare) AND (a.repo, a.id) < (b.repo, b.id)),
-    scored AS (SELECT p.*, x.path AS path_a, y.path AS path_b, len(list_intersect(x.s, y.s)) AS i, len(x.s) AS na, len(y.s) AS nb FROM proposed p JOIN prints x ON x.repo = repo_a AND x.id = id_a JOIN prints y ON y.repo = repo_b AND y.id = id_b WHERE repo_a <> repo_b OR x.path <> y.path),
-    pairs AS (SELECT *, i / (na + nb - i) AS j FROM scored WHERE i / (na + nb - i) >= 0.45)"""
+    cls AS (SELECT list_sort(s) AS s, min((repo, id)) AS rep, count(DISTINCT (repo, path)) > 1 AS spread FROM prints GROUP BY list_sort(s)),
+    mem AS (SELECT p.repo, p.id, p.path, c.s, c.rep, c.spread FROM prints p JOIN cls c ON list_sort(p.s) = c.s), reps AS (SELECT * FROM mem WHERE (repo, id) = rep),
+    posts AS (SELECT repo, id, unnest(s) AS sh FROM reps),
+    proposed AS (SELECT DISTINCT a.repo AS repo_a, a.id AS id_a, b.repo AS repo_b, b.id AS id_b FROM posts a JOIN posts b USING (sh) WHERE (a.repo, a.id) < (b.repo, b.id)),
+    scored AS (SELECT p.*, x.path AS path_a, y.path AS path_b, len(list_intersect(x.s, y.s)) AS i, len(x.s) AS na, len(y.s) AS nb, x.spread OR y.spread AS spread FROM proposed p JOIN reps x ON x.repo = repo_a AND x.id = id_a JOIN reps y ON y.repo = repo_b AND y.id = id_b),
+    pairs AS (SELECT repo_a, id_a, path_a, repo_b, id_b, path_b, i / (na + nb - i) AS j FROM scored WHERE i / (na + nb - i) >= 0.45 AND (repo_a <> repo_b OR path_a <> path_b OR spread)
+        UNION ALL SELECT r.repo, r.id, r.path, m.repo, m.id, m.path, 1.0 FROM mem m JOIN reps r ON r.rep = m.rep WHERE m.spread AND (m.repo, m.id) <> m.rep)"""
 
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +144,7 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NEAR = f"""{_USABLE}, one AS (SELECT vec_id, any_value(repo) AS repo, any_value(path) AS path, any_value(package) AS package, any_value(vector) AS vector FROM usable GROUP BY vec_id),
     sims AS (SELECT a.vec_id, b.vec_id AS other_id, {_COS.format(a='a.vector', b='b.vector')} AS similarity, a.repo, a.path, a.package, b.package AS other_package, b.path AS other_path FROM one a JOIN one b ON a.repo = b.repo AND a.vec_id <> b.vec_id),
-    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, other_id) AS rank FROM sims) WHERE rank <= 5)"""
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, other_path DESC, other_id) AS rank FROM sims) WHERE rank <= 5)"""
 
 
 @query("J15_neighbours", f"WITH {_NEAR} SELECT vec_id, other_id, similarity, rank FROM near")
@@ -149,7 +159,7 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.agreement(f, domains.neighbours(f))
 
 
-@query("T07_strangers", f"WITH {_NEAR} SELECT vec_id, repo, path, package, string_agg(other_path, ',' ORDER BY rank) AS neighbours, round(max(similarity), 3) AS similarity FROM near GROUP BY vec_id, repo, path, package HAVING max(CASE WHEN package = other_package THEN 1 ELSE 0 END) = 0")
+@query("T07_strangers", f"WITH {_NEAR} SELECT vec_id, repo, path, package, string_agg(other_path, ',' ORDER BY rank) AS neighbours, round(max(similarity), 3) AS similarity, row_number() OVER (PARTITION BY repo ORDER BY round(max(similarity), 3) DESC, path, vec_id) AS place FROM near GROUP BY vec_id, repo, path, package HAVING max(CASE WHEN package = other_package THEN 1 ELSE 0 END) = 0")
 def strangers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     return domains.strangers(f, domains.neighbours(f))
@@ -171,6 +181,17 @@ def blame_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.co_change(rows, least=1)
 
 
+@query("A09_coupled", f"""WITH {_USABLE}, one AS (SELECT repo, path, min_by(package, vec_id) AS package, min_by(vector, vec_id) AS vector FROM usable GROUP BY repo, path),
+    p AS (SELECT DISTINCT repo, left_path, right_path, commits FROM coupled WHERE commits >= 4),
+    x AS (SELECT p.*, round(list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 3) AS similarity FROM p JOIN one a ON a.repo = p.repo AND a.path = p.left_path JOIN one b ON b.repo = p.repo AND b.path = p.right_path WHERE a.package <> b.package)
+    SELECT *, row_number() OVER (PARTITION BY repo ORDER BY commits DESC, similarity, left_path, right_path) AS place FROM x""")
+def coupled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an earlier report that still change together across packages, the loudest first."""
+    one = files(spark, sf_dir).groupBy("repo", "path").agg(F.min_by("package", "vec_id").alias("package"), F.min_by("vector", "vec_id").alias("vector"))
+    pairs = table(spark, sf_dir, "coupled").select("repo", "left_path", "right_path", "commits").distinct().where(F.col("commits") >= domains.LEAST_COMMITS)
+    return domains.coupled(pairs, one)
+
+
 @query("A07_packages", f"WITH {_USABLE} SELECT repo, package, count(DISTINCT path) AS files FROM usable GROUP BY ALL")
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).groupBy("repo", "package").agg(F.count_distinct("path").alias("files"))
@@ -190,6 +211,15 @@ def branching_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.branching_depth(table(spark, sf_dir, "walked_files").where("rel_path IS NOT NULL").select("repo", F.col("rel_path").alias("path")).distinct())
 
 
-@query("X20_source_prefix")
+_ASIDE = ", ".join(f"'{d}'" for d in domains.ASIDE)
+_ASIDE_TOP = ", ".join(f"'{d}'" for d in domains.ASIDE_TOP)
+
+
+@query("X20_source_prefix", f"""WITH f AS (SELECT DISTINCT repo, rel_path AS path FROM walked_files WHERE rel_path IS NOT NULL), p AS (SELECT repo, path, string_split(path, '/') AS parts FROM f),
+    k AS (SELECT * FROM p WHERE parts[1] NOT IN ({_ASIDE_TOP}) AND len(list_filter(parts[1:len(parts) - 1], lambda d: d IN ({_ASIDE}))) = 0), t AS (SELECT repo, count(*) AS n FROM k GROUP BY repo),
+    x AS (SELECT repo, path, unnest(range(len(parts) - 1)) AS level, unnest(parts[1:len(parts) - 1]) AS name FROM k),
+    l AS (SELECT x.repo, level, count(DISTINCT name) = 1 AND count(*) = any_value(t.n) AS ok, min(name) AS name FROM x JOIN t USING (repo) GROUP BY x.repo, level),
+    r AS (SELECT *, bool_and(ok) OVER (PARTITION BY repo ORDER BY level) AS all_ok FROM l), s AS (SELECT repo, string_agg(name, '/' ORDER BY level) || '/' AS prefix FROM r WHERE all_ok GROUP BY repo)
+    SELECT d.repo, coalesce(prefix, '') AS prefix FROM (SELECT DISTINCT repo FROM f) d LEFT JOIN s USING (repo)""")
 def source_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.source_prefix(table(spark, sf_dir, "walked_files").where("rel_path IS NOT NULL").select("repo", F.col("rel_path").alias("path")).distinct())

@@ -54,7 +54,12 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("t")).select("doc_id", "t.name", "t.url")
 
 
-@query("X18_document_path")
+@query("X18_document_path", r"""WITH u AS (SELECT doc_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS bare FROM documents WHERE url IS NOT NULL),
+    s AS (SELECT doc_id, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':([0-9]+)$', '-\1') AS host, regexp_extract(bare, '^[^/?]*([^?]*)', 1) AS path, regexp_replace(regexp_extract(bare, '\?(.*)$', 1), '[^A-Za-z0-9._=\-]', '_', 'g') AS query FROM u),
+    p AS (SELECT *, list_filter(list_transform(string_split(path, '/'), lambda x: regexp_replace(regexp_replace(x, '[^A-Za-z0-9._=\-]', '_', 'g'), '^\.+$', '')), lambda x: x <> '') AS parts FROM s),
+    n AS (SELECT *, CASE WHEN query = '' THEN parts WHEN len(parts) = 0 THEN [query] ELSE list_concat(parts[1:len(parts) - 1], [parts[len(parts)] || '-' || query]) END AS named FROM p),
+    o AS (SELECT doc_id, array_to_string(list_concat([CASE WHEN host = '' THEN 'unknown-host' ELSE regexp_replace(host, '[^A-Za-z0-9._=\-]', '_', 'g') END], CASE WHEN len(named) = 0 OR path LIKE '%/' THEN list_concat(named, ['index']) ELSE named END), '/') AS path FROM n)
+    SELECT doc_id, CASE WHEN path LIKE '%.md' THEN path ELSE path || '.md' END AS path FROM o""")
 def document_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("url IS NOT NULL").select("doc_id", T.document_path(F.col("url")).alias("path"))
 
@@ -71,15 +76,33 @@ def render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.render(docs.select("url", F.regexp_extract("text", r"^#+\s*(.*)", 1).alias("title"), "text"))
 
 
-@query("S04_examine", """WITH f AS (SELECT DISTINCT repo, rel_path, size_bytes, content FROM walked_files),
-    e AS (SELECT *, lower(regexp_extract(regexp_extract(rel_path, '([^/]*)$', 1), '\\.([^.]+)$', 1)) AS suffix, string_split(regexp_replace(rel_path, '/?[^/]*$', ''), '/') AS folders FROM f)
-    SELECT repo, rel_path, CASE WHEN len(list_filter(folders, lambda d: (d LIKE '.%' AND length(d) > 1) OR d IN ('node_modules', '__pycache__', 'target', 'build', 'dist', 'venv', 'env', 'vendor', 'site-packages', 'coverage'))) > 0 THEN 'hidden or artefact folder'
+_EXAMINED = """f AS (SELECT DISTINCT repo, rel_path, size_bytes, content FROM walked_files),
+    e AS (SELECT *, lower(regexp_extract(regexp_extract(rel_path, '([^/]*)$', 1), '\\.([^.]+)$', 1)) AS suffix, string_split(regexp_replace(rel_path, '/?[^/]*$', ''), '/') AS folders FROM f),
+    examined AS (SELECT repo, rel_path, suffix, CASE WHEN len(list_filter(folders, lambda d: (d LIKE '.%' AND length(d) > 1) OR d IN ('node_modules', 'target', '__pycache__', 'dist', 'build', 'out', 'coverage', 'htmlcov'))) > 0 THEN 'hidden or artefact folder'
         WHEN rel_path LIKE 'tests/%' THEN 'ignored'
         WHEN suffix NOT IN ('py','ts','js','jsx','mjs','go','rs','java','toml','yaml','yml','json','md') THEN 'unknown format'
-        WHEN size_bytes > 1048576 THEN 'too large' WHEN content IS NULL THEN 'unreadable' WHEN instr(substr(content, 1, 8192), chr(0)) > 0 THEN 'binary' END AS skip FROM e""")
-def examine(spark: SparkSession, sf_dir: str) -> DataFrame:
+        WHEN size_bytes > 1048576 THEN 'too large' WHEN content IS NULL THEN 'unreadable' WHEN instr(substr(content, 1, 8192), chr(0)) > 0 THEN 'binary' END AS skip FROM e)"""
+
+
+def examined(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "walked_files").select("repo", "rel_path", "size_bytes", "content").distinct()
-    return files.examine(rows, ignore=("tests/*",)).select("repo", "rel_path", "skip")
+    return files.examine(rows, ignore=("tests/*",))
+
+
+@query("S04_examine", f"WITH {_EXAMINED} SELECT repo, rel_path, skip FROM examined")
+def examine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return examined(spark, sf_dir).select("repo", "rel_path", "skip")
+
+
+@query("A13_run_report", f"""WITH {_EXAMINED}, r AS (SELECT repo, count(CASE WHEN skip IS NULL THEN 1 END) AS files, count(CASE WHEN skip = 'unreadable' THEN 1 END) AS unreadable, count(CASE WHEN skip = 'unknown format' THEN 1 END) AS unclaimed FROM examined GROUP BY repo)
+    SELECT *, files + unclaimed AS candidates, unclaimed > (files + unclaimed) * 0.1 AS mostly_unclaimed FROM r""")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.run_report(examined(spark, sf_dir))
+
+
+@query("A12_unclaimed", f"WITH {_EXAMINED} SELECT CASE WHEN suffix = '' THEN '' ELSE '.' || suffix END AS suffix, count(*) AS files FROM examined WHERE skip = 'unknown format' GROUP BY 1")
+def unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.unclaimed_suffixes(examined(spark, sf_dir))
 
 
 @query("S06_language", "SELECT lang, kind, count(*) AS n FROM (SELECT DISTINCT repo, rel_path, CASE suffix WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' WHEN 'toml' THEN 'toml' WHEN 'yaml' THEN 'yaml' WHEN 'yml' THEN 'yaml' WHEN 'json' THEN 'json' WHEN 'md' THEN 'markdown' END AS lang, CASE WHEN suffix IN ('toml','yaml','yml','json') THEN 'config' WHEN suffix = 'md' THEN 'doc' WHEN suffix IN ('py','ts','js','jsx','mjs','go','rs','java') THEN 'code' END AS kind FROM (SELECT *, lower(regexp_extract(rel_path, '\\.([^./]+)$', 1)) AS suffix FROM walked_files)) GROUP BY lang, kind")
@@ -181,3 +204,16 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as the readable part of the pages they would be."""
     pages = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.coalesce("url", F.lit("")).alias("url"), F.concat(F.lit("<html><head><title>"), "doc_kind", F.lit("</title></head><body><p>"), "text", F.lit("</p></body></html>")).alias("html"))
     return connectors.pages_to_documents(pages).select("url", "title", "text")
+
+
+@query("X25_search_terms", r"""WITH w AS (SELECT item_id, text, list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: lower(x) NOT IN ({stop})) AS said FROM eval_items),
+    o AS (SELECT item_id, list_concat(list_transform(regexp_extract_all(text, '[`"'']([^`"'']{{3,60}})[`"'']', 1), lambda x: trim(x, ' ')), list_filter(said, lambda x: contains(x, '_') OR regexp_matches(x, '[a-z][A-Z]'))) AS first,
+        list_transform(list_sort(list_filter(list_transform(range(1, len(said) + 1), lambda i: {{'size': -length(said[i]), 'i': i, 'word': said[i]}}), lambda x: x.size <= -6)), lambda x: x.word) AS long FROM w),
+    a AS (SELECT item_id, list_concat(first, long) AS every FROM o),
+    f AS (SELECT item_id, unnest(every) AS term, unnest(range(len(every))) AS pos FROM a), g AS (SELECT item_id, term, min(pos) AS pos FROM f GROUP BY ALL),
+    r AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS place FROM g)
+    SELECT item_id, term, CAST(place AS INTEGER) AS place FROM r WHERE place <= 8""".replace("{stop}", ", ".join(f"'{w}'" for w in T.STOP_WORDS)).replace("{{", "{").replace("}}", "}"))
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms one would look for by hand in every question."""
+    found = table(spark, sf_dir, "eval_items").select("item_id", F.posexplode(T.search_terms(F.col("text"))).alias("at", "term"))
+    return found.select("item_id", "term", (F.col("at") + 1).alias("place"))

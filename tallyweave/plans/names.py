@@ -10,8 +10,9 @@ from tallyweave.operators import links, store
 from tallyweave.plans.registry import CURRENT, LIVE, query
 from tallyweave.session import table
 
-WANTED = ((1, "lumen_docs"), (2, "zephyrProxy"), (3, "8080"), (4, "measureSocket"))
-_W = "w(query_id, wanted) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in WANTED) + ")"
+#: The names asked for: every name that a link declares, and four that are given. A name is its own key.
+WANTED = ("lumen_docs", "zephyrProxy", "8080", "measureSocket")
+_W = "w AS (SELECT name AS query_id, name AS wanted FROM (SELECT name FROM links WHERE kind = 'declares' AND name IS NOT NULL UNION VALUES " + ", ".join(f"('{n}')" for n in WANTED) + "))"
 _NORM = "lower(regexp_replace({0}, '[_.\\-]', '', 'g'))"
 
 
@@ -19,24 +20,26 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.current(table(spark, sf_dir, "links"))
 
 
-def wanted(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(WANTED), "query_id bigint, name string")
+def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = table(spark, sf_dir, "links").where("kind = 'declares' AND name IS NOT NULL").select("name")
+    given = spark.createDataFrame([(n,) for n in WANTED], "name string")
+    return declared.unionByName(given).distinct().select(F.col("name").alias("query_id"), "name")
 
 
-_REFS = f"""{CURRENT}, {_W}, hit AS (SELECT w.query_id, w.wanted, c.* FROM cur c JOIN w ON (c.norm IS NOT NULL AND c.norm = {_NORM.format('w.wanted')}) OR (c.norm IS NULL AND c.name = w.wanted)),
+_REFS = f"""{CURRENT}, {_W}, hit AS (SELECT w.query_id, w.wanted, c.* FROM cur c JOIN w ON (c.norm IS NOT NULL AND c.norm = {_NORM.format('w.wanted')}) OR c.name = w.wanted),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name <> wanted, repo NULLS LAST, path NULLS LAST, line NULLS LAST, kind NULLS FIRST, src_chunk_id NULLS LAST, name NULLS LAST) AS rank FROM hit)"""
 
 
 @query("J01_refs", f"WITH {_REFS} SELECT query_id, repo, src_chunk_id, kind, name, line, path, rank FROM ranked")
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.references(current(spark, sf_dir), wanted(spark)).select("query_id", "repo", "src_chunk_id", "kind", "name", "line", "path", "rank")
+    return links.references(current(spark, sf_dir), wanted(spark, sf_dir)).select("query_id", "repo", "src_chunk_id", "kind", "name", "line", "path", "rank")
 
 
 @query("T06_shown_order", f"""WITH {_REFS} SELECT query_id, repo, src_chunk_id, kind, name, line, row_number() OVER (PARTITION BY query_id ORDER BY
     CASE kind WHEN 'defines' THEN 0 WHEN 'declares' THEN 1 WHEN 'provides' THEN 2 WHEN 'reads_key' THEN 3 WHEN 'depends_on' THEN 4 WHEN 'mentions' THEN 5 WHEN 'references' THEN 6 WHEN 'blamed_by' THEN 7 ELSE 8 END,
     name <> wanted, CASE via WHEN 'call' THEN 0 WHEN 'code' THEN 1 WHEN 'import' THEN 2 WHEN 'string' THEN 3 WHEN 'comment' THEN 4 ELSE 5 END, rank) AS shown FROM ranked""")
 def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = links.references(current(spark, sf_dir), wanted(spark))
+    rows = links.references(current(spark, sf_dir), wanted(spark, sf_dir))
     return links.shown_order(rows).select("query_id", "repo", "src_chunk_id", "kind", "name", "line", "shown")
 
 
@@ -140,18 +143,23 @@ def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.shared_names(current(spark, sf_dir)).select("user", "owner", "norm", "spelling")
 
 
-@query("J14_dependency_report", _DEPS + """ SELECT 'used' AS status, c."user", c.owner, names, examples FROM counts c WHERE names >= 2 AND EXISTS (SELECT 1 FROM declared d WHERE d."user" = c."user" AND d.owner = c.owner)
+@query("J14_dependency_report", _DEPS + """, u AS (SELECT 'used' AS status, c."user", c.owner, names, examples FROM counts c WHERE names >= 2 AND EXISTS (SELECT 1 FROM declared d WHERE d."user" = c."user" AND d.owner = c.owner)
     UNION ALL SELECT 'undeclared', c."user", c.owner, names, examples FROM counts c WHERE names >= 2 AND NOT EXISTS (SELECT 1 FROM declared d WHERE (d."user" = c."user" AND d.owner = c.owner) OR (d."user" = c.owner AND d.owner = c."user"))
-    UNION ALL SELECT 'unused', d."user", d.owner, 0, '' FROM declared d WHERE NOT EXISTS (SELECT 1 FROM counts c WHERE d."user" = c."user" AND d.owner = c.owner)""")
+    UNION ALL SELECT 'unused', d."user", d.owner, 0, '' FROM declared d WHERE NOT EXISTS (SELECT 1 FROM counts c WHERE d."user" = c."user" AND d.owner = c.owner))
+    SELECT *, row_number() OVER (PARTITION BY status ORDER BY names DESC, "user", owner) AS place FROM u""")
 def dependency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.dependency_report(current(spark, sf_dir))
 
 
-@query("J19_text_mentions")
+@query("J19_text_mentions", f"""WITH {LIVE}, {_REFS}, ln AS (SELECT repo, path, start_line, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS ls FROM live),
+    n AS (SELECT repo, path, start_line + unnest(range(len(ls))) AS line, unnest(ls) AS content FROM ln), t AS (SELECT repo, path, line, content, unnest(list_distinct(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+'))) AS word FROM n),
+    h AS (SELECT DISTINCT w.query_id, w.wanted AS name, t.repo, t.path, CAST(t.line AS INTEGER) AS line FROM t JOIN w ON t.word = regexp_extract(w.wanted, '[\\p{{L}}\\p{{N}}_]+')
+        WHERE regexp_matches(t.content, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_replace(w.wanted, '([^\\p{{L}}\\p{{N}}_])', '\\\\\\1', 'g') || '($|[^\\p{{L}}\\p{{N}}_])'))
+    SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.repo = h.repo AND r.path = h.path AND r.line = h.line AND r.query_id = h.query_id)""")
 def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-word lines of the wanted names that no stored edge covers."""
-    stored = links.references(current(spark, sf_dir), wanted(spark))
-    return links.text_mentions(store.live(table(spark, sf_dir, "chunks")), wanted(spark), stored)
+    stored = links.references(current(spark, sf_dir), wanted(spark, sf_dir))
+    return links.text_mentions(store.live(table(spark, sf_dir, "chunks")), wanted(spark, sf_dir), stored)
 
 
 @query("X11_symbol_links")

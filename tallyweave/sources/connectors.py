@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,5 +74,29 @@ def snapshot_changes(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", change.alias("change"))
 
 
+def charset(content_type: str | None) -> str:
+    """The codec that a content type names, if it can decode text; UTF-8 otherwise."""
+    named = re.search(r";\s*charset\s*=\s*\"?([^\s;\"]+)", content_type or "", re.IGNORECASE)
+    if named is None:
+        return "utf-8"
+    try:
+        b"    ".decode(named.group(1))
+    except LookupError:  # no codec of that name, or one that makes no text
+        return "utf-8"
+    except UnicodeDecodeError:
+        pass
+    return named.group(1)
+
+
+def decoded(content_type: Column, body: Column) -> Column:
+    """Bodies of responses as text; bytes that do not fit are replaced."""
+
+    @F.pandas_udf("string")
+    def decode(types: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else bytes(b).decode(charset(t), "replace") for t, b in zip(types, bodies, strict=True)], dtype=object)
+
+    return decode(content_type, body)
+
+
 def as_json(document: dict) -> str:
     return json.dumps(document, ensure_ascii=False, sort_keys=True)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BYTES = 1 << 20
-HIDDEN_DIRS = ("node_modules", "__pycache__", "target", "build", "dist", "venv", "env", "vendor", "site-packages", "coverage")
+#: Folders of built or downloaded files; folders that begin with a dot are hidden too.
+HIDDEN_DIRS = ("node_modules", "target", "__pycache__", "dist", "build", "out", "coverage", "htmlcov")
 
 #: Languages by suffix and by name: (key, lang, kind).
 SUFFIXES = (
@@ -39,10 +40,11 @@ def language(path: Column, formats: dict[str, tuple[str, str]] | None = None) ->
     return out[0], out[1]
 
 
-def examine(files: DataFrame, ignore: tuple[str, ...] = (), formats: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+def examine(files: DataFrame, ignore: tuple[str, ...] = (), formats: dict[str, tuple[str, str]] | None = None, most_bytes: int | None = MOST_BYTES) -> DataFrame:
     """Add found_lang, found_kind and ``skip``: the first reason a file is not indexed, or null.
 
-    ``files`` has rel_path, size_bytes and content (null when unreadable).
+    ``files`` has rel_path, size_bytes and content (null when unreadable). ``most_bytes``
+    null: files of any size.
     """
     lang, kind = language(F.col("rel_path"), formats)
     folders = F.split(F.regexp_replace("rel_path", "/?[^/]*$", ""), "/")
@@ -53,12 +55,33 @@ def examine(files: DataFrame, ignore: tuple[str, ...] = (), formats: dict[str, t
         ignored = ignored | F.col("rel_path").rlike(pattern)
     skip = (
         F.when(hidden, "hidden or artefact folder").when(ignored, "ignored").when(lang.isNull(), "unknown format")
-        .when(F.col("size_bytes") > MOST_BYTES, "too large").when(F.col("content").isNull(), "unreadable")
+        .when(F.col("size_bytes") > most_bytes if most_bytes is not None else F.lit(False), "too large").when(F.col("content").isNull(), "unreadable")
         .when(F.instr(F.substring("content", 1, 8192), "\x00") > 0, "binary")
     )
     return files.withColumn("found_lang", lang).withColumn("found_kind", kind).withColumn("skip", skip)
 
 
+#: Share of the files a language could have claimed that may go unclaimed in silence.
+UNCLAIMED_SHARE = 0.1
+
+
+def run_report(examined: DataFrame) -> DataFrame:
+    """(repo, files, unreadable, unclaimed, candidates, mostly_unclaimed): what a pass over files left out.
+
+    Candidates are the files read and those no language claims; what is hidden or
+    ignored does not dilute the share.
+    """
+    read, unclaimed = F.count(F.when(F.col("skip").isNull(), 1)), F.count(F.when(F.col("skip") == "unknown format", 1))
+    rows = examined.groupBy("repo").agg(read.alias("files"), F.count(F.when(F.col("skip") == "unreadable", 1)).alias("unreadable"), unclaimed.alias("unclaimed"))
+    return rows.withColumn("candidates", F.col("files") + F.col("unclaimed")).withColumn("mostly_unclaimed", F.col("unclaimed") > F.col("candidates") * F.lit(UNCLAIMED_SHARE))
+
+
+def unclaimed_suffixes(examined: DataFrame) -> DataFrame:
+    """(suffix, files) that no language claims, over all repositories."""
+    suffix = F.lower(F.regexp_extract("rel_path", r"(\.[^./]+)$", 1))
+    return examined.where(F.col("skip") == "unknown format").groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def read_folder(spark: SparkSession, root: str, repo: str) -> DataFrame:
     """Every file below a folder as rows of the files table; bytes that are no UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

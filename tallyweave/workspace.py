@@ -7,6 +7,7 @@ A pass replaces the partitions of the repositories it read and no others.
 from __future__ import annotations
 
 import json
+import time
 from datetime import datetime, timezone
 from functools import reduce
 from pathlib import Path
@@ -94,9 +95,11 @@ class Workspace:
     # -- questions -----------------------------------------------------------
     def search(self, query: str, k: int = 20, repo: str | None = None, filters: store.SearchFilter | None = None, rewordings: int = 0) -> DataFrame:
         """The answer to one query, logged; see ``search_many`` for batches."""
+        began = time.perf_counter()
         rows = cut(self.search_many([query], k, repo, filters, rewordings))
+        took = (time.perf_counter() - began) * 1000
         best = rows.agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top")).first()
-        entry = (datetime.now(timezone.utc).replace(tzinfo=None), query, k, repo, int(best.n), best.top, None, self.reranker is not None)
+        entry = (datetime.now(timezone.utc).replace(tzinfo=None), query, k, repo, int(best.n), best.top, took, self.reranker is not None)
         self.spark.createDataFrame([entry], SEARCHES).write.mode("append").parquet(self._path("searches"))
         return rows
 
@@ -160,6 +163,12 @@ class Workspace:
     def stats(self) -> DataFrame:
         return stats.totals(self.table("searches"))
 
+    def forget(self) -> int:
+        """Empty the log of searches; how many it held."""
+        held = self.table("searches").count()
+        self.spark.createDataFrame([], SEARCHES).write.mode("overwrite").parquet(self._path("searches"))
+        return held
+
     def explain(self, repo: str) -> DataFrame:
         """Every file of a repository with the reason it is not indexed."""
         r = next(x for x in self.config.repositories if x.id == repo)

@@ -43,7 +43,7 @@ def test_shingles_need_enough_names(spark):
 def test_html_and_paths(spark):
     page = "<html><head><title> A &amp; B </title></head><body><script>x<1</script><p>one  two<p>three &lt;4&gt;<br>five</body></html>"
     assert one(spark, T.html_text(F.col("h")), h=page) == "one two\nthree <4>\nfive"
-    assert one(spark, T.document_path(F.col("u")), u="https://User:pw@Docs.Example/a/../b/?q=1#frag") == "docs.example/a/b/index_q_1.md"
+    assert one(spark, T.document_path(F.col("u")), u="https://User:pw@Docs.Example/a/../b/?q=1#frag") == "docs.example/a/b-q=1/index.md"
     assert one(spark, T.document_path(F.col("u")), u="https://docs.example") == "docs.example/index.md"
 
 
@@ -61,3 +61,19 @@ def test_mcnemar_matches_the_binomial(spark):
         n, low = b + c, min(b, c)
         exact = min(1.0, 2 * sum(comb(n, i) for i in range(low + 1)) / 2**n) if n else 1.0
         assert abs(one(spark, N.mcnemar(F.col("b"), F.col("c")), b=b, c=c) - exact) < 1e-12
+
+
+def test_paths_of_addresses_keep_apart(spark):
+    path = lambda u: one(spark, T.document_path(F.col("u")), u=u)
+    assert path("http://h:8080/a.md") == "h-8080/a.md" and path("https://h/wiki?page=Home") == "h/wiki-page=Home.md"
+    assert path("https://h/uv/") == "h/uv/index.md" and path("https://h/uv") == "h/uv.md" and path("https://h/?q") == "h/q/index.md"
+    a, b = path("https://h/" + "x" * 300 + "1"), path("https://h/" + "x" * 300 + "2")
+    assert a != b and max(map(len, a.split("/"))) < 120
+
+
+def test_terms_and_phrases(spark):
+    text = "Why does `bad token` break parse_rows when the version of LoadTable is unexpected in mountains"
+    assert one(spark, T.search_terms(F.col("q")), q=text) == ["bad token", "parse_rows", "LoadTable", "mountains"]
+    assert one(spark, T.search_terms(F.col("q")), q="") == [] and len(one(spark, T.search_terms(F.col("q")), q=" ".join(f"name_{i}" for i in range(20)))) == 8
+    said = "Here are phrases:\n- keep alive schedule\n* heartbeat-check\n$ rm x\ngrep -r x\nno\n" + " ".join(["w"] * 15) + "\nA remark.\nthird one"
+    assert one(spark, T.phrases(F.col("s"), 2), s=said) == ["keep alive schedule", "heartbeat-check"]

@@ -118,7 +118,9 @@ def test_co_change_of_a_huge_commit(spark):
 
 def test_depth_and_prefix(spark):
     df = spark.createDataFrame([("r", "src/app/a/x.py"), ("r", "src/app/b/y.py"), ("r", "tests/t.py"), ("q", "one.py")], "repo string, path string")
-    assert {tuple(r) for r in domains.source_prefix(df).collect()} == {("r", "src/app"), ("q", "")}
+    assert {tuple(r) for r in domains.source_prefix(df).collect()} == {("r", "src/app/"), ("q", "")}
+    deep = spark.createDataFrame([("r", "src/test/a.java"), ("r", "src/main/b.java"), ("r", "src/main/tools/c.java"), ("r", "tools/d.py"), ("t", "tests/x.py")], "repo string, path string")
+    assert {tuple(r) for r in domains.source_prefix(deep).collect()} == {("r", "src/main/"), ("t", "")}
     only = df.where("path like 'src/%'")
     assert {tuple(r) for r in domains.branching_depth(only).collect()} == {("r", 3)}
 
@@ -183,3 +185,53 @@ def test_store_life(spark):
     assert {(r.repo, r.id) for r in store.stale(old, new).collect()} == {("r", "b"), ("q", "a")}
     assert [(r.id, r.new_start) for r in store.moved(old, new).collect()] == [("a", 5)]
     assert {(r.repo, r.id) for r in store.remove(old, new).collect()} == {("r", "b"), ("q", "a")}
+
+
+def test_copies_past_any_number_keep_their_links(spark):
+    """Fifty copies, a near copy of them and a stranger: no shingle is too common to count."""
+    body = lambda salt: [f"name_{salt}_{i}" for i in range(70)]
+    near = body("a")[:60] + [f"other_{i}" for i in range(10)]
+    texts = [("r", f"c{i:02d}", f"f{i}/x.py", body("a")) for i in range(50)] + [("r", "near", "n.py", near), ("r", "far", "z.py", body("b")), ("r", "zz", "f0/x.py", body("a"))]
+    rows = spark.createDataFrame([(r, i, p, 1, 9, "code", "\n".join(t)) for r, i, p, t in texts], "repo string, id string, path string, start_line int, end_line int, kind string, text string")
+    found = duplicates.pairs(duplicates.fingerprints(rows)).collect()
+    assert {(r.id_a, r.id_b) for r in found if r.jaccard == 1.0} == {("c00", f"c{i:02d}") for i in range(1, 50)} | {("c00", "zz")}
+    assert [(r.id_a, r.id_b) for r in found if r.jaccard < 1.0] == [("c00", "near")]
+
+
+def test_prefix_filter_is_exact(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = {i: sorted({int(rng.expovariate(0.05)) for _ in range(rng.randint(1, 40))}) for i in range(120)}
+    df = spark.createDataFrame(list(sets.items()), "key bigint, shingles array<bigint>")
+    want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 0.45 * len(set(sets[a]) | set(sets[b]))}
+    assert {(r.a, r.b) for r in duplicates.similar(df).collect()} == want and want
+
+
+def test_run_report_and_forgotten_log(spark, tmp_path):
+    from tallyweave.sources import files
+
+    rows = [("r", f"a{i}.py", 1, "x") for i in range(9)] + [("r", "b.zzz", 1, "x"), ("r", "c.zzz", 1, "x"), ("r", ".git/d.zzz", 1, "x"), ("q", "e.py", 1, None)]
+    seen = files.examine(spark.createDataFrame(rows, "repo string, rel_path string, size_bytes bigint, content string"))
+    got = {r.repo: (r.files, r.unreadable, r.unclaimed, r.candidates, r.mostly_unclaimed) for r in files.run_report(seen).collect()}
+    assert got == {"r": (9, 0, 2, 11, True), "q": (0, 1, 0, 0, False)}
+    assert [tuple(r) for r in files.unclaimed_suffixes(seen).collect()] == [(".zzz", 2)]
+
+
+def test_stored_index_reads_only_the_asked_buckets(spark, tmp_path):
+    texts = [("r", f"c{i}", "code", f"alpha beta word{i} " + "gamma " * (i % 5)) for i in range(60)] + [("r", "k", "commit", "alpha")]
+    chunks = spark.createDataFrame(texts, "repo string, id string, kind string, text string")
+    asked = spark.createDataFrame([(1, "gamma word7"), (2, "nothing here"), (3, "")], "query_id bigint, query_text string")
+    want = {tuple(r) for r in search.lexical(chunks, asked, 5).collect()}
+    search.store_index(chunks, str(tmp_path / "ix"))
+    found = search.lexical_stored(spark, str(tmp_path / "ix"), asked, 5)
+    assert {tuple(r) for r in found.collect()} == want and len(want) == 5
+    old = search.MOST_CELLS
+    search.MOST_CELLS = 1
+    try:
+        assert {tuple(r) for r in search.lexical(chunks, asked, 5).collect()} == want
+    finally:
+        search.MOST_CELLS = old
+    rows = spark.read.parquet(str(tmp_path / "ix") + "/postings").where((F.col("bucket") == 3) & F.col("term").isin("gamma"))
+    plan = rows._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "In(term" in plan.replace("EqualTo(term", "In(term")

@@ -122,3 +122,9 @@ def test_index_stream_is_idempotent(spark, tmp_path):
         flows.index_stream(stream, str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "store") + "/batch=*")
     assert sorted((r.path, r.symbol) for r in got.collect()) == [("a.py", "f"), ("b.py", None)]
+
+
+def test_charsets_of_responses(spark):
+    assert [connectors.charset(t) for t in (None, "text/html", 'text/html; charset="latin-1"', "text/html; Charset=nonsense", "text/html; charset=rot_13", "x; charset=utf-32")] == ["utf-8", "utf-8", "latin-1", "utf-8", "utf-8", "utf-32"]
+    df = spark.createDataFrame([("text/html; charset=latin-1", b"caf\xe9"), (None, b"caf\xc3\xa9"), ("x", b"\xff"), (None, None)], "t string, b binary")
+    assert [r.x for r in df.select(connectors.decoded(df.t, df.b).alias("x")).collect()] == ["café", "café", "\ufffd", None]
