@@ -48,7 +48,7 @@ BLOCK_ITEMS = 20_000
 _SLICE = 200_000
 
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrtfv])")
-_TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,300}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _PREFIX = re.compile(r"^[ \t]*(?:(?:>|//+|#+|\*|-|\+|\||;|%|--|!)[ \t]*)+|^[ \t]*\d{1,6}[:.)|][ \t]+", re.MULTILINE)
 _WORD = re.compile(r"[^\W_]+")

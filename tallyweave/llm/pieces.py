@@ -168,3 +168,14 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     keep = [c.split()[0] for c in _KEEP.split(", ")]
     big = chunks.where(F.length("text") > limit).select(*keep, "start_line", "text")
     return big.dropDuplicates().mapInPandas(_split_batches(limit, overlap), PIECES)
+
+
+def rejoined(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(repo, id, digest, short, overlapped): what the pieces of a chunk give when put together
+    again, whether all keep the limit and whether each begins with the end of the one before."""
+    key = ["repo", "id", "path", "symbol", "node_type", "indexed_at"]
+    rows = pieces.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("piece_no", "text"))).alias("p"))
+    texts = F.transform("p", lambda x: x["text"])
+    whole = F.concat(texts[0], F.array_join(F.transform(F.slice("p", 2, F.size("p")), lambda x: F.substr(x["text"], F.lit(overlap + 1))), ""))
+    linked = F.forall(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.substr(F.col("p")[i]["text"], F.length(F.col("p")[i]["text"]) - overlap + 1) == F.substring(F.col("p")[i + 1]["text"], 1, overlap))
+    return rows.select("repo", "id", F.md5(F.encode(whole, "UTF-8")).alias("digest"), F.forall(texts, lambda t: F.length(t) <= limit).alias("short"), linked.alias("overlapped")).distinct()

@@ -98,13 +98,21 @@ def percentiles(sketched: DataFrame, by: Sequence[str], ps: dict[str, float], al
 PS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
+def distinct_values(df: DataFrame, value: str, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``value`` of the distinct rows of ``df``, told apart by 128 bits of all
+    columns, so that wide columns are not shuffled. Only flat columns are hashed so."""
+    nulls = reduce(lambda a, b: a + b, [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(df.columns)])
+    row = df.select(*keep, value, F.xxhash64(nulls, *df.columns).alias("__h1"), F.xxhash64(F.lit(1), nulls, *df.columns).alias("__h2"))
+    return row.dropDuplicates(["__h1", "__h2"]).drop("__h1", "__h2")
+
+
 def search_percentiles(searches: DataFrame, bench: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Latency percentiles per repo and month, and of p95_ms per scenario.
 
     Daily sketches are made first and combined to months, as separate days are.
     """
     month, day = F.date_format("searched_at", "yyyy-MM"), F.date_format("searched_at", "yyyy-MM-dd")
-    counted = searches.dropDuplicates().where(F.col("ms") >= 0)
+    counted = distinct_values(searches.where(F.col("ms") >= 0), "ms", ["repo", "searched_at"])
     daily = sketch(counted, "ms", {"grp": "repo", "month": month, "day": day}, alpha)
     by_month = percentiles(merge([daily], ["grp", "month"]), ["grp", "month"], PS, alpha)
     p95 = F.col("detail.p95_ms")
@@ -113,3 +121,12 @@ def search_percentiles(searches: DataFrame, bench: DataFrame, alpha: float = ALP
     return by_month.withColumn("source", F.lit("searches.ms")).unionByName(
         by_scenario.withColumn("source", F.lit("bench_baseline.p95_ms"))
     ).select("source", "grp", "month", "n", *PS, "rank_error")
+
+
+def rank_errors(values: DataFrame, found: DataFrame, by: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """(by, n, one column per p): how many ranks, as a share of n, a percentile lies off its rank in the exact values."""
+    both = values.alias("v").join(found.select(*[F.col(c).alias(f"__{c}") for c in by], *ps), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]))
+    sides = [x for p in ps for x in (F.count(F.when(F.col(value) < F.col(p), 1)).alias(f"{p}_below"), F.count(F.when(F.col(value) <= F.col(p), 1)).alias(f"{p}_upto"))]
+    counts = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sides)
+    rank = lambda q: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n") - F.lit(1e-9)))
+    return counts.select(*by, "n", *[(F.greatest(F.lit(0), F.col(f"{p}_below") + 1 - rank(q), rank(q) - F.col(f"{p}_upto")) / F.col("n")).alias(p) for p, q in ps.items()])

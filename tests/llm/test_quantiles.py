@@ -69,3 +69,17 @@ def test_report_counts_repeated_rows_once(spark):
     bench = spark.createDataFrame([("s", (1, 2.0)), ("s", (1, 2.0)), ("t", None)], "scenario string, detail struct<searches:int,p95_ms:double>")
     got = {(r.source, r.grp, r.month, r.n, r.p50) for r in Q.search_percentiles(searches, bench).collect()}
     assert got == {("searches.ms", None, "2025-03", 2, 5.0), ("bench_baseline.p95_ms", "s", None, 1, 2.0)}
+
+
+def test_distinct_rows_by_their_hashes(spark):
+    rows = [("a", None, 1.0), (None, "a", 1.0), ("a", None, 1.0), ("a", "a", None), ("a", "a", float("nan")), ("a", "a", float("nan"))]
+    df = spark.createDataFrame(rows, "x string, y string, ms double")
+    assert Q.distinct_values(df, "ms", ["x"]).count() == 4
+    assert Q.distinct_values(df.limit(0), "ms", ["x"]).count() == 0
+
+
+def test_rank_errors_are_seen(spark):
+    values = spark.createDataFrame([(g, float(i)) for g in ("a", None) for i in range(1, 101)], "g string, ms double")
+    found = spark.createDataFrame([("a", 50.0), (None, 60.0)], "g string, p50 double")
+    got = {r.g: r.p50 for r in Q.rank_errors(values, found, ["g"], "ms", {"p50": 0.5}).collect()}
+    assert got == {"a": 0.0, None: 0.1}
