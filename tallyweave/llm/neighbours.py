@@ -1,15 +1,18 @@
 """Most similar vectors of every vector, by vantage-point trees per shard.
 
 Vectors are normalised, so the cosine order is the order of the Euclidean
-distance. The rows are hashed into shards of a bounded size; each shard is a
-vantage-point tree. Query blocks visit every shard: at a node the triangle
-inequality says how near anything on the far side can be, and the far side is
-skipped when that bound times ``relax`` exceeds the distance of the k-th best
-found so far. ``relax`` = 1 restores exact search. The best of the shards are
-merged per query.
+distance. The upper levels of one vantage-point tree, built on a bounded sample,
+cut the space into cells; the rows of a cell, in shards of a bounded size, are
+vantage-point trees of their own. A query first searches its own cell. The
+distance of its k-th best there says which other cells may hold better ones: at a
+node the triangle inequality bounds how near anything on the far side can be, and
+the far side is skipped when that bound times ``relax`` exceeds the distance. Only
+the cells that are left see the query, and return only what is better. ``relax`` =
+1 restores exact search.
 
 Blocks of queries walk a tree together: a node costs one matrix-vector product,
-a leaf one matrix product for the queries that still need it.
+a leaf one matrix product for the queries that still need it. Trees are walked in
+single precision; what they find is ranked by cosines in double precision.
 
 Exact copies are searched once: one representative stands for all rows with the
 same vector, and up to k + 1 member ids travel with it, which is all that any
@@ -44,6 +47,9 @@ DIM = 64
 RELAX = 5.0
 SHARD_ROWS = 8192
 LEAF_ROWS = 512
+#: Vectors, at most about so many, on which the cells are laid out, and the least of
+#: them per cell; every row is assigned to a cell. So there are at most 1,024 cells.
+SAMPLE_ROWS, SAMPLE_PER_CELL = 16_384, 16
 
 
 def usable(vector: Column, dim: int = DIM) -> Column:
@@ -75,9 +81,12 @@ class Tree:
             return ids, self.rows[ids]
         return point, radius, self._build(ids[near]), self._build(ids[~near])
 
-    def search(self, queries: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers (-1: none) and cosines of the k best per query, unordered."""
+    def search(self, queries: np.ndarray, k: int, relax: float, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers (-1: none) and cosines of the k best per query, unordered; of
+        those better than ``least`` where that is given."""
         best = np.full((len(queries), k), -np.inf, dtype=np.float32)
+        if least is not None:
+            best[:] = least[:, None]
         who = np.full((len(queries), k), -1, dtype=np.int64)
         self._walk(self.root, queries, np.arange(len(queries)), best, who, relax)
         return who, best
@@ -121,37 +130,115 @@ def _distance(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (rows @ point)))
 
 
-def _unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
-            m = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            m /= np.abs(m).max(axis=1, keepdims=True)  # huge and tiny lengths do not overflow
-            m /= np.linalg.norm(m, axis=1, keepdims=True)
-            unit = m.astype(np.float32)
-            yield pd.DataFrame({"rep": pdf["rep"], "ids": pdf["ids"], "unit": [r.tobytes() for r in unit]})
+            m = np.stack(pdf["vector"].to_numpy())
+            yield pd.DataFrame({"rep": pdf["rep"], "ids": pdf["ids"], "packed": [r.tobytes() for r in m]})
 
 
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.float32).reshape(-1, dim)
+def _units(column: pd.Series, dim: int) -> np.ndarray:
+    """Unit vectors in double precision; huge and tiny lengths do not overflow."""
+    raw = b"".join(column)
+    m = np.frombuffer(raw, dtype=np.float32 if len(raw) == 4 * dim * len(column) else np.float64).reshape(-1, dim).astype(np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+class Cells:
+    """The upper levels of a vantage-point tree; its leaves are cells, numbered from the left."""
+
+    def __init__(self, sample: np.ndarray, cells: int, seed: int = 7) -> None:
+        self.rng = np.random.default_rng(seed)
+        self.count = 0
+        self.root = self._build(sample, max(1, cells))
+
+    def _build(self, rows: np.ndarray, cells: int):
+        if cells > 1 and len(rows) >= 2 * SAMPLE_PER_CELL:
+            trial = rows[self.rng.integers(0, len(rows), 8)]
+            probe = rows[self.rng.integers(0, len(rows), 500)]
+            point = trial[int(np.argmax(np.var(_distance(probe, trial.T), axis=0)))]
+            d = _distance(rows, point)
+            radius = float(np.median(d))
+            near = d <= radius
+            if not near.all() and near.any():
+                return point, radius, self._build(rows[near], cells // 2), self._build(rows[~near], cells - cells // 2)
+        self.count += 1
+        return self.count - 1
+
+    def own(self, units: np.ndarray) -> np.ndarray:
+        """The cell of every vector."""
+        out = np.zeros(len(units), dtype=np.int32)
+        todo = [(self.root, np.arange(len(units)))]
+        while todo:
+            node, ids = todo.pop()
+            if isinstance(node, int):
+                out[ids] = node
+            elif len(ids):
+                near = _distance(units[ids], node[0]) <= node[1]
+                todo += [(node[2], ids[near]), (node[3], ids[~near])]
+        return out
+
+    def others(self, units: np.ndarray, reach: np.ndarray, relax: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells that may hold something nearer than ``reach``, the own ones left out."""
+        rows, cells = [], []
+        todo = [(self.root, np.arange(len(units)), np.ones(len(units), dtype=bool))]
+        while todo:
+            node, ids, home = todo.pop()
+            if isinstance(node, int):
+                rows.append(ids[~home])
+                cells.append(np.full(int((~home).sum()), node, dtype=np.int32))
+            elif len(ids):
+                gap = _distance(units[ids], node[0]) - node[1]
+                far = np.abs(gap) * relax <= reach[ids]
+                for child, here in ((node[2], gap <= 0), (node[3], gap > 0)):
+                    keep = here | far
+                    todo.append((child, ids[keep], (home & here)[keep]))
+        return np.concatenate(rows), np.concatenate(cells)
+
+
+def _assign(cells: Cells, dim: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[["rep", "packed"]].assign(cell=cells.own(_units(pdf["packed"], dim).astype(np.float32)))
+
+    return run
+
+
+def _route(cells: Cells, relax: float, dim: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                least = pdf["least"].to_numpy(float)
+                reach = np.sqrt(np.maximum(0, 2 - 2 * least)).clip(0, 4)
+                row, cell = cells.others(_units(pdf["packed"], dim).astype(np.float32), reach, relax)
+                yield pd.DataFrame({"rep": pdf["rep"].to_numpy()[row], "packed": pdf["packed"].to_numpy()[row], "least": least[row], "cell": cell})
+
+    return run
 
 
 def _search_block(k: int, relax: float, dim: int):
     def run(key, shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"rep": pd.Series([], dtype="int64"), "others": pd.Series([], dtype=object), "cos": pd.Series([], dtype=object)})
         if not len(shard) or not len(block):
-            none = pd.Series([], dtype=object)
-            return pd.DataFrame({"rep": pd.Series([], dtype="int64"), "others": none, "cos": none})
+            return nothing
         shard = shard.sort_values("rep")
-        tree = Tree(_matrix(shard["unit"], dim))
-        # One more than k, since a query finds itself in its own shard.
-        who, best = tree.search(_matrix(block["unit"], dim), k + 1, relax)
-        reps = shard["rep"].to_numpy()
-        own = block["rep"].to_numpy()
-        others, cos = [], []
-        for i in range(len(own)):
-            ok = (who[i] >= 0) & (reps[who[i]] != own[i])
-            others.append(reps[who[i][ok]])
-            cos.append(best[i][ok].astype(np.float64))
-        return pd.DataFrame({"rep": own, "others": others, "cos": cos})
+        rows, queries = _units(shard["packed"], dim), _units(block["packed"], dim)
+        tree = Tree(rows.astype(np.float32))
+        least = block["least"].to_numpy(np.float32)
+        # One more than k, since a query finds itself in its own cell, and a few for ties in single precision.
+        who, _ = tree.search(queries.astype(np.float32), k + 4, relax, np.where(np.isfinite(least), least - np.float32(1e-6), -np.inf).astype(np.float32))
+        reps, own = shard["rep"].to_numpy(), block["rep"].to_numpy()
+        q, j = np.nonzero(who >= 0)
+        r = who[q, j]
+        apart = reps[r] != own[q]
+        q, r = q[apart], r[apart]
+        cos = np.einsum("ij,ij->i", queries[q], rows[r])
+        if not len(q):
+            return nothing
+        some, at = np.unique(q, return_index=True)
+        return pd.DataFrame({"rep": own[some], "others": np.split(reps[r], at[1:]), "cos": np.split(cos, at[1:])})
 
     return run
 
@@ -182,26 +269,60 @@ def representatives(vectors: DataFrame, id_column: str, vector_column: str, k: i
     return reps.select("rep", "ids", "vector"), members
 
 
+_FOUND = "rep bigint, others array<bigint>, cos array<double>"
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """(rep, other, cos): the k best of what the shards found."""
+    flat = found.select("rep", F.explode(F.arrays_zip("others", "cos")).alias("x")).select("rep", F.col("x.others").alias("other"), F.col("x.cos").alias("cos"))
+    order = Window.partitionBy("rep").orderBy(F.desc("cos"), "other")
+    return flat.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+
+
+def _blocks(rows: DataFrame, queries: DataFrame, shard_rows: int, k: int, relax: float, dim: int) -> DataFrame:
+    """Every cell's rows against its queries, both in blocks of about ``shard_rows``.
+
+    The sizes of the cells, at most 1,024 rows on either side, tell how many blocks.
+    """
+    size = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias(name))
+    plan = F.broadcast(cut(size(rows, "shards").join(size(queries, "blocks"), "cell")))
+    spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    # Fresh names keep both sides apart, which come from one table.
+    fresh = lambda *c: [F.col(x).alias(x) for x in c]
+    left = rows.join(plan, "cell").select(*fresh("cell", "rep", "packed"), spot("shards").alias("shard"), every("blocks").alias("block"))
+    right = queries.join(plan, "cell").select(*fresh("cell", "rep", "packed", "least"), spot("blocks").alias("block"), every("shards").alias("shard"))
+    return left.groupBy("cell", "shard", "block").cogroup(right.groupBy("cell", "shard", "block")).applyInPandas(_search_block(k, relax, dim), _FOUND)
+
+
+def candidates(units: DataFrame, k: int, relax: float, dim: int, shard_rows: int) -> DataFrame:
+    """(rep, other, cos): the k best others of every packed vector (rep, packed)."""
+    n = units.count()
+    keep = max(1, n // SAMPLE_ROWS)
+    drawn = units.where(F.pmod(F.xxhash64("rep"), F.lit(keep)) == 0).select("packed").toPandas() if n else pd.DataFrame({"packed": []})
+    sample = _units(drawn["packed"], dim).astype(np.float32) if len(drawn) else np.zeros((0, dim), dtype=np.float32)
+    cells = Cells(sample, min(-(-n // shard_rows), SAMPLE_ROWS // SAMPLE_PER_CELL))
+    rows = cut(units.select("rep", "packed").mapInPandas(_assign(cells, dim), "rep bigint, packed binary, cell int"))
+    home = cut(_best(_blocks(rows, rows.withColumn("least", F.lit(float("-inf"))), shard_rows, k, relax, dim), k))
+    if cells.count == 1:
+        return home
+    # A cell with fewer than k others bounds nothing.
+    least = home.groupBy("rep").agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).otherwise(F.lit(float("-inf"))).alias("least"))
+    known = rows.select("rep", "packed").join(least, "rep", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    routed = cut(known.mapInPandas(_route(cells, relax, dim), "rep bigint, packed binary, least double, cell int"))
+    away = _blocks(rows, routed, shard_rows, k, relax, dim)
+    return _best(away.unionByName(home.groupBy("rep").agg(F.collect_list("other").alias("others"), F.collect_list("cos").alias("cos"))), k)
+
+
 def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "vector", k: int = K, relax: float = RELAX, dim: int = DIM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id, rank, other_id, similarity): the k most similar vectors of every one.
 
-    The shuffle repeats each shard once per query block and each block once per
-    shard, both of at most ``shard_rows`` rows; answers are k per query and shard.
+    What is shuffled are the rows of a cell once for each block of the queries routed
+    to it, and each query once for each cell that its bound cannot exclude.
     """
     reps, members = representatives(vectors, id_column, vector_column, k, dim)
-    units = cut(reps.mapInPandas(_unit, "rep bigint, ids array<bigint>, unit binary"))
-    shards = max(1, -(-units.count() // shard_rows))
-    spot = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    slim = units.select("rep", "unit")
-    pairs = (
-        slim.withColumn("shard", spot).withColumn("block", every).groupBy("shard", "block")
-        .cogroup(slim.withColumn("block", spot).withColumn("shard", every).groupBy("shard", "block"))
-        .applyInPandas(_search_block(k, relax, dim), "rep bigint, others array<bigint>, cos array<double>")
-    )
-    flat = pairs.select("rep", F.explode(F.arrays_zip("others", "cos")).alias("x")).select("rep", F.col("x.others").alias("other"), F.col("x.cos").alias("cos"))
-    order = Window.partitionBy("rep").orderBy(F.desc("cos"), "other")
-    best = flat.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    units = cut(reps.mapInPandas(_pack, "rep bigint, ids array<bigint>, packed binary"))
+    best = candidates(units, k, relax, dim, shard_rows)
     # Candidates of a representative: its own copies, then the copies of its neighbours.
     own = units.select("rep", "ids", F.lit(1.0).alias("cos"))
     theirs = best.join(units.select(F.col("rep").alias("other"), "ids"), "other").select("rep", "ids", "cos")

@@ -55,3 +55,27 @@ def test_copies_and_unusable_vectors(spark):
     assert (0, 100) in pairs and all(a < b for a, b in pairs)
     assert V.nearest(frame(spark, []), dim=8).count() == 0
     assert V.nearest(frame(spark, [(1, m[0])]), dim=8).count() == 0
+
+
+def test_cells_route_without_loss_and_skip_what_is_far(spark):
+    """Clustered vectors: factor one finds everything, and few queries leave their cell."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(16, 16)) * 4
+    m = (centres[rng.integers(0, 16, 3000)] + rng.normal(size=(3000, 16)) * 0.2).astype(np.float64)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cells = V.Cells(unit.astype(np.float32), 16)
+    own = cells.own(unit.astype(np.float32))
+    assert cells.count == 16 and len(np.unique(own)) == 16
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    kth = np.sort(s, axis=1)[:, -5]
+    reach = np.sqrt(2 - 2 * kth)
+    row, cell = cells.others(unit.astype(np.float32), reach + 1e-4, 1.0)
+    routed = set(zip(row.tolist(), cell.tolist())) | set(zip(range(3000), own.tolist()))
+    assert all((i, int(own[j])) in routed for i in range(3000) for j in np.nonzero(s[i] >= kth[i])[0])
+    assert len(row) < 0.5 * 3000 * 15 and not any(own[i] == c for i, c in zip(row.tolist(), cell.tolist()))
+    got = {}
+    for r in V.nearest(frame(spark, enumerate(m)), k=5, dim=16, relax=1.0, shard_rows=200).collect():
+        got.setdefault(r.vec_id, set()).add(r.other_id)
+    m32 = m.astype(np.float32).astype(np.float64)
+    assert [got[i] for i in range(3000)] == brute(m32, 5)
