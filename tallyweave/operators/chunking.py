@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text as T
+from tallyweave.operators import definitions as D
 from tallyweave.session import spread
 
 WINDOW_LINES, OVERLAP_LINES, MOST_CHARS = 40, 10, 900
@@ -110,41 +111,35 @@ def python_spans(text: str, lines: list[str]) -> list[Span]:
     return cover(lines, out)
 
 
-#: How a definition begins, by language: (pattern with the name in a group, node type).
+#: How a definition begins in the languages that have no nesting to follow: (pattern with the name in a group, node type).
 DEFINITIONS: dict[str, list[tuple[re.Pattern, str]]] = {
-    "go": [(re.compile(r"^func\s+(?:\(\s*\w*\s*\*?(\w+)[^)]*\)\s*)?(\w+)"), "function_declaration"), (re.compile(r"^type\s+(\w+)"), "type_declaration")],
-    "rust": [(re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)"), "function_item"), (re.compile(r"^(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|impl(?:<[^>]*>)?)\s+([\w:]+)"), "type_item")],
-    "java": [(re.compile(r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*[\w<>\[\], ?]+\s+(\w+)\s*\([^;]*$"), "method_declaration")],
-    "javascript": [(re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), "function_declaration"), (re.compile(r"^(?:export\s+)?class\s+(\w+)"), "class_declaration"), (re.compile(r"^(?:export\s+)?(?:const|let)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"), "lexical_declaration")],
     "toml": [(re.compile(r"^\[\[?\s*([^\]]+?)\s*\]\]?"), "table")],
     "yaml": [(re.compile(r"^([A-Za-z_][\w.\-]*)\s*:"), "block_mapping_pair")],
-    "json": [(re.compile(r'^\s{1,4}"([^"]+)"\s*:'), "pair")],
     "dockerfile": [(re.compile(r"(?i)^FROM\s+\S+(?:\s+AS\s+(\S+))?"), "stage")],
-    "bash": [(re.compile(r"^(?:function\s+)?(\w[\w-]*)\s*\(\)"), "function_definition")],
-    "sql": [(re.compile(r"(?i)^create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view|function|procedure|index|trigger|type)\s+(?:if\s+not\s+exists\s+)?([\w.\"]+)"), "create")],
-    "hcl": [(re.compile(r'^(?:resource|data)\s+"([^"]+)"\s+"([^"]+)"'), "block"), (re.compile(r'^(?:module|variable|output|provider)\s+"([^"]+)"'), "block")],
-    "ruby": [(re.compile(r"^\s*def\s+([\w.?!=]+)"), "method"), (re.compile(r"^\s*(?:class|module)\s+([\w:]+)"), "class")],
-    "php": [(re.compile(r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(\w+)"), "function_definition"), (re.compile(r"^\s*(?:final\s+|abstract\s+)?(?:class|interface|trait)\s+(\w+)"), "class_declaration")],
-    "kotlin": [(re.compile(r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]+>\s*)?(?:[\w.]+\.)?(\w+)"), "function_declaration"), (re.compile(r"^\s*(?:\w+\s+)*(?:class|interface|object)\s+(\w+)"), "class_declaration")],
-    "swift": [(re.compile(r"^\s*(?:\w+\s+)*func\s+(\w+)"), "function_declaration"), (re.compile(r"^\s*(?:\w+\s+)*(?:class|struct|enum|protocol|extension)\s+(\w+)"), "class_declaration")],
-    "scala": [(re.compile(r"^\s*(?:\w+\s+)*def\s+(\w+)"), "function_definition"), (re.compile(r"^\s*(?:\w+\s+)*(?:class|object|trait)\s+(\w+)"), "class_definition")],
-    "csharp": [(re.compile(r"^\s+(?:(?:public|private|protected|internal|static|async|override|virtual|sealed)\s+)+[\w<>\[\], ?]+\s+(\w+)\s*\([^;]*$"), "method_declaration"), (re.compile(r"^\s*(?:\w+\s+)*(?:class|interface|struct|record)\s+(\w+)"), "class_declaration")],
-    "c": [(re.compile(r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;]*$"), "function_definition"), (re.compile(r"^(?:typedef\s+)?(?:struct|enum|union)\s+(\w+)"), "type_definition")],
-    "cpp": [(re.compile(r"^[A-Za-z_][\w\s*&:<>,]*?\b([\w:~]+)\s*\([^;]*$"), "function_definition"), (re.compile(r"^(?:class|struct|namespace|enum)\s+(\w+)"), "type_definition")],
-    "elixir": [(re.compile(r"^\s*defp?\s+([\w?!]+)"), "def"), (re.compile(r"^\s*defmodule\s+([\w.]+)"), "defmodule")],
-    "objc": [(re.compile(r"^[-+]\s*\([^)]*\)\s*(\w+)"), "method_definition"), (re.compile(r"^@(?:interface|implementation|protocol)\s+(\w+)"), "class")],
+    "bash": [(re.compile(r"^(?:function\s+)?(\w[\w-]*)\s*\(\)"), "function_definition"), (re.compile(r"^function\s+(\w[\w-]*)"), "function_definition")],
+    "sql": [(re.compile(r"(?i)^create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+|unique\s+|materialized\s+)*(?:table|view|function|procedure|index|trigger|type|schema|sequence)\s+(?:if\s+not\s+exists\s+)?([\w.\"]+)"), "create")],
     "html": [(re.compile(r"^<([a-zA-Z][\w-]*)"), "element")],
-    "xml": [(re.compile(r"^\s{0,4}<([a-zA-Z][\w:.-]*)"), "element")],
 }
-DEFINITIONS["typescript"] = [*DEFINITIONS["javascript"], (re.compile(r"^(?:export\s+)?(?:declare\s+)?(?:interface|type|enum|namespace)\s+(\w+)"), "type_declaration")]
-DEFINITIONS["tsx"] = DEFINITIONS["typescript"]
+_NESTING = {"go", "ruby", "elixir", "objc", "hcl", "json", "xml", *D.NESTED}
+
+
+def definitions(lang: str, text: str, lines: list[str]) -> list[Span]:
+    """The definitions of a file of a language whose nesting is followed."""
+    if lang in D.NESTED:
+        return D.nested_spans(lang, lines)
+    if lang in ("ruby", "elixir"):
+        return D.ended_spans(lang, lines)
+    if lang == "xml":
+        return D.xml_spans(text, lines)
+    return {"go": D.go_spans, "objc": D.objc_spans, "hcl": D.hcl_spans, "json": D.json_spans}[lang](lines)
+
 
 _EXTRA: dict[str, Callable[[str, list[str]], list[Span]]] = {}
 
 
 def register_chunker(lang: str, spans: Callable[[str, list[str]], list[Span]]) -> None:
     """Add a language: a function of (text, lines) that gives its spans. Built-in ones win."""
-    if lang not in DEFINITIONS and lang != "python":
+    if lang not in DEFINITIONS and lang not in _NESTING and lang != "python":
         _EXTRA[lang] = spans
 
 
@@ -173,7 +168,7 @@ def pattern_spans(lang: str, lines: list[str]) -> list[Span]:
                 name = ".".join(g for g in m.groups() if g) or None
                 starts.append((i, name, node))
                 break
-    braces = lang in ("go", "rust", "java", "javascript", "typescript", "tsx", "c", "cpp", "csharp", "kotlin", "swift", "scala", "php", "objc", "hcl", "bash")
+    braces = lang == "bash"
     out: list[Span] = []
     last = 0
     for n, (i, name, node) in enumerate(starts):
@@ -246,6 +241,9 @@ def spans_of(text: str, lang: str | None, kind: str | None) -> list[Span]:
         return cover(lines, out) if out else windows(lines)
     if lang == "python":
         return python_spans(text, lines)
+    if lang in _NESTING:
+        found = definitions(lang, text, lines)
+        return cover(lines, found) if found else windows(lines)
     if lang in DEFINITIONS:
         return pattern_spans(lang, lines)
     if lang in _EXTRA:
@@ -267,9 +265,21 @@ def _chunk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=names)
 
 
+def latest(files: DataFrame) -> DataFrame:
+    """One readable row per (repo, rel_path): the one walked last."""
+    at = F.col("walked_at") if "walked_at" in files.columns else F.lit(None).cast("timestamp")
+    held = files.where(F.col("content").isNotNull()).withColumn("__at", at)
+    newest = Window.partitionBy("repo", "rel_path").orderBy(F.desc_nulls_last("__at"), F.col("content"), F.asc_nulls_last("lang"))
+    return held.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n", "__at")
+
+
 def chunk_files(files: DataFrame) -> DataFrame:
-    """Chunks with their ids, of distinct readable files (repo, rel_path, lang, kind, content)."""
-    slim = files.where(F.col("content").isNotNull()).select("repo", F.col("rel_path").alias("path"), "lang", "kind", "content").dropDuplicates(["repo", "path"])
+    """Chunks with their ids, of distinct readable files (repo, rel_path, lang, kind, content).
+
+    Of several contents of one path the one walked last counts, of those of one moment
+    the first in order.
+    """
+    slim = latest(files).select("repo", F.col("rel_path").alias("path"), "lang", "kind", "content")
     cut = spread(slim).mapInPandas(_chunk_batches, CHUNKS)
     return cut.withColumn("id", T.chunk_id(F.col("text"), F.col("path")))
 
@@ -279,7 +289,7 @@ def markdown_sections(files: DataFrame) -> DataFrame:
 
     Fence parity and header count are running sums over the lines of a file.
     """
-    rows = files.where(F.col("content").isNotNull() & (F.col("lang") == "markdown")).select("repo", F.col("rel_path").alias("path"), "content").dropDuplicates(["repo", "path"])
+    rows = latest(files.where(F.col("lang") == "markdown")).select("repo", F.col("rel_path").alias("path"), "content")
     at = rows.select("repo", "path", F.posexplode(T.lines(F.col("content"))).alias("n", "line"))
     run = Window.partitionBy("repo", "path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     fenced = at.withColumn("fences", F.sum(F.col("line").startswith("```").cast("int")).over(run))

@@ -121,7 +121,7 @@ def manifest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.manifest_links(table(spark, sf_dir, "walked_files").where("content IS NOT NULL"))
 
 
-@query("C02_markdown", r"""WITH f AS (SELECT repo, rel_path AS path, any_value(content) AS content FROM walked_files WHERE lang = 'markdown' AND content IS NOT NULL GROUP BY ALL),
+@query("C02_markdown", r"""WITH f AS (SELECT repo, rel_path AS path, min_by(content, (-epoch_us(walked_at), content)) AS content FROM walked_files WHERE lang = 'markdown' AND content IS NOT NULL GROUP BY ALL),
     l AS (SELECT repo, path, regexp_split_to_array(content, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS lines FROM f),
     k AS (SELECT repo, path, CASE WHEN lines[len(lines)] = '' THEN lines[1:len(lines) - 1] ELSE lines END AS lines FROM l),
     numbered AS (SELECT repo, path, unnest(range(len(lines))) AS n, unnest(lines) AS line FROM k),
