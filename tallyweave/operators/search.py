@@ -146,18 +146,26 @@ def bucket_of(term: Column | str) -> Column:
 
 
 def store_index(chunks: DataFrame, path: str) -> None:
-    """Write the lexical index of chunks: postings by term bucket, and the corpus statistics."""
+    """Write the lexical index of chunks: postings by repository and term bucket, and the
+    statistics of every repository. Repositories that are not among the chunks stay."""
     rows = postings(chunks).withColumn("bucket", bucket_of("term"))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    docs = chunks.where(F.col("kind") != "commit").select(F.size(T.tokens(F.col("text"))).alias("length"))
-    docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length")).write.mode("overwrite").parquet(f"{path}/stats")
+    replace = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    replace(rows.repartition("repo", "bucket").sortWithinPartitions("repo", "bucket", "term")).partitionBy("repo", "bucket").parquet(f"{path}/postings")
+    docs = chunks.where(F.col("kind") != "commit").select("repo", F.size(T.tokens(F.col("text"))).alias("length"))
+    replace(docs.groupBy("repo").agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("words"))).partitionBy("repo").parquet(f"{path}/stats")
 
 
-def lexical_stored(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
-    """BM25 from a stored index: only the buckets of the asked terms are read, and of
-    those only the row groups that may hold them."""
+def lexical_stored(spark: SparkSession, path: str, queries: DataFrame, k: int, repo: str | None = None) -> DataFrame:
+    """BM25 from a stored index, over all repositories or one: only the buckets of the asked
+    terms are read, and of those only the row groups that may hold them."""
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query_text")))).alias("term")).distinct()
-    rows = spark.read.parquet(f"{path}/postings")
+    # Names of repositories stay strings whatever they look like.
+    kind = lambda first: f"{first}, repo string"
+    rows = spark.read.schema(kind("id string, length int, term string, tf bigint, bucket int")).parquet(f"{path}/postings")
+    stats = spark.read.schema(kind("docs bigint, words bigint")).parquet(f"{path}/stats")
+    if repo is not None:
+        rows, stats = rows.where(F.col("repo") == repo), stats.where(F.col("repo") == repo)
+    stats = stats.agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("docs")).alias("mean_length"))
     asked = terms.select("term").distinct()
     named = [r.term for r in asked.limit(MOST_NAMED + 1).collect()]
     if len(named) <= MOST_NAMED:
@@ -165,7 +173,7 @@ def lexical_stored(spark: SparkSession, path: str, queries: DataFrame, k: int) -
         rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(named))
     else:
         rows = rows.join(asked, "term", "left_semi")
-    return _ranked(rows.select("term", "repo", "id", "length", "tf"), spark.read.parquet(f"{path}/stats"), terms, k)
+    return _ranked(rows.select("term", "repo", "id", "length", "tf"), stats, terms, k)
 
 
 def _block_search(k: int, dim: int, skip_self: bool, per: str | None):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,10 +85,26 @@ def unclaimed_suffixes(examined: DataFrame) -> DataFrame:
     return examined.where(F.col("skip") == "unknown format").groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("files"))
 
 
-def read_folder(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    """Every file below a folder as rows of the files table; bytes that are no UTF-8 are replaced."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    here = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
+#: So many paths at most are named to the reader; more are found by a join.
+MOST_NAMED = 2_000
+
+
+def read_folder(spark: SparkSession, root: str, repo: str, paths: DataFrame | None = None) -> DataFrame:
+    """Every file below a folder, or those of ``paths`` (rel_path), as rows of the files table;
+    bytes that are no UTF-8 are replaced. Only the named files are opened when they are few."""
+    base = root.rstrip("/")
+    named = None if paths is None else [r.rel_path for r in paths.select("rel_path").limit(MOST_NAMED + 1).collect()]
+    reader = spark.read.format("binaryFile")
+    if named is not None and len(named) <= MOST_NAMED:
+        there = [f"{base}/{p}" for p in named if (Path(base) / p).is_file()] if not re.match(r"^[a-z0-9]+://", base) else [f"{base}/{p}" for p in named]
+        if not there:
+            return spark.createDataFrame([], "repo string, rel_path string, size_bytes bigint, content string, walked_at timestamp, lang string, kind string")
+        raw = reader.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in there])
+    else:
+        raw = reader.option("recursiveFileLookup", "true").load(base)
+    here = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/", "")
     rows = raw.select(F.lit(repo).alias("repo"), here.alias("rel_path"), F.col("length").alias("size_bytes"), F.expr("decode(content, 'UTF-8')").alias("content"), F.col("modificationTime").alias("walked_at"))
+    if named is not None and len(named) > MOST_NAMED:
+        rows = rows.join(paths.select("rel_path").distinct(), "rel_path", "left_semi").select(rows.columns)
     lang, kind = language(F.col("rel_path"))
     return rows.withColumn("lang", lang).withColumn("kind", kind)

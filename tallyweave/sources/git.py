@@ -14,7 +14,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 TIMEOUT = 120
-MOST_COMMITS = 10_000
+#: Commits of a full pass, and those whose files are paired; options ``most_commits`` and
+#: ``most_paired`` change them, 0 reads all.
+MOST_COMMITS, MOST_PAIRED = 10_000, 400
 
 
 def git(root: str, *args: str) -> bytes:
@@ -62,18 +64,28 @@ def diff_since(root: str, since: str | None = None) -> tuple[list[str], list[str
     return name_status(git(root, "diff", "--name-status", "-z", since, "HEAD"))
 
 
-def commits(root: str, since: str | None = None) -> Iterator[tuple[str, str, str]]:
-    """(sha, author date, message), newest first; a full pass stops at MOST_COMMITS."""
-    span = [f"{since}..HEAD"] if since else [f"-n{MOST_COMMITS}", "HEAD"]
+def knows(root: str, sha: str) -> bool:
+    """Whether a commit is still an ancestor of the head."""
+    try:
+        git(root, "merge-base", "--is-ancestor", sha, "HEAD")
+    except subprocess.CalledProcessError:
+        return False
+    return True
+
+
+def commits(root: str, since: str | None = None, most: int | None = MOST_COMMITS) -> Iterator[tuple[str, str, str]]:
+    """(sha, author date, message), newest first; a full pass stops at ``most``, null for no bound."""
+    span = [f"{since}..HEAD"] if since else [*([f"-n{most}"] if most else []), "HEAD"]
     for record in _text(git(root, "log", "--format=%H%x1f%aI%x1f%B%x1e", *span)).split("\x1e"):
         fields = record.strip("\n").split("\x1f")
         if len(fields) == 3:
             yield fields[0], fields[1], fields[2].strip()
 
 
-def commit_files(root: str, most: int = 400) -> Iterator[tuple[str, str]]:
+def commit_files(root: str, most: int | None = MOST_PAIRED) -> Iterator[tuple[str, str]]:
+    """(sha, path) of the last ``most`` commits, null for all."""
     sha = None
-    for line in _text(git(root, "log", "--name-only", f"-n{most}", "--format=%x1e%H")).split("\n"):
+    for line in _text(git(root, "log", "--name-only", *([f"-n{most}"] if most else []), "--format=%x1e%H")).split("\n"):
         if line.startswith("\x1e"):
             sha = line[1:]
         elif line and sha:
@@ -97,8 +109,8 @@ SCHEMAS = {
 
 
 class _Slice(InputPartition):
-    def __init__(self, repo: str, root: str, since: str | None = None, paths: tuple[str, ...] = ()) -> None:
-        self.repo, self.root, self.since, self.paths = repo, root, since, paths
+    def __init__(self, repo: str, root: str, since: str | None = None, paths: tuple[str, ...] = (), most: tuple[int, int] = (MOST_COMMITS, MOST_PAIRED)) -> None:
+        self.repo, self.root, self.since, self.paths, self.most = repo, root, since, paths, most
 
 
 def rows_of(what: str, part: _Slice) -> Iterator[tuple]:
@@ -107,9 +119,9 @@ def rows_of(what: str, part: _Slice) -> Iterator[tuple]:
         for kind, paths in (("changed", changed), ("deleted", deleted)):
             yield from ((part.repo, p, kind) for p in paths)
     elif what == "commits":
-        yield from ((part.repo, *c) for c in commits(part.root, part.since))
+        yield from ((part.repo, *c) for c in commits(part.root, part.since, part.most[0]))
     elif what == "commit_files":
-        yield from ((part.repo, *c) for c in commit_files(part.root))
+        yield from ((part.repo, *c) for c in commit_files(part.root, part.most[1]))
     else:
         for p in part.paths:
             yield from ((part.repo, p, *x) for x in blame(part.root, p))
@@ -120,13 +132,14 @@ class _Reader(DataSourceReader):
         self.what = options.get("table", "files")
         self.roots = json.loads(options["repos"])
         self.since = json.loads(options.get("since", "{}"))
+        self.most = int(options.get("most_commits", MOST_COMMITS)), int(options.get("most_paired", MOST_PAIRED))
 
     def partitions(self) -> list[InputPartition]:
         if self.what != "blame":
-            return [_Slice(r, root, self.since.get(r)) for r, root in self.roots.items()]
+            return [_Slice(r, root, self.since.get(r), most=self.most) for r, root in self.roots.items()]
         out: list[InputPartition] = []
         for r, root in self.roots.items():
-            paths = sorted(diff_since(root)[0])
+            paths = sorted(diff_since(root, self.since.get(r))[0])
             out += [_Slice(r, root, None, tuple(paths[i : i + 64])) for i in range(0, len(paths), 64)]
         return out
 

@@ -8,9 +8,11 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.sources.files import HIDDEN_DIRS
+
 MOST_BYTES, MOST_DEPTH = 512 << 10, 3
 _NAME = re.compile(r"^[A-Za-z0-9@._/\-]+")
 
@@ -57,12 +59,25 @@ def read_manifest(name: str, text: str) -> tuple[set[str], set[str]]:
     return provides, needs - provides
 
 
-def manifest_links(files: DataFrame) -> DataFrame:
-    """provides / depends_on links of the manifests among the files."""
+def is_manifest(rel_path: Column) -> Column:
+    name = F.regexp_extract(rel_path, "([^/]*)$", 1)
+    return name.isin("package.json", "pyproject.toml", "Cargo.toml", "go.mod", "pom.xml", "Gemfile") | name.endswith(".gemspec") | name.endswith(".csproj")
+
+
+def manifest_links(files: DataFrame, most_depth: int | None = MOST_DEPTH, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+    """provides / depends_on links of the manifests among the files.
+
+    Deeper or larger ones than the bounds (null: none) and those of vendored folders
+    belong to other projects.
+    """
     name = F.regexp_extract("rel_path", "([^/]*)$", 1)
-    wanted = name.isin("package.json", "pyproject.toml", "Cargo.toml", "go.mod", "pom.xml", "Gemfile") | name.endswith(".gemspec") | name.endswith(".csproj")
-    depth = F.size(F.split("rel_path", "/")) - 1
-    few = files.where(wanted & (depth <= MOST_DEPTH) & (F.length("content") <= MOST_BYTES)).select("repo", "rel_path", name.alias("name"), "content").distinct()
+    folders = F.split(F.regexp_replace("rel_path", "/?[^/]*$", ""), "/")
+    wanted = is_manifest(F.col("rel_path")) & ~F.arrays_overlap(folders, F.array(*[F.lit(d) for d in (*HIDDEN_DIRS, "vendor", "vendored", "third_party", "thirdparty")]))
+    if most_depth is not None:
+        wanted = wanted & (F.size(F.split("rel_path", "/")) - 1 <= most_depth)
+    if most_bytes is not None:
+        wanted = wanted & (F.length("content") <= most_bytes)
+    few = files.where(wanted).select("repo", "rel_path", name.alias("name"), "content").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

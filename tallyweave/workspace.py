@@ -10,7 +10,6 @@ import json
 import time
 from datetime import datetime, timezone
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,24 +36,37 @@ class Workspace:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name))
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        """Replace the partitions of the repositories that ``rows`` holds."""
+    def _fs(self, path: str):
+        here = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return here.getFileSystem(self.spark._jsc.hadoopConfiguration()), here
+
+    def _replace(self, name: str, rows: DataFrame, repo: str) -> None:
+        """Replace the partition of a repository; one without rows goes."""
+        rows = cut(rows)
+        if not rows.take(1):
+            fs, here = self._fs(f"{self._path(name)}/repo={repo}")
+            fs.delete(here, True)
+            return
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(self._path(name))
 
     def _state(self) -> dict:
-        path = Path(self._path("state.json"))
-        return json.loads(path.read_text()) if path.is_file() else {}
+        fs, here = self._fs(self._path("state.json"))
+        if not fs.exists(here):
+            return {}
+        return json.loads("\n".join(r.value for r in self.spark.read.text(self._path("state.json")).collect()))
 
     def _save_state(self, state: dict) -> None:
-        path = Path(self._path("state.json"))
-        path.parent.mkdir(parents=True, exist_ok=True)
-        fresh = path.with_suffix(".tmp")
-        fresh.write_text(json.dumps(state, sort_keys=True))
-        fresh.replace(path)
+        fs, fresh = self._fs(self._path("state.json.tmp"))
+        out = fs.create(fresh, True)
+        out.write(json.dumps(state, sort_keys=True).encode())
+        out.close()
+        _, here = self._fs(self._path("state.json"))
+        fs.delete(here, False)
+        fs.rename(fresh, here)
 
     # -- index ------------------------------------------------------------
     def index(self) -> DataFrame:
-        """Read what changed and renew its chunks and links; (repo, reason, chunks) per repository read."""
+        """Read what changed and renew its chunks and links; (repo, reason, read, embedded, chunks) per repository read."""
         state, done = self._state(), []
         git.register(self.spark)
         for r in self.config.repositories:
@@ -63,34 +75,78 @@ class Workspace:
             reason = full_pass_reason(saved.get("commit"), saved.get("markup"), r.markup_key, dirty)
             if reason is None and saved["commit"] == head:
                 continue
-            self._index_one(r)
-            done.append((r.id, reason or "new commits"))
+            if reason is None and not git.knows(r.path, saved["commit"]):
+                reason = "history rewritten"
+            read, embedded = self._index_one(r, None if reason else saved["commit"])
+            done.append((r.id, reason or "new commits", read, embedded))
             if not dirty:
                 state[r.id] = {"commit": head, "markup": r.markup_key}
                 self._save_state(state)
-        report = self.spark.createDataFrame(done, "repo string, reason string")
+        report = self.spark.createDataFrame(done, "repo string, reason string, read bigint, embedded bigint")
         return report.join(self.table("chunks").groupBy("repo").agg(F.count(F.lit(1)).alias("chunks")), "repo", "left") if done else report.withColumn("chunks", F.lit(0).cast("bigint"))
 
-    def _index_one(self, r) -> None:
-        repos = json.dumps({r.id: r.path})
-        read = lambda t: self.spark.read.format("git").option("repos", repos).option("table", t).load()
-        listed = read("files").where("change = 'changed'").select("rel_path")
-        walked = files.examine(files.read_folder(self.spark, r.path, r.id).join(listed, "rel_path", "left_semi"), r.ignore, r.formats)
-        kept = walked.where("skip IS NULL").withColumn("lang", F.col("found_lang")).withColumn("kind", F.col("found_kind"))
+    def _stored(self, name: str, repo: str) -> DataFrame | None:
+        fs, here = self._fs(f"{self._path(name)}/repo={repo}")
+        return self.table(name).where(F.col("repo") == repo) if fs.exists(here) else None
+
+    def _index_one(self, r, since: str | None) -> tuple[int, int]:
+        """Renew one repository from a commit on, or whole; files read and chunks embedded.
+
+        From a commit on only the files that changed are opened; their chunks and links
+        and those of deleted files leave, new ones join, and only texts that are not
+        stored are embedded.
+        """
+        repos, begun = json.dumps({r.id: r.path}), json.dumps({r.id: since} if since else {})
+        read = lambda t: self.spark.read.format("git").option("repos", repos).option("since", begun).option("table", t).load()
+        listed = cut(read("files"))
+        changed = listed.where("change = 'changed'").select("rel_path").distinct()
+        old = self._stored("chunks", r.id) if since else None
+        walked = files.examine(files.read_folder(self.spark, r.path, r.id, changed if since else None).join(changed, "rel_path", "left_semi"), r.ignore, r.formats)
+        kept = cut(walked.where("skip IS NULL").withColumn("lang", F.col("found_lang")).withColumn("kind", F.col("found_kind")))
         code = chunking.chunk_files(kept)
-        history = chunking.commit_chunks(read("commits"))
-        chunks = code.unionByName(history).dropDuplicates(["repo", "id"]).withColumn("indexed_at", F.current_timestamp()).withColumn("deleted_at", F.lit(None).cast("timestamp"))
-        self._replace("chunks", search.embed(cut(chunks), "text", self.embedder))
-        rows = self.table("chunks").where(F.col("repo") == r.id)
+        history = cut(chunking.commit_chunks(read("commits").dropDuplicates(["sha"])))
+        fresh = code.unionByName(history).dropDuplicates(["repo", "id"]).withColumn("indexed_at", F.current_timestamp()).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+        fresh = cut(fresh)
+        touched = listed.select(F.lit(r.id).alias("repo"), F.col("rel_path").alias("path")).distinct()
+        if old is None:
+            stay, known = None, None
+        else:
+            stay = old.join(touched, ["repo", "path"], "left_anti").join(fresh.select("repo", "id"), ["repo", "id"], "left_anti")
+            known = fresh.join(old.select("repo", "id", "vector").dropDuplicates(["repo", "id"]), ["repo", "id"])
+        added = cut(fresh if old is None else store.additions(fresh, old))
+        made = search.embed(added, "text", self.embedder)
+        whole = made
+        for part in (known, stay):
+            whole = whole if part is None else whole.unionByName(part.select(made.columns))
+        self._replace("chunks", whole, r.id)
+        self._renew_links(r, read, kept, fresh, history, touched, old is not None)
+        search.store_index(self.table("chunks").where(F.col("repo") == r.id), self._path("lexical"))
+        return kept.count(), added.count()
+
+    def _renew_links(self, r, read, kept: DataFrame, fresh: DataFrame, history: DataFrame, touched: DataFrame, partial: bool) -> None:
         wide = lambda d: d.select("repo", "src_chunk_id", "kind", "name", "line", *[(F.col(c) if c in d.columns else F.lit(None).cast("string")).alias(c) for c in ("dst_chunk_id", "url", "via", "norm", "path")])
-        blame = links.blame_links(rows, read("blame"), read("commits").join(history.select(F.col("symbol").alias("__s"), "id"), F.substring("sha", 1, 7) == F.col("__s")).select("repo", "sha", "id"))
-        declared = manifests.manifest_links(kept).withColumn("line", F.lit(0))
-        parts = [links.symbol_links(rows), links.declared_keys(rows), links.read_ports(rows), blame, declared]
+        shas = read("commits").select("repo", "sha").distinct()
+        commits = self.table("chunks").where((F.col("repo") == r.id) & (F.col("kind") == "commit")).select("repo", "id", F.col("symbol").alias("__s"))
+        blamed = read("blame")
+        known = blamed.select("repo", "sha").unionByName(shas).distinct().join(commits, ["repo"]).where(F.substring("sha", 1, 7) == F.col("__s")).select("repo", "sha", "id")
+        blame = links.blame_links(fresh, blamed, known)
+        old = self._stored("links", r.id) if partial else None
+        # Manifests speak for the whole repository, so all of them are read when one has changed.
+        renewed = not partial or bool(touched.where(manifests.is_manifest(F.col("path"))).take(1))
+        parts = [links.symbol_links(fresh), links.declared_keys(fresh), links.read_ports(fresh), blame]
+        if renewed:
+            every = kept if not partial else files.examine(files.read_folder(self.spark, r.path, r.id).where(manifests.is_manifest(F.col("rel_path"))), r.ignore, r.formats).where("skip IS NULL")
+            parts.append(manifests.manifest_links(every).withColumn("line", F.lit(0)))
         for prefix, url in self.config.references:
-            found = rows.select("repo", "path", F.col("id").alias("src_chunk_id"), F.col("start_line").alias("line"), F.explode(T.tickets(F.col("text"), prefix, url)).alias("t"))
+            found = fresh.select("repo", "path", F.col("id").alias("src_chunk_id"), F.col("start_line").alias("line"), F.explode(T.tickets(F.col("text"), prefix, url)).alias("t"))
             parts.append(found.select("repo", "path", "src_chunk_id", "line", F.lit("references").alias("kind"), F.col("t.name").alias("name"), F.col("t.url").alias("url")))
-        every = reduce(DataFrame.unionByName, [wide(p) for p in parts]).withColumn("norm", F.coalesce("norm", T.normalised(F.col("name"))))
-        self._replace("links", links.current(every.withColumn("indexed_at", F.current_timestamp())))
+        rows = reduce(DataFrame.unionByName, [wide(p) for p in parts]).withColumn("norm", F.coalesce("norm", T.normalised(F.col("name")))).withColumn("indexed_at", F.current_timestamp())
+        if old is not None:
+            stay = old.join(touched, ["repo", "path"], "left_anti")
+            if renewed:
+                stay = stay.where(~F.col("src_chunk_id").startswith("manifest:"))
+            rows = rows.unionByName(stay.select(rows.columns))
+        self._replace("links", links.current(rows), r.id)
 
     # -- questions -----------------------------------------------------------
     def search(self, query: str, k: int = 20, repo: str | None = None, filters: store.SearchFilter | None = None, rewordings: int = 0) -> DataFrame:
@@ -121,7 +177,9 @@ class Workspace:
             near = search.nearest(wanted.withColumn("query_id", F.concat(F.lit("\n"), F.col("query_id").cast("string"))), pool, 6 * k, self.embedder.dim)
             key = F.split("row_id", "\t")
             arm = near.select(F.substring("query_id", 2, 20).cast("bigint").alias("query_id"), key[0].alias("repo"), key[1].alias("id"), F.col("similarity").alias("score"), "rank")
-            both = search.fuse(arm, search.lexical(chunks, some, 20 * k))
+            # The stored index answers for whole repositories; other choices of chunks are read.
+            words = search.lexical_stored(self.spark, self._path("lexical"), some, 20 * k, repo) if filters is None else search.lexical(chunks, some, 20 * k)
+            both = search.fuse(arm, words)
             fused.append(both.select("query_id", "repo", "id", "score", "rank"))
         ranked = search.fuse(*fused) if len(fused) > 1 else search.fuse(fused[0])
         rows = chunks.select("repo", "id", "path", "lang", "kind", "symbol", "start_line", "end_line", "text")

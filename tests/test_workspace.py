@@ -61,7 +61,24 @@ def test_index_search_and_reports(workspace):
     assert w.stats().first().searches == 1
     assert {r.rel_path: r.skip for r in w.explain("web").where("NOT rel_path LIKE '.git/%'").collect()} == {"app.js": None, "package.json": None}
     commit(root / "web", "More", more__js="export function another(a) {\n  return a;\n}\n")
-    assert [(r.repo, r.reason) for r in w.index().collect()] == [("web", "new commits")]
+    before = {(r.repo, r.path, r.id) for r in w.table("chunks").collect()}
+    pass_ = w.index().collect()
+    assert [(r.repo, r.reason, r.read) for r in pass_] == [("web", "new commits", 1)]
+    now = {(r.repo, r.path, r.id) for r in w.table("chunks").collect()}
+    assert before <= now and {p for _, p, _ in now - before if not p.startswith("commits/")} == {"more.js"} and pass_[0].embedded == len(now - before)
+    assert {(r.status, r.user, r.owner) for r in w.deps().collect()} == {("used", "web", "core")}
+    assert ("web", "mentions") in {(r.repo, r.kind) for r in w.references("retry_policy").collect()}
+    assert w.why("more.js:2").collect()[0].reason == "More"
+    # One file goes, one is renamed: their chunks follow, nothing that was stored is embedded again.
+    (root / "web" / "more.js").rename(root / "web" / "other.js")
+    commit(root / "web", "Move")
+    moved = w.index().collect()
+    paths = {r.path for r in w.table("chunks").where("repo = 'web' AND kind <> 'commit'").collect()}
+    assert moved[0].read == 1 and paths == {"app.js", "package.json", "other.js"}
+    (root / "web" / "other.js").rename(root / "web" / "more.js")
+    commit(root / "web", "Move back")
+    w.index()
+    assert w.forget() == 1 and w.table("searches").count() == 0
     w.reranker = OverlapReranker()
     assert {r.path for r in w.search_many(["another function"], 3, rewordings=1).collect()} & {"more.js"}
     before, after = w.compact("links")
