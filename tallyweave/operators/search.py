@@ -137,42 +137,42 @@ def _ranked(hits: DataFrame, stats: DataFrame, terms: DataFrame, k: int) -> Data
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Buckets that the terms of a stored index fall into.
-BUCKETS = 256
-
-
-def bucket_of(term: Column | str) -> Column:
-    return F.pmod(F.hash(term), F.lit(BUCKETS))
+#: Bytes of a row group of the stored index: the unit that is read or skipped.
+INDEX_GROUP = 8 << 20
 
 
 def store_index(chunks: DataFrame, path: str) -> None:
-    """Write the lexical index of chunks: postings by repository and term bucket, and the
-    statistics of every repository. Repositories that are not among the chunks stay."""
-    rows = postings(chunks).withColumn("bucket", bucket_of("term"))
-    replace = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    replace(rows.repartition("repo", "bucket").sortWithinPartitions("repo", "bucket", "term")).partitionBy("repo", "bucket").parquet(f"{path}/postings")
+    """Write the lexical index of chunks: postings by repository, in the order of their terms
+    and with a Bloom filter over them, and the statistics of every repository.
+    Repositories that are not among the chunks stay."""
+    replace = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo")
+    rows = postings(chunks).repartitionByRange("repo", "term").sortWithinPartitions("repo", "term")
+    replace(rows).option("parquet.block.size", INDEX_GROUP).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
     docs = chunks.where(F.col("kind") != "commit").select("repo", F.size(T.tokens(F.col("text"))).alias("length"))
-    replace(docs.groupBy("repo").agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("words"))).partitionBy("repo").parquet(f"{path}/stats")
+    replace(docs.groupBy("repo").agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("words"))).parquet(f"{path}/stats")
+
+
+def stored_postings(spark: SparkSession, path: str, terms: list[str] | None, repo: str | None = None) -> DataFrame:
+    """Postings of the named terms (null: all): files of other repositories are not opened,
+    row groups without the terms, by their bounds and Bloom filters, not read."""
+    rows = spark.read.schema("id string, length int, term string, tf bigint, repo string").parquet(f"{path}/postings")
+    if repo is not None:
+        rows = rows.where(F.col("repo") == repo)
+    return rows if terms is None else rows.where(F.col("term").isin(terms))
 
 
 def lexical_stored(spark: SparkSession, path: str, queries: DataFrame, k: int, repo: str | None = None) -> DataFrame:
-    """BM25 from a stored index, over all repositories or one: only the buckets of the asked
-    terms are read, and of those only the row groups that may hold them."""
+    """BM25 from a stored index, over all repositories or one."""
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query_text")))).alias("term")).distinct()
-    # Names of repositories stay strings whatever they look like.
-    kind = lambda first: f"{first}, repo string"
-    rows = spark.read.schema(kind("id string, length int, term string, tf bigint, bucket int")).parquet(f"{path}/postings")
-    stats = spark.read.schema(kind("docs bigint, words bigint")).parquet(f"{path}/stats")
-    if repo is not None:
-        rows, stats = rows.where(F.col("repo") == repo), stats.where(F.col("repo") == repo)
+    # The schema keeps names of repositories strings, whatever they look like.
+    stats = spark.read.schema("docs bigint, words bigint, repo string").parquet(f"{path}/stats")
+    stats = stats if repo is None else stats.where(F.col("repo") == repo)
     stats = stats.agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("docs")).alias("mean_length"))
     asked = terms.select("term").distinct()
     named = [r.term for r in asked.limit(MOST_NAMED + 1).collect()]
-    if len(named) <= MOST_NAMED:
-        buckets = [r.b for r in asked.select(bucket_of("term").alias("b")).distinct().collect()]
-        rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(named))
-    else:
-        rows = rows.join(asked, "term", "left_semi")
+    few = len(named) <= MOST_NAMED
+    rows = stored_postings(spark, path, named if few else None, repo)
+    rows = rows if few else rows.join(asked, "term", "left_semi")
     return _ranked(rows.select("term", "repo", "id", "length", "tf"), stats, terms, k)
 
 

@@ -186,7 +186,7 @@ def top_per_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("K08_stored_index", f"WITH {_BM25} SELECT query_id, repo, id, score, rank FROM lex WHERE rank <= 20")
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexical index written to the shared folder once, and searched by term bucket."""
+    """The lexical index written to the shared folder once, and searched by its terms."""
     path = shared_folder(spark, "lexical")
     search.store_index(live(spark, sf_dir), path)
     return search.lexical_stored(spark, path, questions(spark, sf_dir), 20)

@@ -218,7 +218,7 @@ def test_run_report_and_forgotten_log(spark, tmp_path):
     assert [tuple(r) for r in files.unclaimed_suffixes(seen).collect()] == [(".zzz", 2)]
 
 
-def test_stored_index_reads_only_the_asked_buckets(spark, tmp_path):
+def test_stored_index_reads_only_the_asked_terms(spark, tmp_path):
     texts = [("r", f"c{i}", "code", f"alpha beta word{i} " + "gamma " * (i % 5)) for i in range(60)] + [("r", "k", "commit", "alpha")]
     chunks = spark.createDataFrame(texts, "repo string, id string, kind string, text string")
     asked = spark.createDataFrame([(1, "gamma word7"), (2, "nothing here"), (3, "")], "query_id bigint, query_text string")
@@ -232,6 +232,5 @@ def test_stored_index_reads_only_the_asked_buckets(spark, tmp_path):
         assert {tuple(r) for r in search.lexical(chunks, asked, 5).collect()} == want
     finally:
         search.MOST_CELLS = old
-    rows = spark.read.parquet(str(tmp_path / "ix") + "/postings").where((F.col("bucket") == 3) & F.col("term").isin("gamma"))
-    plan = rows._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "In(term" in plan.replace("EqualTo(term", "In(term")
+    plan = search.stored_postings(spark, str(tmp_path / "ix"), ["gamma", "word7"], "r")._jdf.queryExecution().toString()
+    assert "In(term, [gamma,word7])" in plan and "(repo" in plan.split("PartitionFilters: [")[1].split("]")[0]
