@@ -165,20 +165,12 @@ def strangers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.strangers(f, domains.neighbours(f))
 
 
-@query("J16_co_change", """WITH r AS (SELECT DISTINCT l_orderkey AS sha, CAST(l_partkey AS VARCHAR) AS path FROM lineitem)
-    SELECT 'orders' AS repo, a.path AS left_path, b.path AS right_path, count(*) AS commits FROM r a JOIN r b ON a.sha = b.sha AND a.path < b.path GROUP BY a.path, b.path HAVING count(*) >= 2""")
+@query("J16_co_change", """WITH r AS (SELECT DISTINCT o_custkey AS sha, CAST(l_partkey AS VARCHAR) AS path FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+    SELECT 'orders' AS repo, a.path AS left_path, b.path AS right_path, count(*) AS commits FROM r a JOIN r b ON a.sha = b.sha AND a.path < b.path GROUP BY a.path, b.path HAVING count(*) >= 4""")
 def co_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts ordered together at least twice: an order is a commit, a part a file."""
-    rows = table(spark, sf_dir, "lineitem").select(F.lit("orders").alias("repo"), F.col("l_orderkey").alias("sha"), F.col("l_partkey").cast("string").alias("path"))
-    return domains.co_change(rows, least=2)
-
-
-@query("A09_blame_coupling", """WITH r AS (SELECT DISTINCT repo, name AS sha, path FROM links WHERE kind = 'blamed_by' AND repo IS NOT NULL AND name IS NOT NULL AND path IS NOT NULL)
-    SELECT a.repo, a.path AS left_path, b.path AS right_path, count(*) AS commits FROM r a JOIN r b ON a.repo = b.repo AND a.sha = b.sha AND a.path < b.path GROUP BY ALL HAVING count(*) >= 1""")
-def blame_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose lines come from the same commit."""
-    rows = table(spark, sf_dir, "links").where("kind = 'blamed_by' AND repo IS NOT NULL AND name IS NOT NULL AND path IS NOT NULL").select("repo", F.col("name").alias("sha"), "path")
-    return domains.co_change(rows, least=1)
+    """Parts bought by at least four of the same customers: a customer is a commit, a part a file."""
+    bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return domains.co_change(bought.select(F.lit("orders").alias("repo"), F.col("o_custkey").alias("sha"), F.col("l_partkey").cast("string").alias("path")))
 
 
 @query("A09_coupled", f"""WITH {_USABLE}, one AS (SELECT repo, path, min_by(package, vec_id) AS package, min_by(vector, vec_id) AS vector FROM usable GROUP BY repo, path),

@@ -116,9 +116,15 @@ def suffix_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "walked_files").select("repo", "rel_path").distinct().groupBy(F.lower(F.regexp_extract("rel_path", r"\.([^./]+)$", 1)).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S10_manifests")
+@query("S10_manifests", """WITH d AS (SELECT DISTINCT repo, name FROM links WHERE kind = 'depends_on' AND repo IS NOT NULL AND name IS NOT NULL)
+    SELECT DISTINCT repo, 'manifest:' || repo AS src_chunk_id, 'provides' AS kind, repo AS name, 'package.json' AS path FROM d
+    UNION ALL SELECT repo, 'manifest:' || repo, 'depends_on', name, 'package.json' FROM d WHERE name <> repo""")
 def manifest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.manifest_links(table(spark, sf_dir, "walked_files").where("content IS NOT NULL"))
+    """Links of the manifests that the stored dependencies would have been read from."""
+    needs = table(spark, sf_dir, "links").where("kind = 'depends_on' AND repo IS NOT NULL AND name IS NOT NULL").select("repo", "name").distinct()
+    asked = F.map_from_entries(F.collect_list(F.struct("name", F.lit("1"))))
+    made = needs.groupBy("repo").agg(asked.alias("dependencies")).select("repo", F.lit("package.json").alias("rel_path"), F.to_json(F.struct(F.col("repo").alias("name"), "dependencies")).alias("content"))
+    return manifests.manifest_links(made)
 
 
 @query("C02_markdown", r"""WITH f AS (SELECT repo, rel_path AS path, min_by(content, (-epoch_us(walked_at), content)) AS content FROM walked_files WHERE lang = 'markdown' AND content IS NOT NULL GROUP BY ALL),
@@ -163,10 +169,12 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.datasets(table(spark, sf_dir, "chunks"))
 
 
-@query("U05_unsearched", "SELECT DISTINCT repo FROM documents WHERE repo IS NOT NULL AND repo NOT IN (SELECT repo FROM chunks WHERE repo IS NOT NULL)")
+@query("U05_unsearched", "SELECT DISTINCT repo FROM (SELECT repo FROM documents UNION SELECT source FROM documents) WHERE repo IS NOT NULL AND repo NOT IN (SELECT repo FROM chunks WHERE repo IS NOT NULL)")
 def unsearched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = store.datasets(table(spark, sf_dir, "chunks"))
-    return table(spark, sf_dir, "documents").where("repo IS NOT NULL").select("repo").distinct().join(known, "repo", "left_anti")
+    """Of the repositories and sources that documents name, those that hold no chunks."""
+    docs = table(spark, sf_dir, "documents")
+    named = docs.select("repo").unionByName(docs.select(F.col("source").alias("repo"))).where("repo IS NOT NULL").distinct()
+    return named.join(store.datasets(table(spark, sf_dir, "chunks")), "repo", "left_anti")
 
 
 @query("K01_additions", f"WITH {LIVE} SELECT repo, count(*) AS n FROM live l WHERE indexed_at >= {_MID} AND NOT EXISTS (SELECT 1 FROM chunks o WHERE o.indexed_at < {_MID} AND o.repo = l.repo AND o.id = l.id) GROUP BY repo")
@@ -190,19 +198,24 @@ def remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.remove(store.live(rows), rows.where("deleted_at IS NOT NULL").select("repo", "id").where("repo IS NOT NULL AND id IS NOT NULL")).groupBy("repo").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("J05_moved", f"""WITH {LIVE}, o AS (SELECT * FROM chunks WHERE indexed_at < {_MID} AND repo IS NOT NULL AND id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, id ORDER BY indexed_at DESC NULLS LAST, path ASC NULLS LAST, start_line ASC NULLS LAST) = 1)
-    SELECT o.repo, o.id, o.start_line, l.start_line AS new_start FROM o JOIN live l ON l.repo = o.repo AND l.id = o.id WHERE o.start_line IS DISTINCT FROM l.start_line OR o.end_line IS DISTINCT FROM l.end_line""")
+@query("J05_moved", f"""WITH {LIVE} SELECT repo, id, start_line, start_line + 2 AS new_start FROM live WHERE path LIKE 'src/%'""")
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks whose lines went stale: the same content under new line numbers."""
-    rows = table(spark, sf_dir, "chunks")
-    old = store.live(rows.where(F.col("indexed_at") < _mid()).withColumn("deleted_at", F.lit(None).cast("timestamp")))
-    return store.moved(old, store.live(rows)).select("repo", "id", "start_line", "new_start")
+    """Chunks whose lines went stale: the same content, two lines added above it in the files of one folder."""
+    old = store.live(table(spark, sf_dir, "chunks"))
+    by = F.when(F.col("path").startswith("src/"), 2).otherwise(0)
+    fresh = old.withColumn("start_line", F.col("start_line") + by).withColumn("end_line", F.col("end_line") + by)
+    return store.moved(old, fresh).select("repo", "id", "start_line", "new_start")
 
 
-@query("X16_html_text")
+@query("X16_html_text", r"""SELECT coalesce(url, '') AS url, coalesce(doc_kind, 'none') AS title, array_to_string(list_filter(list_transform(list_concat([coalesce(doc_kind, 'none')], string_split(text, chr(10))),
+    lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS text FROM documents WHERE text IS NOT NULL""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as the readable part of the pages they would be."""
-    pages = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.coalesce("url", F.lit("")).alias("url"), F.concat(F.lit("<html><head><title>"), "doc_kind", F.lit("</title></head><body><p>"), "text", F.lit("</p></body></html>")).alias("html"))
+    """Texts as the readable part of pages with scripts, styles, comments, lists and entities."""
+    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    kind = F.coalesce("doc_kind", F.lit("none"))
+    head = F.concat(F.lit("<!doctype html><html><head><title> "), kind, F.lit("</title><style>p { color: red }</style></head><body><!-- <p>no</p> --><SCRIPT>var a = '<p>';</SCRIPT><h1 class='x'>"), kind, F.lit("</h1><ul><li>"))
+    html = F.concat(head, F.replace(safe, F.lit("\n"), F.lit("</li>\t<li>")), F.lit("</li></ul><br/></body></html>"))
+    pages = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
     return connectors.pages_to_documents(pages).select("url", "title", "text")
 
 

@@ -125,7 +125,7 @@ def blame_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.blame_links(rows, blame, none).select("repo", "path", "src_chunk_id", "name", "line")
 
 
-_DEPS = f"""WITH {CURRENT}, p AS (SELECT DISTINCT repo AS owner, name FROM cur WHERE kind = 'provides'), n AS (SELECT DISTINCT repo AS "user", name FROM cur WHERE kind = 'depends_on'),
+_DEPS = f"""WITH {CURRENT}, p AS (SELECT repo AS owner, name FROM cur WHERE kind = 'provides' UNION SELECT repo, repo FROM cur WHERE repo IS NOT NULL), n AS (SELECT DISTINCT repo AS "user", name FROM cur WHERE kind = 'depends_on'),
     declared AS (SELECT DISTINCT "user", owner FROM n JOIN p USING (name) WHERE "user" <> owner),
     owners AS (SELECT norm, repo AS owner, min(name) AS spelling FROM cur WHERE kind IN ('defines', 'declares') AND norm IS NOT NULL GROUP BY ALL),
     uses AS (SELECT DISTINCT norm, repo AS "user" FROM cur WHERE kind IN ('mentions', 'reads_key') AND norm IS NOT NULL),
@@ -133,9 +133,17 @@ _DEPS = f"""WITH {CURRENT}, p AS (SELECT DISTINCT repo AS owner, name FROM cur W
     counts AS (SELECT "user", owner, count(DISTINCT norm) AS names, array_to_string(list_sort(list_distinct(list(spelling)))[1:5], ',') AS examples FROM shared GROUP BY ALL)"""
 
 
+def packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current links, in which every repository provides the package of its own name."""
+    rows = current(spark, sf_dir)
+    own = rows.where("repo IS NOT NULL").select("repo").distinct()
+    made = own.select(*[(F.lit("provides") if c == "kind" else F.col("repo") if c in ("repo", "name") else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns])
+    return rows.unionByName(made)
+
+
 @query("J11_declared", _DEPS + ' SELECT "user", owner FROM declared')
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.declared_dependencies(current(spark, sf_dir))
+    return links.declared_dependencies(packaged(spark, sf_dir))
 
 
 @query("J12_shared_names", _DEPS + ' SELECT "user", owner, norm, spelling FROM shared')
@@ -148,7 +156,7 @@ def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'unused', d."user", d.owner, 0, '' FROM declared d WHERE NOT EXISTS (SELECT 1 FROM counts c WHERE d."user" = c."user" AND d.owner = c.owner))
     SELECT *, row_number() OVER (PARTITION BY status ORDER BY names DESC, "user", owner) AS place FROM u""")
 def dependency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.dependency_report(current(spark, sf_dir))
+    return links.dependency_report(packaged(spark, sf_dir))
 
 
 @query("J19_text_mentions", f"""WITH {LIVE}, {_REFS}, ln AS (SELECT repo, path, start_line, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS ls FROM live),
@@ -167,15 +175,24 @@ def symbol_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.symbol_links(store.live(table(spark, sf_dir, "chunks")))
 
 
-@query("X13_declared_keys")
+@query("X13_declared_keys", f"""WITH {LIVE}, l AS (SELECT repo, path, id, start_line, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS ls FROM live WHERE kind = 'config'),
+    n AS (SELECT repo, path, id, start_line + unnest(range(len(ls))) AS line, unnest(ls) AS content FROM l),
+    k AS (SELECT *, regexp_extract(content, '^\\s*(?:export\\s+)?["'']?([A-Za-z_][A-Za-z0-9_.\\-]*)["'']?\\s*[:=]', 1) AS key, regexp_extract(content, '["'']?\\b([0-9]{{2,5}}):[0-9]{{2,5}}\\b', 1) AS host, regexp_extract(content, '(?i)port["'']?\\s*[:=]\\s*["'']?([0-9]{{2,5}})\\b', 1) AS port FROM n),
+    u AS (SELECT DISTINCT repo, path, id AS src_chunk_id, CAST(line AS INTEGER) AS line, unnest([key, CASE WHEN contains(key, '.') THEN regexp_extract(key, '([^.]+)$', 1) END, host, port]) AS name FROM k)
+    SELECT repo, path, src_chunk_id, line, name, 'declares' AS kind, {_NORM.format('name')} AS norm FROM u WHERE length(name) >= 3""")
 def declared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.declared_keys(store.live(table(spark, sf_dir, "chunks")))
 
 
-@query("X12_ports_read", f"""WITH {LIVE}, f AS (SELECT DISTINCT repo, path, id AS src_chunk_id, start_line AS line, unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9_.\\-]+:([0-9]{{2,5}})', 1)) AS name FROM live WHERE kind = 'code')
+_ADDRESSED = "text || chr(10) || 'base = \"http://' || repo || '.example:' || CAST(8000 + start_line % 50 AS VARCHAR) || '/x\"'"
+
+
+@query("X12_ports_read", f"""WITH {LIVE}, f AS (SELECT DISTINCT repo, path, id AS src_chunk_id, start_line AS line, unnest(regexp_extract_all({_ADDRESSED}, 'https?://[A-Za-z0-9_.\\-]+:([0-9]{{2,5}})', 1)) AS name FROM live WHERE kind = 'code')
     SELECT repo, path, src_chunk_id, line, name FROM f""")
 def ports_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.read_ports(store.live(table(spark, sf_dir, "chunks"))).select("repo", "path", "src_chunk_id", "line", "name")
+    """Ports that code points at, in texts that end with an address of their repository."""
+    base = F.concat("text", F.lit('\nbase = "http://'), "repo", F.lit(".example:"), (F.lit(8000) + F.col("start_line") % 50).cast("string"), F.lit('/x"'))
+    return links.read_ports(store.live(table(spark, sf_dir, "chunks")).withColumn("text", base)).select("repo", "path", "src_chunk_id", "line", "name")
 
 
 @query("X02_normalised", f"SELECT DISTINCT name, {_NORM.format('name')} AS norm FROM links WHERE name IS NOT NULL")
@@ -188,6 +205,8 @@ def compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "links").where(T.is_compound(F.col("name"))).select("name").distinct()
 
 
-@query("X26_spellings")
+@query("X26_spellings", r"""WITH n AS (SELECT DISTINCT name FROM links WHERE kind = 'defines'), p AS (SELECT name, list_filter(string_split_regex(lower(name), '[_.\-]+'), lambda x: x <> '') AS parts FROM n),
+    c AS (SELECT name, parts, array_to_string(list_transform(parts, lambda x: upper(x[1]) || x[2:]), '') AS pascal FROM p)
+    SELECT DISTINCT name, unnest([name, pascal, lower(pascal[1]) || pascal[2:], upper(array_to_string(parts, '_'))]) AS spelling FROM c""")
 def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "links").where("kind = 'defines'").select("name").distinct().select("name", F.explode(T.spellings(F.col("name"))).alias("spelling"))
