@@ -96,8 +96,8 @@ def co_change(commit_files: DataFrame, least: int = LEAST_COMMITS, most_files: i
     rows = commit_files.select("repo", "sha", "path").distinct()
     sizes = rows.groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n"))
     small = rows.join(sizes.where(F.col("n") <= most_files).select("repo", "sha"), ["repo", "sha"])
-    lists = small.groupBy("repo", "sha").agg(F.array_sort(F.collect_list("path")).alias("p"))
-    pairs = lists.select("repo", "sha", F.posexplode("p").alias("i", "left_path"), "p").select("repo", "sha", "left_path", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("right_path"))
+    side = lambda name: small.select("repo", "sha", F.col("path").alias(name))
+    pairs = side("left_path").join(side("right_path"), ["repo", "sha"]).where(F.col("left_path") < F.col("right_path"))
     slices = F.ceil(F.col("n") / most_files)
     big = rows.join(sizes.where(F.col("n") > most_files).select("repo", "sha", slices.cast("bigint").alias("slices")), ["repo", "sha"]).withColumn("slice", F.pmod(F.xxhash64("path"), F.col("slices")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))

@@ -64,14 +64,16 @@ def pairs(prints: DataFrame, minimum: float = LEAST_JACCARD) -> DataFrame:
     """
     prints = cut(classes(prints))
     me = F.struct("repo", "id")
-    reps = prints.where(me == F.col("rep")).dropDuplicates(["rep"])
-    found = similar(reps.select(F.col("rep").alias("key"), "shingles"), minimum)
-    side = lambda t: reps.select(F.col("rep").alias(t), *[F.col(c).alias(f"{c}_{t}") for c in _PLACE], F.col("spread").alias(f"spread_{t}"))
+    # Numbers in the order of the representatives stand for them; the checkpoint keeps them fixed.
+    reps = cut(prints.where(me == F.col("rep")).dropDuplicates(["rep"]).orderBy("rep").withColumn("key", F.monotonically_increasing_id()))
+    found = similar(reps.select("key", "shingles"), minimum)
+    side = lambda t: reps.select(F.col("key").alias(t), *[F.col(c).alias(f"{c}_{t}") for c in _PLACE], F.col("spread").alias(f"spread_{t}"))
     apart = (F.col("repo_a") != F.col("repo_b")) | (F.col("path_a") != F.col("path_b"))
     cols = [f"{c}_{t}" for t in "ab" for c in _PLACE]
     across = found.join(side("a"), "a").join(side("b"), "b").where(apart | F.col("spread_a") | F.col("spread_b")).select(*cols, F.bround("jaccard", 3).alias("jaccard"))
-    copies = prints.where((me != F.col("rep")) & F.col("spread")).select(F.col("rep").alias("a"), *[F.col(c).alias(f"{c}_b") for c in _PLACE])
-    within = copies.join(side("a"), "a").select(*cols, F.lit(1.0).alias("jaccard"))
+    copies = prints.where((me != F.col("rep")) & F.col("spread")).select("rep", *[F.col(c).alias(f"{c}_b") for c in _PLACE])
+    first = reps.where("spread").select("rep", *[F.col(c).alias(f"{c}_a") for c in _PLACE])
+    within = copies.join(first, "rep").select(*cols, F.lit(1.0).alias("jaccard"))
     return across.unionByName(within)
 
 
