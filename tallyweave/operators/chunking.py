@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable, Iterator
+from importlib.metadata import entry_points
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -143,6 +144,17 @@ def register_chunker(lang: str, spans: Callable[[str, list[str]], list[Span]]) -
         _EXTRA[lang] = spans
 
 
+def load_plugins(group: str = "tallyweave.chunkers") -> list[str]:
+    """Register the languages that installed packages offer; what cannot be loaded is named."""
+    failed = []
+    for point in entry_points(group=group):
+        try:
+            register_chunker(point.name, point.load())
+        except Exception as e:  # a broken plug-in takes no other with it
+            failed.append(f"{point.name}: {e}")
+    return failed
+
+
 def _closes(lines: list[str], start: int) -> int:
     """Where a definition that begins at ``start`` ends: its braces balance again."""
     depth, opened = 0, False

@@ -326,6 +326,19 @@ class SeededEmbedder(Embedder):
         return out
 
 
+class LastTexts(Embedder):
+    """Another embedder whose last answer is kept: the same question asked again costs nothing."""
+
+    def __init__(self, inner: Embedder) -> None:
+        self.inner, self.dim = inner, inner.dim
+        self.last: tuple[list[str], list[list[float]]] | None = None
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if self.last is None or self.last[0] != texts:
+            self.last = (list(texts), self.inner.embed(texts))
+        return self.last[1]
+
+
 def embed(rows: DataFrame, column: str, embedder: Embedder) -> DataFrame:
     """Add a ``vector`` column; run after every filter that can drop rows."""
 

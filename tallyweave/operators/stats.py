@@ -87,3 +87,23 @@ def bench_verdict(now: Column, saved: Column) -> Column:
     """Against a saved run: within noise, slower or faster."""
     slack = F.greatest(saved * NOISE, F.lit(FLOOR_SECONDS))
     return F.when(now > saved + slack, "slower").when(now < saved - slack, "faster").otherwise("same")
+
+
+def exposition(name: str, histograms: DataFrame, labels: Sequence[str], counters: DataFrame | None = None) -> list[str]:
+    """Histograms (labels, le, n, total) and counters (labels, n) as lines of the text format that scrapers read.
+
+    One line per label set and bucket reaches the driver.
+    """
+    quote = lambda v: str(v).replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
+    marks = lambda r, *more: ",".join([*(f'{c}="{quote(r[c])}"' for c in labels if r[c] is not None), *more])
+    brace = lambda s: f"{{{s}}}" if s else ""
+    out = [f"# TYPE {name} histogram"]
+    for r in histograms.orderBy(*labels, F.asc_nulls_last("le")).collect():
+        bound = "+Inf" if r["le"] is None else f"{r['le']:g}"
+        out.append(f"{name}_bucket{brace(marks(r, f'le=\"{bound}\"'))} {r['n']}")
+        if r["le"] is None:
+            out += [f"{name}_sum{brace(marks(r))} {r['total']:g}", f"{name}_count{brace(marks(r))} {r['n']}"]
+    if counters is not None:
+        out.append(f"# TYPE {name}_total counter")
+        out += [f"{name}_total{brace(marks(r))} {r['n']}" for r in counters.orderBy(*labels).collect()]
+    return out

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from abc import ABC, abstractmethod
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from importlib.metadata import entry_points
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text as T
+from tallyweave.session import cut
 
 DOCUMENT = "url string, title string, text string, metadata map<string,string>"
 
@@ -44,6 +48,52 @@ def route(url: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
+def understood(url: Column, connectors: Sequence[Connector] | None = None) -> Column:
+    """The first registered connector that understands an address; null if none does."""
+    known = list(_CONNECTORS.values()) if connectors is None else list(connectors)
+
+    @F.pandas_udf("string")
+    def ask(urls: pd.Series) -> pd.Series:
+        return pd.Series([None if u is None else next((c.name for c in known if c.understands(u)), None) for u in urls], dtype=object)
+
+    return ask(url)
+
+
+def fetch(addresses: DataFrame, rules: Sequence[tuple[str, str]] = (), connectors: Sequence[Connector] | None = None) -> DataFrame:
+    """(url, title, text, metadata, failed): the documents of addresses, fetched where the rows lie.
+
+    Rules come first, then what the connectors say of themselves; an address that nobody
+    takes, or that cannot be fetched, is a row with its reason and strands no other.
+    """
+    known = {c.name: c for c in (_CONNECTORS.values() if connectors is None else connectors)}
+    routed = addresses.select("url").where(F.col("url").isNotNull()).distinct().withColumn("by", F.coalesce(route(F.col("url"), rules), understood(F.col("url"), list(known.values()))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for url, by in pdf.itertuples(index=False, name=None):
+                try:
+                    if by not in known:
+                        raise LookupError(f"no connector {by!r}" if by else "no connector understands it")
+                    out.append((*known[by].fetch(url), None))
+                except Exception as e:  # any failure of a connector is a reason, not an end
+                    out.append((url, None, None, {}, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["url", "title", "text", "metadata", "failed"])
+
+    return routed.mapInPandas(run, f"{DOCUMENT}, failed string")
+
+
+def load_plugins(group: str = "tallyweave.connectors") -> list[str]:
+    """Register the connectors that installed packages offer; what cannot be loaded is named."""
+    failed = []
+    for point in entry_points(group=group):
+        try:
+            register_connector(point.load()())
+        except Exception as e:  # a broken plug-in takes no other with it
+            failed.append(f"{point.name}: {e}")
+    return failed
+
+
 def pages_to_documents(pages: DataFrame) -> DataFrame:
     """(url, html) pages as documents; stays in the JVM."""
     return pages.select("url", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("text"), F.create_map(F.lit("type"), F.lit("html")).alias("metadata"))
@@ -98,5 +148,35 @@ def decoded(content_type: Column, body: Column) -> Column:
     return decode(content_type, body)
 
 
+def collisions(rendered: DataFrame) -> DataFrame:
+    """(path, documents): paths that more than one document claims."""
+    return rendered.groupBy("path").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > 1)
+
+
+def materialise(rendered: DataFrame, folder: str) -> DataFrame:
+    """Write (path, markdown) as files below a folder all executors share: (path, change).
+
+    Files whose content is the same are left alone; of documents that claim one path the
+    first in order of its content is written. A task that is run again writes the same.
+    """
+    one = rendered.groupBy("path").agg(F.min("markdown").alias("markdown"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, text in zip(pdf["path"], pdf["markdown"], strict=True):
+                target, data = Path(folder) / path, text.encode()
+                was = target.read_bytes() if target.is_file() else None
+                if was != data:
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    fresh = target.with_name(f".{target.name}.{os.getpid()}")
+                    fresh.write_bytes(data)
+                    fresh.replace(target)
+                out.append((path, "added" if was is None else "unchanged" if was == data else "updated"))
+            yield pd.DataFrame(out, columns=["path", "change"])
+
+    return cut(one.mapInPandas(run, "path string, change string"))
+
+
 def as_json(document: dict) -> str:
     return json.dumps(document, ensure_ascii=False, sort_keys=True)

@@ -27,7 +27,7 @@ SEARCHES = "searched_at timestamp, query_text string, k int, repo string, hits i
 class Workspace:
     def __init__(self, spark: SparkSession, config: Config, embedder: search.Embedder | None = None, reranker: search.Reranker | None = None) -> None:
         self.spark, self.config = spark, config
-        self.embedder, self.reranker = embedder or search.SeededEmbedder(), reranker
+        self.embedder, self.reranker = search.LastTexts(embedder or search.SeededEmbedder()), reranker
 
     # -- tables ---------------------------------------------------------
     def _path(self, name: str) -> str:
@@ -66,7 +66,19 @@ class Workspace:
 
     # -- index ------------------------------------------------------------
     def index(self) -> DataFrame:
-        """Read what changed and renew its chunks and links; (repo, reason, read, embedded, chunks) per repository read."""
+        """Read what changed and renew its chunks and links; (repo, reason, read, embedded, chunks) per repository read.
+
+        One pass at a time: while another one runs this is refused, not queued.
+        """
+        fs, lock = self._fs(self._path("writer.lock"))
+        if not fs.createNewFile(lock):
+            raise RuntimeError(f"another pass writes {self.config.store}; remove {lock} if none does")
+        try:
+            return self._index()
+        finally:
+            fs.delete(lock, False)
+
+    def _index(self) -> DataFrame:
         state, done = self._state(), []
         git.register(self.spark)
         for r in self.config.repositories:
@@ -171,7 +183,10 @@ class Workspace:
         fused = []
         for n in range(rewordings + 1):
             some = forms.where(F.col("n") == n).select("query_id", "query_text")
-            wanted = search.embed(some, "query_text", self.embedder).select("query_id", "vector")
+            # Questions are few and are embedded here, where the last answer is remembered.
+            texts = some.orderBy("query_id").collect()
+            vectors = self.embedder.embed([t.query_text for t in texts])
+            wanted = self.spark.createDataFrame([(t.query_id, v) for t, v in zip(texts, vectors, strict=True)], "query_id bigint, vector array<double>")
             # One string stands for (repo, id); query keys begin with a line feed, which no repository does.
             pool = chunks.select(F.concat_ws("\t", "repo", "id").alias("row_id"), "vector")
             near = search.nearest(wanted.withColumn("query_id", F.concat(F.lit("\n"), F.col("query_id").cast("string"))), pool, 6 * k, self.embedder.dim)

@@ -234,3 +234,22 @@ def test_stored_index_reads_only_the_asked_terms(spark, tmp_path):
         search.MOST_CELLS = old
     plan = search.stored_postings(spark, str(tmp_path / "ix"), ["gamma", "word7"], "r")._jdf.queryExecution().toString()
     assert "In(term, [gamma,word7])" in plan and "(repo" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_metrics_as_text(spark):
+    df = spark.createDataFrame([("a", 3.0), ("a", 30.0), ('q"', 9000.0)], "repo string, ms double")
+    text = stats.exposition("search_ms", stats.histogram(df, ["repo"], "ms", (5.0, 50.0)), ["repo"], stats.counters(df, ["repo"]))
+    assert text[0] == "# TYPE search_ms histogram" and 'search_ms_bucket{repo="a",le="5"} 1' in text and 'search_ms_bucket{repo="a",le="+Inf"} 2' in text
+    assert 'search_ms_count{repo="a"} 2' in text and 'search_ms_sum{repo="a"} 33' in text and 'search_ms_total{repo="q\\""} 1' in text
+
+
+def test_last_texts_are_remembered():
+    class Counting(search.SeededEmbedder):
+        calls = 0
+
+        def embed(self, texts):
+            Counting.calls += 1
+            return super().embed(texts)
+
+    e = search.LastTexts(Counting())
+    assert e.embed(["a"]) == e.embed(["a"]) and Counting.calls == 1 and e.embed(["b"]) != e.embed(["a"])

@@ -128,3 +128,33 @@ def test_charsets_of_responses(spark):
     assert [connectors.charset(t) for t in (None, "text/html", 'text/html; charset="latin-1"', "text/html; Charset=nonsense", "text/html; charset=rot_13", "x; charset=utf-32")] == ["utf-8", "utf-8", "latin-1", "utf-8", "utf-8", "utf-32"]
     df = spark.createDataFrame([("text/html; charset=latin-1", b"caf\xe9"), (None, b"caf\xc3\xa9"), ("x", b"\xff"), (None, None)], "t string, b binary")
     assert [r.x for r in df.select(connectors.decoded(df.t, df.b).alias("x")).collect()] == ["café", "café", "\ufffd", None]
+
+
+def test_fetching_routes_and_reports_failures(spark):
+    class Notes(connectors.Connector):
+        name = "notes"
+
+        def understands(self, url):
+            return url.startswith("note:")
+
+        def fetch(self, url):
+            if "bad" in url:
+                raise ValueError("gone")
+            return url, "T", f"text of {url}", {"by": "notes"}
+
+    df = spark.createDataFrame([("note:a",), ("note:bad",), ("ftp://x",), (None,), ("note:a",)], "url string")
+    got = {r.url: (r.text, r.failed) for r in connectors.fetch(df, connectors=[Notes()]).collect()}
+    assert got == {"note:a": ("text of note:a", None), "note:bad": (None, "gone"), "ftp://x": (None, "no connector understands it")}
+    ruled = connectors.fetch(df.limit(1), (("note:*", "other"),), [Notes()]).first()
+    assert ruled.failed == "no connector 'other'"
+
+
+def test_snapshot_on_disk(spark, tmp_path):
+    rows = [("a/x.md", "one"), ("a/y.md", "two"), ("a/y.md", "also")]
+    df = spark.createDataFrame(rows, "path string, markdown string")
+    assert [tuple(r) for r in connectors.collisions(df).collect()] == [("a/y.md", 2)]
+    assert {tuple(r) for r in connectors.materialise(df, str(tmp_path)).collect()} == {("a/x.md", "added"), ("a/y.md", "added")}
+    assert (tmp_path / "a/y.md").read_text() == "also"
+    changed = spark.createDataFrame([("a/x.md", "one"), ("a/y.md", "new")], "path string, markdown string")
+    assert {tuple(r) for r in connectors.materialise(changed, str(tmp_path)).collect()} == {("a/x.md", "unchanged"), ("a/y.md", "updated")}
+    assert connectors.load_plugins() == []

@@ -47,6 +47,11 @@ def test_index_search_and_reports(workspace):
     w, root = workspace
     assert {(r.repo, r.reason) for r in w.index().collect()} == {("core", "never indexed"), ("web", "never indexed")}
     assert w.index().count() == 0 and w.unsearched() == []
+    lock = root / "store" / "writer.lock"
+    lock.write_text("")
+    with pytest.raises(RuntimeError, match="another pass"):
+        w.index()
+    lock.unlink()
     rows = w.search("retry policy limit", k=5).orderBy("place").collect()
     assert rows and rows[0].path == "retry.py"
     assert {r.repo for r in w.search_many(["retry"], 5, repo="web").collect()} <= {"web"}
