@@ -388,28 +388,38 @@ def content_signs(text: str, lang: str | None, model: NameModel | None, memory:
         alike = max(bare.values(), default=0)
         if alike >= TEMPLATE_NAMES and alike >= TEMPLATE_SHARE * len(distinct):
             out.append("generated: template names")
-        mangled = used = foreign = styled = 0
-        judged = memory.setdefault(lang, {})
-        if len(judged) > 200_000:
-            judged.clear()
-        for n, times in distinct.items():
-            size_ = len(n)
-            known = judged.get(n)
-            if known is None:
-                known = judged[n] = (model.bits(n) > MANGLED_BITS, size_ > 4 and model.foreign(style_of(n)))
-            used += times
-            if known[0]:
-                mangled += times
-            elif size_ > 4:
-                styled += times
-                if known[1]:
-                    foreign += times
         # Squeezed text: a mangled file has hardly any white space or very long lines.
         squeezed = text.count(" ") + text.count("\n") + text.count("\t") < 0.08 * size or size > 400 * (text.count("\n") + 1)
-        if used and mangled >= MANGLED_SHARE * used and squeezed:
-            out.append("minified: mangled names")
-        if styled >= 20 and foreign >= FOREIGN_SHARE * styled:
-            out.append("vendored: foreign style")
+        styles = memory.setdefault((lang, "foreign"), {})
+        judged = memory.setdefault(lang, {})
+        if len(judged) + len(styles) > 400_000:
+            judged.clear(), styles.clear()
+        strange = 0
+        for n, times in distinct.items():
+            if len(n) > 4:
+                odd = styles.get(n)
+                if odd is None:
+                    odd = styles[n] = model.foreign(style_of(n))
+                if odd:
+                    strange += times
+        # Cross-entropies decide only where one of the two signs is still possible.
+        if squeezed or strange >= FOREIGN_SHARE * 20:
+            mangled = used = foreign = styled = 0
+            for n, times in distinct.items():
+                known = judged.get(n)
+                if known is None:
+                    known = judged[n] = model.bits(n) > MANGLED_BITS
+                used += times
+                if known:
+                    mangled += times
+                elif len(n) > 4:
+                    styled += times
+                    if styles[n]:
+                        foreign += times
+            if used and mangled >= MANGLED_SHARE * used and squeezed:
+                out.append("minified: mangled names")
+            if styled >= 20 and foreign >= FOREIGN_SHARE * styled:
+                out.append("vendored: foreign style")
     return out
 
 
