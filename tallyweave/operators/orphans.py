@@ -188,7 +188,8 @@ def cascade(children: DataFrame, record: Sequence[str], refs: Sequence[Reference
     narrow row per orphan reference.
     """
     spaces = _spaces(refs)
-    held = _references(children, record, refs, spaces)
+    # Every round reads the references again: narrow rows, hashed once.
+    held = cut(_references(children, record, refs, spaces))
     orphaned, hot = _orphaned(refs), _hot_keys(held.where("held"), hot_rows)
     depth = 0
     found = cut(_first_level(held, _parent_rows(spaces, spaces), orphaned, hot).withColumn("depth", F.lit(0)))
