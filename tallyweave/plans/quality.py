@@ -47,11 +47,10 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(orphans.orphan_links(table(spark, sf_dir, "links"), table(spark, sf_dir, "chunks")))
 
 
-_CHAIN = """rec AS (SELECT DISTINCT 'nation' AS kind, CAST(n_nationkey AS VARCHAR) AS id, 'region' AS up_kind, CAST(n_regionkey AS VARCHAR) AS up FROM nation
-        UNION SELECT 'customer', CAST(c_custkey AS VARCHAR), 'nation', CAST(c_nationkey AS VARCHAR) FROM customer
-        UNION SELECT 'order', CAST(o_orderkey AS VARCHAR), 'customer', CAST(o_custkey AS VARCHAR) FROM orders
-        UNION SELECT 'line', CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR), 'order', CAST(l_orderkey AS VARCHAR) FROM lineitem),
-    own AS (SELECT kind, id FROM rec UNION SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region WHERE r_name <> 'ASIA')"""
+_CHAIN = """rec AS (SELECT DISTINCT 'nation' AS kind, CAST(n_nationkey AS BIGINT) AS id, 'region' AS up_kind, CAST(n_regionkey AS BIGINT) AS up FROM nation
+        UNION SELECT 'customer', c_custkey, 'nation', c_nationkey FROM customer UNION SELECT 'order', o_orderkey, 'customer', o_custkey FROM orders
+        UNION SELECT 'line', l_orderkey * 100 + l_linenumber, 'order', l_orderkey FROM lineitem),
+    own AS (SELECT kind, id FROM rec UNION SELECT 'region', r_regionkey FROM region WHERE r_name <> 'ASIA')"""
 
 
 @query("p4_cascade", f"""
@@ -62,15 +61,15 @@ _CHAIN = """rec AS (SELECT DISTINCT 'nation' AS kind, CAST(n_nationkey AS VARCHA
 """)
 def p4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What hangs on one region that is taken out: a chain of nations, customers, orders and lines."""
-    text = lambda c: F.col(c).cast("string")
-    row = lambda name, kind, key, up_kind, up: table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), key.alias("id"), F.lit(up_kind).alias("up_kind"), up.alias("up"))
+    key = lambda c: F.col(c).cast("bigint")
+    row = lambda name, kind, id_, up_kind, up: table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), id_.alias("id"), F.lit(up_kind).alias("up_kind"), up.alias("up"))
     rows = (
-        row("nation", "nation", text("n_nationkey"), "region", text("n_regionkey"))
-        .unionByName(row("customer", "customer", text("c_custkey"), "nation", text("c_nationkey")))
-        .unionByName(row("orders", "order", text("o_orderkey"), "customer", text("o_custkey")))
-        .unionByName(row("lineitem", "line", F.concat_ws("/", text("l_orderkey"), text("l_linenumber")), "order", text("l_orderkey")))
+        row("nation", "nation", key("n_nationkey"), "region", key("n_regionkey"))
+        .unionByName(row("customer", "customer", key("c_custkey"), "nation", key("c_nationkey")))
+        .unionByName(row("orders", "order", key("o_orderkey"), "customer", key("o_custkey")))
+        .unionByName(row("lineitem", "line", key("l_orderkey") * 100 + key("l_linenumber"), "order", key("l_orderkey")))
     )
-    regions = table(spark, sf_dir, "region").where(F.col("r_name") != "ASIA").select(F.lit("region").alias("kind"), text("r_regionkey").alias("id"), F.lit(None).cast("string").alias("up_kind"), F.lit(None).cast("string").alias("up"))
+    regions = table(spark, sf_dir, "region").where(F.col("r_name") != "ASIA").select(F.lit("region").alias("kind"), key("r_regionkey").alias("id"), F.lit(None).cast("string").alias("up_kind"), F.lit(None).cast("bigint").alias("up"))
     record = ("kind", "id", "up_kind", "up")
     parents = orphans.Parents(rows.unionByName(regions), ("kind", "id"), record=record)
     found = orphans.cascade(rows, record, [orphans.Reference("up", ("up_kind", "up"), parents)])
