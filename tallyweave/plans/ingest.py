@@ -54,12 +54,15 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("t")).select("doc_id", "t.name", "t.url")
 
 
-@query("X18_document_path", r"""WITH u AS (SELECT doc_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS bare FROM documents WHERE url IS NOT NULL),
+_PATHS = r"""u AS (SELECT doc_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS bare FROM documents WHERE url IS NOT NULL),
     s AS (SELECT doc_id, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':([0-9]+)$', '-\1') AS host, regexp_extract(bare, '^[^/?]*([^?]*)', 1) AS path, regexp_replace(regexp_extract(bare, '\?(.*)$', 1), '[^A-Za-z0-9._=\-]', '_', 'g') AS query FROM u),
     p AS (SELECT *, list_filter(list_transform(string_split(path, '/'), lambda x: regexp_replace(regexp_replace(x, '[^A-Za-z0-9._=\-]', '_', 'g'), '^\.+$', '')), lambda x: x <> '') AS parts FROM s),
     n AS (SELECT *, CASE WHEN query = '' THEN parts WHEN len(parts) = 0 THEN [query] ELSE list_concat(parts[1:len(parts) - 1], [parts[len(parts)] || '-' || query]) END AS named FROM p),
-    o AS (SELECT doc_id, array_to_string(list_concat([CASE WHEN host = '' THEN 'unknown-host' ELSE regexp_replace(host, '[^A-Za-z0-9._=\-]', '_', 'g') END], CASE WHEN len(named) = 0 OR path LIKE '%/' THEN list_concat(named, ['index']) ELSE named END), '/') AS path FROM n)
-    SELECT doc_id, CASE WHEN path LIKE '%.md' THEN path ELSE path || '.md' END AS path FROM o""")
+    o AS (SELECT doc_id, array_to_string(list_concat([CASE WHEN host = '' THEN 'unknown-host' ELSE regexp_replace(host, '[^A-Za-z0-9._=\-]', '_', 'g') END], CASE WHEN len(named) = 0 OR path LIKE '%/' THEN list_concat(named, ['index']) ELSE named END), '/') AS path FROM n),
+    paths AS (SELECT doc_id, CASE WHEN path LIKE '%.md' THEN path ELSE path || '.md' END AS path FROM o)"""
+
+
+@query("X18_document_path", f"WITH {_PATHS} SELECT doc_id, path FROM paths")
 def document_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("url IS NOT NULL").select("doc_id", T.document_path(F.col("url")).alias("path"))
 
@@ -70,10 +73,12 @@ def route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(connectors.route(F.col("url"), rules).alias("connector")).groupBy("connector").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("X19_render")
+@query("X19_render", f"""WITH {_PATHS}, d AS (SELECT doc_id, url, regexp_extract(text, '^#+\\s*([^\\r\\n\\x{{85}}\\x{{2028}}\\x{{2029}}]*)', 1) AS title, text FROM documents WHERE url IS NOT NULL AND text IS NOT NULL)
+    SELECT p.path, md5('---' || chr(10) || 'url: ' || to_json(url) || chr(10) || 'title: ' || to_json(title) || chr(10) || '---' || chr(10) || text || chr(10)) AS digest FROM d JOIN paths p USING (doc_id)""")
 def render(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("url IS NOT NULL AND text IS NOT NULL")
-    return connectors.render(docs.select("url", F.regexp_extract("text", r"^#+\s*(.*)", 1).alias("title"), "text"))
+    made = connectors.render(docs.select("url", F.regexp_extract("text", r"^#+\s*(.*)", 1).alias("title"), "text"))
+    return made.select("path", F.md5(F.encode("markdown", "UTF-8")).alias("digest"))
 
 
 _EXAMINED = """f AS (SELECT DISTINCT repo, rel_path, size_bytes, content FROM walked_files),
