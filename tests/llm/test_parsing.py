@@ -127,3 +127,15 @@ def test_size_and_depth_are_no_matter_of_syntax():
     assert P.fault("json", "9" * 5000) is None and P.fault("python", "x = " + "9" * 5000 + "\n") is None
     assert P.fault("python", "x = " + "+".join(["a"] * 200_000) + "\n") is None and P.fault("python", "x = (" + "+".join(["a"] * 200_000) + "\n") is not None
     P.fault("toml", "a = " + "[" * 5000 + "]" * 5000 + "\n"), P.fault("yaml", "[" * 5000 + "]" * 5000 + "\n")
+
+
+def test_deep_toml_is_judged():
+    deep, table = "[" * 5000 + "1" + "]" * 5000, "{b=" * 3000 + "[\n'''x]''', # ]\n]" + "}" * 3000
+    for head in ("a = ", '[t."]"]\n"k=[" = "]" # [\nb = '):
+        for value in (deep, table):
+            assert P.fault("toml", head + value + "\nz = 1\n") is None
+            for bad in (value[:-1], value + "]", value + "\nz = \n", value.replace("1", "1 2").replace("'''x", "''x"), value[:-1] + ("}" if value[-1] == "]" else "]")):
+                assert P.fault("toml", head + bad + "\n") is not None, bad[-50:]
+    assert P.fault("toml", "a = [" + deep + ", {c = 1, c = 2}]\n") is not None
+    for shallow in ("a = [1, {b = [2, '#']}, \"\"\"q\"] \"\"\"\"\"]\n[c]\nd.e = 1\n", "a = '''x'''''\n"):
+        P._deep_toml(shallow)
