@@ -5,13 +5,16 @@ Every function takes a table of queries, so one plan answers many queries.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave.functions import numbers as N
 from tallyweave.functions import text as T
@@ -19,9 +22,12 @@ from tallyweave.session import cut
 
 #: Okapi parameters and the constant of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Up to so many query terms, and cells of queries by terms (4 bytes each), are sent to
-#: every executor; up to so many terms are named in the filter of a stored index.
-MOST_TERMS, MOST_CELLS, MOST_NAMED = 200_000, 50_000_000, 5_000
+#: Up to so many query terms, and pairs of a query and a term, are sent to every executor;
+#: up to so many terms are named in the filter of a stored index.
+MOST_TERMS, MOST_CELLS, MOST_NAMED = 200_000, 2_000_000, 5_000
+#: Documents that are packed into a row, that one task scores, and whose scores of a query are
+#: summed at once; sets of terms that are scored in one pass over the documents.
+BLOCK_DOCS, SLAB_DOCS, WIDE_DOCS, MOST_SETS = 1 << 14, 1 << 18, 1 << 15, 1 << 15
 #: At most this share of an answer is history.
 COMMIT_SHARE = 0.2
 
@@ -36,23 +42,50 @@ def postings(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _counted(terms: list[str]):
-    """Batches of (repo, id, words) to (repo, id, length, t, tf): the wanted terms by number."""
+#: The words of the lexical index, as ``T.tokens`` finds them in lower-case text.
+_WORDS = re.compile(r"\w+")
+
+
+def _counted(terms: list[str], kept: list[str]):
+    """Batches with a text to the kept columns with its length in words and the wanted terms, by number, with their counts."""
     number = {t: n for n, t in enumerate(terms)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             lengths, ts, tfs = [], [], []
-            for words in pdf["words"]:
+            for text in batch.column("text").to_pylist():
+                words = _WORDS.findall(text.lower()) if text is not None else []
                 found = Counter(n for n in map(number.get, words) if n is not None)
-                lengths.append(len(words))
+                lengths.append(None if text is None else len(words))
                 ts.append(list(found.keys()))
                 tfs.append(list(found.values()))
-            yield pd.DataFrame({"repo": pdf["repo"], "id": pdf["id"], "length": lengths, "t": ts, "tf": tfs})
+            made = [pa.array(lengths, pa.int32()), pa.array(ts, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "length", "t", "tf"])
 
     return run
 
 
+#: A row per block: how many documents and words it has; the documents that hold asked terms; and
+#: the postings: numbers of terms, places of documents within the block, counts.
+_BLOCK = "docs bigint, measured bigint, words bigint, repo array<string>, id array<string>, length array<int>, t array<int>, d array<int>, tf array<int>"
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(repo, id, length, t, tf) to blocks."""
+    for whole in batches:
+        for at in range(0, len(whole), BLOCK_DOCS):
+            pdf = whole.iloc[at : at + BLOCK_DOCS]
+            sizes = pdf["t"].map(len).to_numpy()
+            held = pdf[sizes > 0]
+            none = np.zeros(0, dtype=np.int32)
+            t, tf = (np.concatenate(held[c].to_numpy()) if len(held) else none for c in ("t", "tf"))
+            yield pd.DataFrame(
+                {"docs": [len(pdf)], "measured": [int(pdf["length"].count())], "words": [int(pdf["length"].sum())]}
+                | {c: [held[c].to_numpy()] for c in ("repo", "id")}
+                | {"length": [held["length"].to_numpy(np.int32)], "t": [t], "d": [np.repeat(np.arange(len(held), dtype=np.int32), sizes[sizes > 0])], "tf": [tf]}
+            )
+
+
 def _top(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k largest per row above ``least``, with all ties of the k-th."""
     width = sims.shape[1]
@@ -60,57 +93,113 @@ def _top(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray
     return np.nonzero((sims >= kth[:, None] - 1e-9) & (sims > least))
 
 
-def _scored(ids: list[int], weights: np.ndarray, idf: np.ndarray, mean: float, k: int, most: int = 512):
-    """BM25 of every query against batches of documents; k per query and batch leave."""
+def _scored(sets: list[np.ndarray], first: int, idf: np.ndarray, mean: float, k: int):
+    """BM25 of every set of terms, numbered from ``first``, over the blocks of a partition: of
+    the whole partition exactly the k best of every set leave, by score, repository and id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = np.array(ids, dtype=np.int64)
-        for whole in batches:
-            for at in range(0, len(whole), most):
-                pdf = whole.iloc[at : at + most]
-                sizes = pdf["t"].map(len).to_numpy()
-                if not sizes.sum():
+        blocks = [x for pdf in batches for x in pdf.itertuples() if len(x.id)]
+        if not blocks:
+            return
+        repo, name, length = (np.concatenate([getattr(x, c) for x in blocks]) for c in ("repo", "id", "length"))
+        n = len(name)
+        order = np.array(sorted(range(n), key=lambda i: (repo[i], name[i])), dtype=np.int64)
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        starts = np.cumsum([0, *(len(x.id) for x in blocks)])
+        doc = np.concatenate([place[at + x.d] for at, x in zip(starts, blocks, strict=False)])
+        t, tf = (np.concatenate([getattr(x, c) for x in blocks]).astype(np.int64) for c in ("t", "tf"))
+        gain = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[order][doc] / mean)))
+        key = t * n + doc
+        by = np.argsort(key)
+        key, doc, gain = key[by], doc[by], gain[by]
+        none = np.zeros(0), np.zeros(0, dtype=np.int64)
+        best, least = [none] * len(sets), np.full(len(sets), -1.0)
+        every = np.arange(len(idf)) * n
+        for at in range(0, n, WIDE_DOCS):
+            wide = min(WIDE_DOCS, n - at)
+            begin, end = np.searchsorted(key, every + at).tolist(), np.searchsorted(key, every + at + wide).tolist()
+            for g, terms in enumerate(sets):
+                runs = [(begin[x], end[x]) for x in terms if begin[x] < end[x]]
+                if not runs:
                     continue
-                t, tf = np.concatenate(pdf["t"].to_numpy()).astype(np.int64), np.concatenate(pdf["tf"].to_numpy()).astype(float)
-                row = np.repeat(np.arange(len(pdf)), sizes)
-                length = pdf["length"].to_numpy(float)[row]
-                present, column = np.unique(t, return_inverse=True)
-                gains = np.zeros((len(present), len(pdf)))
-                gains[column, row] = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
-                scores = weights[:, present] @ gains
-                q, d = _top(scores, k, 0.0)
-                yield pd.DataFrame({"query_id": asked[q], "repo": pdf["repo"].to_numpy()[d], "id": pdf["id"].to_numpy()[d], "score": scores[q, d]})
+                sums = np.bincount(np.concatenate([doc[a:b] for a, b in runs]) - at, np.concatenate([gain[a:b] for a, b in runs]), wide)
+                some = np.flatnonzero(sums > max(0.0, least[g] - 1e-6))
+                scores = np.round(sums[some], 6)
+                # Later documents have later names, so an equal score comes too late.
+                better = scores > least[g]
+                if better.any():
+                    scores, docs = np.concatenate([best[g][0], scores[better]]), np.concatenate([best[g][1], some[better] + at])
+                    if len(scores) >= k:
+                        top = np.lexsort((docs, -scores))[:k]
+                        scores, docs = scores[top], docs[top]
+                        least[g] = scores[-1]
+                    best[g] = scores, docs
+        for at in range(0, len(sets), 512):
+            part = best[at : at + 512]
+            docs = order[np.concatenate([d for _, d in part])]
+            numbers = np.repeat(np.arange(first + at, first + at + len(part)), [len(d) for _, d in part])
+            yield pd.DataFrame({"g": numbers, "repo": repo[docs], "id": name[docs], "score": np.concatenate([x for x, _ in part])})
 
     return run
 
 
-def lexical(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """BM25 top k per query: (query_id, repo, id, score, rank), over all chunks but commits."""
-    docs = chunks.where(F.col("kind") != "commit").select("repo", "id", T.tokens(F.col("text")).alias("words"))
-    return _lexical(docs, queries, k)
+def lexical(chunks: DataFrame, queries: DataFrame, k: int, current: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """BM25 top k per query: (query_id, repo, id, score, rank), over all chunks but commits.
 
+    ``current`` picks the rows that count; it sees them with their terms counted in
+    place of the text, so that no text is shuffled. A batch of queries of at most
+    MOST_TERMS terms and MOST_CELLS pairs is scored where the documents lie; a larger
+    one meets them in a shuffle.
+    """
+    terms = _terms(queries)
+    pairs = _few(terms)
+    if pairs is None:
+        rows = current(chunks) if current else chunks
+        return _lexical_joined(rows.where(F.col("kind") != "commit").select("repo", "id", T.tokens(F.col("text")).alias("words")), terms, k)
+    wanted = sorted(pairs["term"].unique())
+    kept = [c for c in chunks.columns if c != "text"] if current else ["repo", "id", "kind"]
+    schema = StructType([*(chunks.schema[c] for c in kept), *StructType.fromDDL("length int, t array<int>, tf array<int>")])
+    counted = chunks.select(*kept, "text").mapInArrow(_counted(wanted, kept), schema)
+    counted = (current(counted) if current else counted).where(F.col("kind") != "commit").select("repo", "id", "length", "t", "tf")
+    return _best(cut(counted.mapInPandas(_packed, _BLOCK)), pairs, wanted, k)
 
-def _lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """A batch of queries of at most MOST_TERMS terms and MOST_CELLS (query, term) cells is
-    scored where the documents lie, block by block; a larger one meets them in a shuffle."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query_text")))).alias("term")).distinct()
-    bound = terms.agg(F.count_distinct("term").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
-    if bound.terms > MOST_TERMS or bound.terms * bound.queries > MOST_CELLS:
-        return _lexical_joined(docs, terms, k)
-    pairs = terms.toPandas()
-    wanted, ids = sorted(pairs["term"].unique()), sorted(pairs["query_id"].unique().tolist())
-    number, place = {t: n for n, t in enumerate(wanted)}, {q: n for n, q in enumerate(ids)}
-    weights = np.zeros((len(ids), len(wanted)), dtype=np.float32)
-    weights[pairs["query_id"].map(place).to_numpy(int), pairs["term"].map(number).to_numpy(int)] = 1
-    counted = cut(docs.mapInPandas(_counted(wanted), "repo string, id string, length int, t array<int>, tf array<int>"))
-    stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean")).first()
+
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query_text")))).alias("term")).distinct()
+
+
+def _few(terms: DataFrame) -> pd.DataFrame | None:
+    """The pairs of queries and terms, null if there are too many to send them around."""
+    bound = terms.agg(F.count_distinct("term").alias("terms"), F.count(F.lit(1)).alias("pairs")).first()
+    return None if bound.terms > MOST_TERMS or bound.pairs > MOST_CELLS else terms.toPandas()
+
+
+def _best(blocks: DataFrame, pairs: pd.DataFrame, wanted: list[str], k: int, stats: DataFrame | None = None) -> DataFrame:
+    """The k best of every query from checkpointed blocks; queries of the same terms are scored once."""
+    spark = blocks.sparkSession
+    total = (blocks if stats is None else stats).agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("measured")).alias("mean")).first()
     df = np.zeros(len(wanted))
-    for t, n in counted.select(F.explode("t").alias("t")).groupBy("t").count().toLocalIterator():
+    for t, n in blocks.select(F.explode("t").alias("t")).groupBy("t").count().toLocalIterator():
         df[t] = n
-    idf = np.log(1.0 + (stats.docs - df + 0.5) / (df + 0.5))
-    scored = counted.mapInPandas(_scored(ids, weights, idf, stats.mean or 1.0, k), "query_id bigint, repo string, id string, score double").withColumn("score", F.round("score", 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "repo", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    idf = np.log(1.0 + ((total.docs or 0) - df + 0.5) / (df + 0.5))
+    number = {t: n for n, t in enumerate(wanted)}
+    numbers = pairs["term"].map(number).to_numpy(np.int64)
+    found = pairs.assign(t=numbers)[df[numbers] > 0].sort_values("t")
+    groups: dict[tuple, list[int]] = {}
+    for q, ts in found.groupby("query_id")["t"]:
+        groups.setdefault(tuple(ts), []).append(q)
+    sets = [np.array(ts) for ts in groups]
+    # Checkpointed partitions are read together, without a shuffle.
+    slabs = blocks.coalesce(max(spark.sparkContext.defaultParallelism, -(-(total.docs or 0) // SLAB_DOCS)))
+    scored = None
+    for at in range(0, max(1, len(sets)), MOST_SETS):
+        part = slabs.mapInPandas(_scored(sets[at : at + MOST_SETS], at, idf, total.mean or 1.0, k), "g bigint, repo string, id string, score double")
+        scored = part if scored is None else scored.unionByName(part)
+    order = Window.partitionBy("g").orderBy(F.desc("score"), "repo", "id")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = pd.DataFrame([(g, int(q)) for g, qs in enumerate(groups.values()) for q in qs], columns=["g", "query_id"], dtype="int64")
+    return ranked.join(F.broadcast(spark.createDataFrame(asked, "g bigint, query_id bigint")), "g").select("query_id", "repo", "id", "score", "rank")
 
 
 def _lexical_joined(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
@@ -266,10 +355,10 @@ def within_quota(ranked: DataFrame, k: int, share: float = COMMIT_SHARE) -> Data
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("__late")
 
 
-def fit(ranked: DataFrame, budget: int) -> DataFrame:
-    """The longest prefix of each answer whose token costs stay within the budget."""
+def fit(ranked: DataFrame, budget: int, cost: Column | None = None) -> DataFrame:
+    """The longest prefix of each answer whose token costs (null: those of its text) stay within the budget."""
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    spent = ranked.withColumn("spent", F.sum(T.token_cost(F.col("text"))).over(order))
+    spent = ranked.withColumn("spent", F.sum(T.token_cost(F.col("text")) if cost is None else cost).over(order))
     return spent.where(F.col("spent") <= budget)
 
 

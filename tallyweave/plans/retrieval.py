@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import numbers as N
 from tallyweave.functions import text as T
 from tallyweave.operators import search, stats, store
 from tallyweave.plans.registry import LIVE, query
-from tallyweave.session import shared_folder, table
+from tallyweave.session import cut, shared_folder, table
 
 #: The questions that the search queries answer: the words of the path, and the vector, of
 #: every file whose vec_id is divisible by 50.
@@ -23,6 +23,12 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.live(table(spark, sf_dir, "chunks"))
 
 
+def lexical(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int) -> DataFrame:
+    """The lexical arm over the live chunks; their terms are counted before any shuffle."""
+    rows = table(spark, sf_dir, "chunks").select("repo", "id", "kind", "path", "start_line", "indexed_at", "deleted_at", "text")
+    return search.lexical(rows, queries, k, store.live)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "file_vectors").select("vec_id", "repo", "path", "package", "vector").where(N.usable(F.col("vector"), 64)).distinct()
 
@@ -55,7 +61,7 @@ def vector_arm(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     those files meet their chunks.
     """
     one = files(spark, sf_dir).groupBy("repo", "path").agg(F.min_by("vector", "vec_id").alias("vector"), F.min("vec_id").alias("row_id"))
-    held = live(spark, sf_dir).select("repo", "path", "id")
+    held = narrow(spark, sf_dir).select("repo", "path", "id")
     rows = one.join(held.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     near = search.nearest(questions(spark, sf_dir).select("query_id", "vector"), rows.select("row_id", "vector"), k, 64, skip_self=False, ties=True)
     best = near.select("query_id", "row_id", F.col("similarity").alias("score")).join(one.select("row_id", "repo", "path"), "row_id")
@@ -66,7 +72,7 @@ def vector_arm(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 @query("T02_bm25", f"WITH {_BM25} SELECT query_id, repo, id, score, rank FROM lex WHERE rank <= 20")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lexical(live(spark, sf_dir), questions(spark, sf_dir), 20)
+    return lexical(spark, sf_dir, questions(spark, sf_dir), 20)
 
 
 @query("S14_vector_arm", f"WITH {LIVE}, {_USABLE}, {_Q}, {_VEC} SELECT query_id, repo, id, score, rank FROM vec WHERE rank <= 20")
@@ -81,7 +87,7 @@ _FUSED = f"""{_BM25}, {_VEC},
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuse(vector_arm(spark, sf_dir, 60), search.lexical(live(spark, sf_dir), questions(spark, sf_dir), 200))
+    return search.fuse(vector_arm(spark, sf_dir, 60), lexical(spark, sf_dir, questions(spark, sf_dir), 200))
 
 
 @query("A16_rrf", f"WITH {_FUSED} SELECT query_id, repo, id, fused, score, found_by, rank FROM fused")
@@ -94,8 +100,13 @@ _QUOTA = f"""{_FUSED}, kinded AS (SELECT f.query_id, f.repo, f.id, f.fused, f.fo
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS place FROM late)"""
 
 
-def answers(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    ranked = fused(spark, sf_dir).join(live(spark, sf_dir).select("repo", "id", "kind", "path", "start_line", "end_line", "lang", "symbol", "text"), ["repo", "id"])
+def narrow(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """The live chunks without their texts; what is made of a text (``more``) is made before the shuffle."""
+    return store.live(table(spark, sf_dir, "chunks").select("repo", "id", "kind", "path", "start_line", "indexed_at", "deleted_at", *more))
+
+
+def answers(spark: SparkSession, sf_dir: str, *more: Column, k: int = 10) -> DataFrame:
+    ranked = fused(spark, sf_dir).join(narrow(spark, sf_dir, *more).drop("start_line", "indexed_at", "deleted_at"), ["repo", "id"])
     return search.within_quota(ranked, k)
 
 
@@ -113,8 +124,8 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("F12_fit", f"""WITH {_QUOTA}, spent AS (SELECT query_id, repo, id, place, sum(CAST(ceil(length(text) / 3.0) AS BIGINT)) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS spent FROM placed WHERE place <= 10)
     SELECT query_id, repo, id, place, CAST(spent AS BIGINT) AS spent FROM spent WHERE spent <= 1500""")
 def fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = answers(spark, sf_dir).withColumn("rank", F.col("place"))
-    return search.fit(ranked, 1500).select("query_id", "repo", "id", "place", "spent")
+    ranked = answers(spark, sf_dir, T.token_cost(F.col("text")).alias("cost")).withColumn("rank", F.col("place"))
+    return search.fit(ranked, 1500, F.col("cost")).select("query_id", "repo", "id", "place", "spent")
 
 
 @query("F11_json", f"""WITH {_QUOTA} SELECT query_id, place, '{{"repo":"' || p.repo || '","path":"' || l.path || '","kind":"' || l.kind || '","score":' || CAST(CAST(round(p.fused * 10000) AS BIGINT) AS VARCHAR) || '}}' AS hit
@@ -128,17 +139,19 @@ def hit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M08_rerank")
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 12 k candidates scored again and fused with their former order."""
-    base = fused(spark, sf_dir).where(F.col("rank") <= 120)
+    base = cut(fused(spark, sf_dir).where(F.col("rank") <= 120).select("query_id", "repo", "id", "score", "rank"))
     texts = live(spark, sf_dir).select("repo", "id", "text")
-    scored = search.rerank(base.join(texts, ["repo", "id"]).join(questions(spark, sf_dir).select("query_id", "query_text"), "query_id"), search.OverlapReranker())
-    return search.fuse(base.select("query_id", "repo", "id", "score", "rank"), scored).select("query_id", "repo", "id", "rank", "found_by")
+    # The questions come first, so that the texts are not shuffled once more.
+    asked = base.select("query_id", "repo", "id").join(questions(spark, sf_dir).select("query_id", "query_text"), "query_id")
+    scored = search.rerank(asked.join(texts, ["repo", "id"]), search.OverlapReranker())
+    return search.fuse(base, scored).select("query_id", "repo", "id", "rank", "found_by")
 
 
 @query("M06_rewrite")
 def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rewording answered in one lexical pass, then fused per question."""
     forms = search.rewritings(questions(spark, sf_dir)).withColumn("form_id", F.col("query_id") * 100 + F.col("n"))
-    hits = search.lexical(live(spark, sf_dir), forms.select(F.col("form_id").alias("query_id"), "query_text"), 50)
+    hits = lexical(spark, sf_dir, forms.select(F.col("form_id").alias("query_id"), "query_text"), 50)
     per_question = hits.withColumn("arm", F.col("query_id") % 100).withColumn("query_id", F.floor(F.col("query_id") / 100))
     sums = per_question.groupBy("query_id", "repo", "id").agg(F.round(F.sum(N.reciprocal_rank(F.col("rank"))), 9).alias("fused"))
     order = Window.partitionBy("query_id").orderBy(F.desc("fused"), "repo", "id")

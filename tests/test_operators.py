@@ -253,3 +253,26 @@ def test_last_texts_are_remembered():
 
     e = search.LastTexts(Counting())
     assert e.embed(["a"]) == e.embed(["a"]) and Counting.calls == 1 and e.embed(["b"]) != e.embed(["a"])
+
+
+def test_lexical_search_keeps_only_the_best_of_each_task(spark):
+    """Many blocks and equal scores: exactly k of every query leave a partition, the first by repository and id."""
+    texts = [("r" if i % 3 else "q", f"c{i * 7919 % 1000:03}", "code", f"alpha {'beta ' * (i % 4)}{'gamma ' * (i % 2)}") for i in range(1000)] + [("r", "none", "code", None)]
+    chunks = spark.createDataFrame(texts, "repo string, id string, kind string, text string").repartition(8)
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "beta ALPHA"), (3, "gamma"), (4, "delta")], "query_id bigint, query_text string")
+    terms = search._terms(asked)
+    docs = chunks.select("repo", "id", search.T.tokens(F.col("text")).alias("words"))
+    want = sorted(map(tuple, search._lexical_joined(docs, terms, 5).collect()))
+    wide, search.WIDE_DOCS, block, search.BLOCK_DOCS = search.WIDE_DOCS, 100, search.BLOCK_DOCS, 30
+    try:
+        got = sorted(map(tuple, search.lexical(chunks, asked, 5).collect()))
+        pairs = search._few(terms)
+        numbered = {t: i for i, t in enumerate(sorted(pairs["term"].unique()))}
+        rows = chunks.where("text IS NOT NULL").select("repo", "id", "kind", "text").toPandas()
+        counted = next(search._counted(list(numbered), ["repo", "id"])(iter([search.pa.RecordBatch.from_pandas(rows)]))).to_pandas()
+        blocks = list(search._packed(iter([counted])))
+        left = search.pd.concat(search._scored([search.np.array([numbered["alpha"]])], 0, search.np.ones(len(numbered)), 3.0, 5)(iter(blocks)))
+    finally:
+        search.WIDE_DOCS, search.BLOCK_DOCS = wide, block
+    assert [tuple(r)[:3] for r in got] == [tuple(r)[:3] for r in want] and all(abs(a[3] - b[3]) < 2e-6 and a[4] == b[4] for a, b in zip(got, want, strict=True)) and len(got) == 15
+    assert len(blocks) > 30 and len(left) == 5
