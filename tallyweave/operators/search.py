@@ -6,7 +6,8 @@ Every function takes a table of queries, so one plan answers many queries.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -230,39 +231,100 @@ def _ranked(hits: DataFrame, stats: DataFrame, terms: DataFrame, k: int) -> Data
 INDEX_GROUP = 8 << 20
 
 
+_STORED = "block string, term string, doc array<int>, tf array<int>, id array<string>, length array<int>, repo string"
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(repo, id, text) in the order of the repositories to rows of the stored index, see ``store_index``."""
+    whole, words, numbers = pa.string(), pa.list_(pa.string()), pa.list_(pa.int32())
+
+    def rows(repo: str, ids: list[str], texts: list[str | None]) -> pa.RecordBatch:
+        docs, counts, lengths = defaultdict(list), defaultdict(list), []
+        for at, text in enumerate(texts):
+            found = _WORDS.findall(text.lower()) if text is not None else []
+            lengths.append(None if text is None else len(found))
+            for term, tf in Counter(found).items():
+                docs[term].append(at)
+                counts[term].append(tf)
+        blank, size = [None] * len(docs), len(docs) + 1
+        columns = [([uuid.uuid4().hex] * size, whole), ([None, *docs], whole), ([None, *docs.values()], numbers), ([None, *counts.values()], numbers), ([ids, *blank], words), ([lengths, *blank], numbers), ([repo] * size, whole)]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names=[c.split()[0] for c in _STORED.split(", ")])
+
+    repo, ids, texts = None, [], []
+    for batch in batches:
+        for r, i, t in zip(*(batch.column(c).to_pylist() for c in ("repo", "id", "text")), strict=True):
+            if ids and (r != repo or len(ids) == BLOCK_DOCS):
+                yield rows(repo, ids, texts)
+                ids, texts = [], []
+            repo = r
+            ids.append(i)
+            texts.append(t)
+    if ids:
+        yield rows(repo, ids, texts)
+
+
 def store_index(chunks: DataFrame, path: str) -> None:
-    """Write the lexical index of chunks: postings by repository, in the order of their terms
-    and with a Bloom filter over them, and the statistics of every repository.
-    Repositories that are not among the chunks stay."""
+    """Write the lexical index of chunks by repository, every file in the order of its terms and
+    with a Bloom filter over them, and the statistics of every repository. A row holds the
+    postings of a term in a block of documents: their places in the block, and counts; the row
+    without a term holds the ids and lengths of the block. Nothing is shuffled, so chunks of many
+    repositories should come in ranges of them. Repositories that are not among the chunks stay."""
     replace = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo")
-    rows = postings(chunks).repartitionByRange("repo", "term").sortWithinPartitions("repo", "term")
+    docs = chunks.where(F.col("kind") != "commit").select("repo", "id", "text").sortWithinPartitions("repo", "id")
+    rows = docs.mapInArrow(_indexed, _STORED).sortWithinPartitions("repo", "term")
     replace(rows).option("parquet.block.size", INDEX_GROUP).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
-    docs = chunks.where(F.col("kind") != "commit").select("repo", F.size(T.tokens(F.col("text"))).alias("length"))
-    replace(docs.groupBy("repo").agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("words"))).parquet(f"{path}/stats")
+    stored = stored_postings(chunks.sparkSession, path, [])
+    sizes = stored.select("repo", F.size("id").alias("docs"), F.filter("length", lambda x: x.isNotNull()).alias("x"))
+    sums = sizes.select("repo", "docs", F.size("x").alias("measured"), F.aggregate("x", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("words"))
+    replace(sums.groupBy("repo").agg(*(F.sum(c).alias(c) for c in ("docs", "measured", "words")))).parquet(f"{path}/stats")
 
 
 def stored_postings(spark: SparkSession, path: str, terms: list[str] | None, repo: str | None = None) -> DataFrame:
-    """Postings of the named terms (null: all): files of other repositories are not opened,
-    row groups without the terms, by their bounds and Bloom filters, not read."""
-    rows = spark.read.schema("id string, length int, term string, tf bigint, repo string").parquet(f"{path}/postings")
+    """Rows of the named terms (null: all), and of the documents: files of other repositories are not
+    opened, row groups without the terms, by their bounds and Bloom filters, not read."""
+    rows = spark.read.schema(_STORED).parquet(f"{path}/postings")
     if repo is not None:
         rows = rows.where(F.col("repo") == repo)
-    return rows if terms is None else rows.where(F.col("term").isin(terms))
+    return rows if terms is None else rows.where(F.col("term").isNull() | F.col("term").isin(terms) if terms else F.col("term").isNull())
+
+
+def _asked(terms: list[str]):
+    """The rows of a block of the stored index to a block for scoring."""
+    number = {t: n for n, t in enumerate(terms)}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs = pdf[pdf["term"].isna()].iloc[0]
+        found = pdf[pdf["term"].isin(number)]
+        none = np.zeros(0, dtype=np.int32)
+        d, tf = (np.concatenate(found[c].to_numpy()).astype(np.int32) if len(found) else none for c in ("doc", "tf"))
+        t = np.repeat(found["term"].map(number).to_numpy(np.int32), found["doc"].map(len).to_numpy(int)) if len(found) else none
+        held, d = np.unique(d, return_inverse=True)
+        lengths = np.array([0 if x is None or x != x else x for x in docs["length"]], dtype=np.int32)
+        return pd.DataFrame({"docs": [0], "measured": [0], "words": [0], "repo": [[docs["repo"]] * len(held)], "id": [np.asarray(docs["id"], dtype=object)[held]], "length": [lengths[held]], "t": [t], "d": [d.astype(np.int32)], "tf": [tf]})
+
+    return run
 
 
 def lexical_stored(spark: SparkSession, path: str, queries: DataFrame, k: int, repo: str | None = None) -> DataFrame:
     """BM25 from a stored index, over all repositories or one."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query_text")))).alias("term")).distinct()
+    terms = _terms(queries)
     # The schema keeps names of repositories strings, whatever they look like.
-    stats = spark.read.schema("docs bigint, words bigint, repo string").parquet(f"{path}/stats")
+    stats = spark.read.schema("docs bigint, measured bigint, words bigint, repo string").parquet(f"{path}/stats")
     stats = stats if repo is None else stats.where(F.col("repo") == repo)
-    stats = stats.agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("docs")).alias("mean_length"))
-    asked = terms.select("term").distinct()
-    named = [r.term for r in asked.limit(MOST_NAMED + 1).collect()]
-    few = len(named) <= MOST_NAMED
-    rows = stored_postings(spark, path, named if few else None, repo)
-    rows = rows if few else rows.join(asked, "term", "left_semi")
-    return _ranked(rows.select("term", "repo", "id", "length", "tf"), stats, terms, k)
+    pairs = _few(terms)
+    if pairs is None:
+        rows = stored_postings(spark, path, None, repo)
+        held = rows.where(F.col("term").isNotNull()).join(terms.select("term").distinct(), "term", "left_semi")
+        flat = held.select("repo", "block", "term", F.explode(F.arrays_zip("doc", "tf")).alias("x")).select("repo", "block", "term", F.col("x.doc").alias("doc"), F.col("x.tf").alias("tf"))
+        docs = rows.where(F.col("term").isNull()).select("repo", "block", F.posexplode(F.arrays_zip("id", "length")).alias("doc", "x")).select("repo", "block", "doc", F.col("x.id").alias("id"), F.col("x.length").alias("length"))
+        whole = stats.agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("measured")).alias("mean_length"))
+        return _ranked(flat.join(docs, ["repo", "block", "doc"]).select("term", "repo", "id", "length", "tf"), whole, terms, k)
+    wanted = sorted(pairs["term"].unique())
+    rows = stored_postings(spark, path, wanted if len(wanted) <= MOST_NAMED else None, repo)
+    if len(wanted) > MOST_NAMED:
+        asked = terms.select("term").distinct()
+        rows = rows.where(F.col("term").isNull()).unionByName(rows.join(asked, "term", "left_semi"))
+    return _best(cut(rows.groupBy("repo", "block").applyInPandas(_asked(wanted), _BLOCK)), pairs, wanted, k, stats)
 
 
 def _block_search(k: int, dim: int, skip_self: bool, per: str | None):

@@ -201,7 +201,9 @@ def top_per_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical index written to the shared folder once, and searched by its terms."""
     path = shared_folder(spark, "lexical")
-    search.store_index(live(spark, sf_dir), path)
+    # In ranges of the repositories, which the choice of the live rows keeps, a block of the index is long.
+    rows = table(spark, sf_dir, "chunks").select("repo", "id", "kind", "path", "start_line", "indexed_at", "deleted_at", "text").repartitionByRange("repo", "id")
+    search.store_index(store.live(rows), path)
     return search.lexical_stored(spark, path, questions(spark, sf_dir), 20)
 
 

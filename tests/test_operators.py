@@ -276,3 +276,20 @@ def test_lexical_search_keeps_only_the_best_of_each_task(spark):
         search.WIDE_DOCS, search.BLOCK_DOCS = wide, block
     assert [tuple(r)[:3] for r in got] == [tuple(r)[:3] for r in want] and all(abs(a[3] - b[3]) < 2e-6 and a[4] == b[4] for a, b in zip(got, want, strict=True)) and len(got) == 15
     assert len(blocks) > 30 and len(left) == 5
+
+
+def test_stored_index_packs_the_postings_of_a_block(spark, tmp_path):
+    texts = [("r", f"c{i:03}", "code", f"alpha word{i % 9} " + "gamma " * (i % 5)) for i in range(300)] + [("s", "x", "code", None), ("s", "y", "code", "Alpha")]
+    chunks = spark.createDataFrame(texts, "repo string, id string, kind string, text string").coalesce(1)
+    search.store_index(chunks, str(tmp_path / "ix"))
+    rows = search.stored_postings(spark, str(tmp_path / "ix"), ["alpha"]).where("term IS NOT NULL").collect()
+    assert sorted((r.repo, len(r.doc), sum(r.tf)) for r in rows) == [("r", 300, 300), ("s", 1, 1)]
+    asked = spark.createDataFrame([(1, "gamma word7"), (2, "alpha")], "query_id bigint, query_text string")
+    want = [tuple(r) for r in search.lexical(chunks, asked, 5).orderBy("query_id", "rank").collect()]
+    cells, named = search.MOST_CELLS, search.MOST_NAMED
+    try:
+        for search.MOST_CELLS, search.MOST_NAMED in ((cells, named), (cells, 1), (1, named)):
+            assert [tuple(r) for r in search.lexical_stored(spark, str(tmp_path / "ix"), asked, 5).orderBy("query_id", "rank").collect()] == want
+    finally:
+        search.MOST_CELLS, search.MOST_NAMED = cells, named
+    assert len(want) == 10
