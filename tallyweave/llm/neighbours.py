@@ -7,12 +7,17 @@ vantage-point trees of their own. A query first searches its own cell. The
 distance of its k-th best there says which other cells may hold better ones: at a
 node the triangle inequality bounds how near anything on the far side can be, and
 the far side is skipped when that bound times ``relax`` exceeds the distance. Only
-the cells that are left see the query, and return only what is better. ``relax`` =
-1 restores exact search.
+the cells that are left see the query. ``relax`` = 1 restores exact search.
+
+The rows are written once, ordered by cell, to files in the shared folder. A task
+keeps a block of queries with their best so far and reads the files it needs one
+after the other, so neither a query nor a row is copied for a cell: what is written
+grows with the rows, only what is read grows with rows times blocks of queries.
 
 Blocks of queries walk a tree together: a node costs one matrix-vector product,
-a leaf one matrix product for the queries that still need it. Trees are walked in
-single precision; what they find is ranked by cosines in double precision.
+a leaf one matrix product for the queries that still need it. Products are in
+single precision and only rule out; what may be among the best is ranked by its
+cosine in double precision.
 
 Exact copies are searched once: one representative stands for all rows with the
 same vector, and up to k + 1 member ids travel with it, which is all that any
@@ -30,14 +35,17 @@ Defined results for odd input
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.session import cut
+from tallyweave.session import cut, shared_folder
 
 K = 10
 DIM = 64
@@ -46,7 +54,10 @@ DIM = 64
 #: thousand are missed, at 8 one in twenty.
 RELAX = 5.0
 SHARD_ROWS = 8192
-LEAF_ROWS = 512
+LEAF_ROWS = 4096
+#: Queries of one matrix product, columns that are looked at as one, and the errors
+#: in single precision of a product and of a distance (largest near zero).
+TILE_ROWS, GROUP, ROUNDING, SLACK = 1024, 16, 2e-6, 1e-3
 #: Vectors, at most about so many, on which the cells are laid out, and the least of
 #: them per cell; every row is assigned to a cell. So there are at most 1,024 cells.
 SAMPLE_ROWS, SAMPLE_PER_CELL = 16_384, 16
@@ -57,73 +68,116 @@ def usable(vector: Column, dim: int = DIM) -> Column:
     return F.coalesce((F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+class Best:
+    """The k best cosines of every query so far, with the ids they belong to (-1: none); of equals the smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.cos = np.full((queries, k), -np.inf)
+        self.who = np.full((queries, k), -1, dtype=np.int64)
+        self.worst = np.full(queries, -np.inf)
+
+    def offer(self, q: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> None:
+        """Take those (query, id, cosine) that belong among the best; in rounds of at most one per query."""
+        order = np.lexsort((ids, -cos, q))
+        q, ids, cos = q[order], ids[order], cos[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+        nth = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        for n in range(min(self.cos.shape[1], int(nth.max(initial=-1)) + 1)):
+            at = nth == n
+            i, x, c = q[at], ids[at], cos[at]
+            have = self.cos[i]
+            last = np.where(have == self.worst[i][:, None], self.who[i], -2)
+            slot = last.argmax(axis=1)
+            better = (c > self.worst[i]) | ((c == self.worst[i]) & (x < last.max(axis=1)))
+            i, slot = i[better], slot[better]
+            self.cos[i, slot], self.who[i, slot] = c[better], x[better]
+            self.worst[i] = self.cos[i].min(axis=1)
+
+
 class Tree:
-    """A vantage-point tree over the rows of a matrix of unit vectors."""
+    """A vantage-point tree over the rows of a matrix of unit vectors; ``exact`` are
+    the same rows in double precision, ``ids`` their ids (the row numbers)."""
 
-    def __init__(self, rows: np.ndarray, leaf: int = LEAF_ROWS, seed: int = 7) -> None:
+    def __init__(self, rows: np.ndarray, leaf: int = LEAF_ROWS, seed: int = 7, exact: np.ndarray | None = None, ids: np.ndarray | None = None) -> None:
         self.rows, self.leaf = rows, leaf
+        self.exact = rows if exact is None else exact
+        self.ids = np.arange(len(rows)) if ids is None else ids
         self.rng = np.random.default_rng(seed)
         self.visited = 0
+        self.room = np.empty(0, dtype=np.float32)  # products of a leaf, in memory that is used again
         self.root = self._build(np.arange(len(rows)))
 
-    def _build(self, ids: np.ndarray):
-        if len(ids) <= self.leaf:
-            return ids, self.rows[ids]
+    def _end(self, at: np.ndarray):
+        """A leaf: its row numbers, and its rows with as many zeros as fill the last group."""
+        return at, np.concatenate([self.rows[at], np.zeros((-len(at) % GROUP, self.rows.shape[1]), dtype=self.rows.dtype)])
+
+    def _build(self, at: np.ndarray):
+        if len(at) <= self.leaf:
+            return self._end(at)
         # The vantage point whose distances spread most, of a few tried on a few rows.
-        trial = ids[self.rng.integers(0, len(ids), 5)]
-        probe = ids[self.rng.integers(0, len(ids), 200)]
+        trial = at[self.rng.integers(0, len(at), 5)]
+        probe = at[self.rng.integers(0, len(at), 200)]
         spread = np.var(_distance(self.rows[probe], self.rows[trial].T), axis=0)
         point = self.rows[trial[int(np.argmax(spread))]]
-        d = _distance(self.rows[ids], point)
+        d = _distance(self.rows[at], point)
         radius = float(np.median(d))
         near = d <= radius
         if near.all() or not near.any():  # all at one distance: no cut can tell them apart
-            return ids, self.rows[ids]
-        return point, radius, self._build(ids[near]), self._build(ids[~near])
-
-    def search(self, queries: np.ndarray, k: int, relax: float, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers (-1: none) and cosines of the k best per query, unordered; of
-        those better than ``least`` where that is given."""
-        best = np.full((len(queries), k), -np.inf, dtype=np.float32)
-        if least is not None:
-            best[:] = least[:, None]
-        who = np.full((len(queries), k), -1, dtype=np.int64)
-        self._walk(self.root, queries, np.arange(len(queries)), best, who, relax)
-        return who, best
-
-    def _walk(self, node, queries, active, best, who, relax) -> None:
+            return self._end(at)
+        return point, radius, self._build(at[near]), self._build(at[~near])
+
+    def search(self, queries: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers (-1: none) and cosines of the k best per query, unordered."""
+        best = Best(len(queries), k)
+        self.improve(best, queries, queries, np.full(len(queries), -1), np.arange(len(queries)), relax)
+        return best.who, best.cos
+
+    def improve(self, best: Best, queries: np.ndarray, exact: np.ndarray, own: np.ndarray, active: np.ndarray, relax: float) -> None:
+        """Offer the rows to the queries numbered by ``active``; not the one with the query's own id."""
+        self._walk(self.root, best, (queries, exact, own), active, relax)
+
+    def _walk(self, node, best, asked, active, relax) -> None:
         if not len(active):
             return
         if len(node) == 2:
-            self._leaf(node, queries, active, best, who)
+            for a in range(0, len(active), TILE_ROWS):
+                self._leaf(node, best, asked, active[a : a + TILE_ROWS])
             return
         point, radius, inner, outer = node
-        d = _distance(queries[active], point)
+        d = _distance(asked[0][active], point)
         near = d <= radius
-        self._walk(inner, queries, active[near], best, who, relax)
-        self._walk(outer, queries, active[~near], best, who, relax)
-        worst = best[active].min(axis=1)
+        self._walk(inner, best, asked, active[near], relax)
+        self._walk(outer, best, asked, active[~near], relax)
+        worst = best.worst[active]
         reach = np.where(np.isfinite(worst), np.sqrt(np.maximum(0, 2 - 2 * worst)), np.inf)
-        far = np.abs(d - radius) * relax <= reach
-        self._walk(outer, queries, active[near & far], best, who, relax)
-        self._walk(inner, queries, active[~near & far], best, who, relax)
-
-    def _leaf(self, node, queries, active, best, who) -> None:
-        ids, rows = node
-        k = best.shape[1]
-        self.visited += len(ids) * len(active)
-        sims = queries[active] @ rows.T
-        better = sims.max(axis=1) > best[active].min(axis=1)
-        if not better.any():
+        far = np.abs(d - radius) * relax <= reach + SLACK
+        self._walk(outer, best, asked, active[near & far], relax)
+        self._walk(inner, best, asked, active[~near & far], relax)
+
+    def _leaf(self, node, best, asked, active) -> None:
+        at, rows = node
+        queries, exact, own = asked
+        self.visited += len(at) * len(active)
+        if self.room.size < len(active) * len(rows):
+            self.room = np.empty(len(active) * len(rows), dtype=np.float32)
+        sims = np.matmul(queries[active], rows.T, out=self.room[: len(active) * len(rows)].reshape(len(active), len(rows)))
+        floor = best.worst[active]
+        k, fresh = best.cos.shape[1], ~np.isfinite(floor)
+        if fresh.any() and len(at) > k + 1:  # one more than k, since the query itself may be a row
+            floor[fresh] = np.partition(sims[fresh, : len(at)], len(at) - k - 1, axis=1)[:, len(at) - k - 1]
+        floor = (floor - ROUNDING).astype(np.float32)[:, None]
+        # Columns that are ``width`` apart are one group; few groups hold anything better.
+        width = len(rows) // GROUP
+        q, g = np.nonzero(sims.reshape(len(active), GROUP, width).max(axis=1) > floor)
+        if not len(q):
             return
-        active, sims = active[better], sims[better]
-        width = min(k, sims.shape[1])
-        top = np.argpartition(-sims, width - 1, axis=1)[:, :width] if width < sims.shape[1] else np.tile(np.arange(width), (len(active), 1))
-        all_s = np.concatenate([best[active], np.take_along_axis(sims, top, 1)], axis=1)
-        all_w = np.concatenate([who[active], ids[top]], axis=1)
-        keep = np.argpartition(-all_s, k - 1, axis=1)[:, :k]
-        best[active] = np.take_along_axis(all_s, keep, 1)
-        who[active] = np.take_along_axis(all_w, keep, 1)
+        cols = g[:, None] + np.arange(GROUP) * width
+        some, which = np.nonzero(sims[q[:, None], cols] > floor[q])
+        q, r = q[some], cols[some, which]
+        q, r = active[q[r < len(at)]], at[r[r < len(at)]]
+        apart = self.ids[r] != own[q]
+        q, r = q[apart], r[apart]
+        best.offer(q, self.ids[r], np.einsum("ij,ij->i", exact[q], self.exact[r], dtype=np.float64))
 
 
 def _distance(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -190,7 +244,7 @@ class Cells:
                 cells.append(np.full(int((~home).sum()), node, dtype=np.int32))
             elif len(ids):
                 gap = _distance(units[ids], node[0]) - node[1]
-                far = np.abs(gap) * relax <= reach[ids]
+                far = np.abs(gap) * relax <= reach[ids] + SLACK
                 for child, here in ((node[2], gap <= 0), (node[3], gap > 0)):
                     keep = here | far
                     todo.append((child, ids[keep], (home & here)[keep]))
@@ -206,39 +260,58 @@ def _assign(cells: Cells, dim: int):
     return run
 
 
-def _route(cells: Cells, relax: float, dim: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                least = pdf["least"].to_numpy(float)
-                reach = np.sqrt(np.maximum(0, 2 - 2 * least)).clip(0, 4)
-                row, cell = cells.others(_units(pdf["packed"], dim).astype(np.float32), reach, relax)
-                yield pd.DataFrame({"rep": pdf["rep"].to_numpy()[row], "packed": pdf["packed"].to_numpy()[row], "least": least[row], "cell": cell})
+def _open(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder as Spark names it; it is one that all workers share."""
+    plain = re.sub(r"^file:/*", "/", folder)
+    return (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
 
-    return run
 
+def _load(place: tuple[fs.FileSystem, str], name: str, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, cells and unit vectors of a file of rows."""
+    where, folder = place
+    with where.open_input_file(f"{folder}/{name}") as f:
+        t = pq.read_table(f, columns=["rep", "cell", "packed"], use_threads=False)
+    return t["rep"].to_numpy(), t["cell"].to_numpy(), _units(t["packed"].to_pylist(), dim)
 
-def _search_block(k: int, relax: float, dim: int):
-    def run(key, shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({"rep": pd.Series([], dtype="int64"), "others": pd.Series([], dtype=object), "cos": pd.Series([], dtype=object)})
-        if not len(shard) or not len(block):
-            return nothing
-        shard = shard.sort_values("rep")
-        rows, queries = _units(shard["packed"], dim), _units(block["packed"], dim)
-        tree = Tree(rows.astype(np.float32))
-        least = block["least"].to_numpy(np.float32)
-        # One more than k, since a query finds itself in its own cell, and a few for ties in single precision.
-        who, _ = tree.search(queries.astype(np.float32), k + 4, relax, np.where(np.isfinite(least), least - np.float32(1e-6), -np.inf).astype(np.float32))
-        reps, own = shard["rep"].to_numpy(), block["rep"].to_numpy()
-        q, j = np.nonzero(who >= 0)
-        r = who[q, j]
-        apart = reps[r] != own[q]
-        q, r = q[apart], r[apart]
-        cos = np.einsum("ij,ij->i", queries[q], rows[r])
-        if not len(q):
-            return nothing
-        some, at = np.unique(q, return_index=True)
-        return pd.DataFrame({"rep": own[some], "others": np.split(reps[r], at[1:]), "cos": np.split(cos, at[1:])})
+
+def _search(folder: str, layout: list[tuple[str, list[int]]], cells: Cells, k: int, relax: float, dim: int):
+    """``layout``: the files in the order of their cells, with the cells each holds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = _open(folder)
+        for pdf in batches:
+            for block in pdf.itertuples():
+                reps, own, exact = (x[block.start : block.end] for x in _load(place, layout[block.file][0], dim))
+                queries, best = exact.astype(np.float32), Best(len(reps), k)
+                home = set(np.unique(own).tolist())
+                # Files from the block's own on and round, so that tasks do not all read the same one.
+                turn = [*range(block.file, len(layout)), *range(block.file)]
+
+                def offer(n, active) -> None:  # noqa: B023
+                    ids, at, rows = _load(place, layout[n][0], dim)  # noqa: B023
+                    for c in np.unique(at).tolist():
+                        mine = active(c)
+                        if len(mine):
+                            part = at == c
+                            Tree(rows[part].astype(np.float32), exact=rows[part], ids=ids[part]).improve(best, queries, exact, reps, mine, relax)  # noqa: B023
+
+                for n in turn:
+                    if home & set(layout[n][1]):
+                        offer(n, lambda c: np.flatnonzero(own == c))  # noqa: B023
+                if cells.count > 1:
+                    # What is short of k others bounds nothing: its reach is infinite.
+                    reach = np.sqrt(np.maximum(0, 2 - 2 * best.worst))
+                    row, cell = cells.others(queries, reach, relax)
+                    order = np.argsort(cell, kind="stable")
+                    row, ends = row[order], np.cumsum(np.bincount(cell, minlength=cells.count))
+                    asked = dict(enumerate(np.split(row, ends[:-1])))
+                    for n in turn:
+                        if any(len(asked[c]) for c in layout[n][1]):
+                            offer(n, asked.__getitem__)
+                q, j = np.nonzero(best.who >= 0)
+                some, at = np.unique(q, return_index=True)
+                if len(some):
+                    yield pd.DataFrame({"rep": reps[some], "others": np.split(best.who[q, j], at[1:]), "cos": np.split(best.cos[q, j], at[1:])})
 
     return run
 
@@ -252,77 +325,66 @@ def representatives(vectors: DataFrame, id_column: str, vector_column: str, k: i
     rows = (
         vectors.where(usable(F.col(vector_column), dim))
         .select(F.col(id_column).alias("id"), F.col(vector_column).alias("vector"))
-        .dropDuplicates()
         .withColumn("k1", F.xxhash64("vector"))
         .withColumn("k2", F.hash("vector", F.lit(1)))
     )
-    rows = cut(rows)
+    # Ids and vectors part here: only one vector of a group is moved.
+    members = cut(rows.select("id", "k1", "k2").distinct())
     first = Window.partitionBy("k1", "k2").orderBy("id")
-    reps = (
-        rows.withColumn("n", F.row_number().over(first))
+    heads = (
+        members.withColumn("n", F.row_number().over(first))
         .where(F.col("n") <= k + 1)
         .groupBy("k1", "k2")
-        .agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("vector", "id").alias("vector"))
+        .agg(F.array_sort(F.collect_list("id")).alias("ids"))
         .withColumn("rep", F.col("ids")[0])
     )
-    members = rows.select("id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep")
+    reps = heads.join(rows.groupBy("k1", "k2").agg(F.first("vector").alias("vector")), ["k1", "k2"])
+    members = members.join(heads.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep")
     return reps.select("rep", "ids", "vector"), members
 
 
 _FOUND = "rep bigint, others array<bigint>, cos array<double>"
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """(rep, other, cos): the k best of what the shards found."""
-    flat = found.select("rep", F.explode(F.arrays_zip("others", "cos")).alias("x")).select("rep", F.col("x.others").alias("other"), F.col("x.cos").alias("cos"))
-    order = Window.partitionBy("rep").orderBy(F.desc("cos"), "other")
-    return flat.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
-
-
-def _blocks(rows: DataFrame, queries: DataFrame, shard_rows: int, k: int, relax: float, dim: int) -> DataFrame:
-    """Every cell's rows against its queries, both in blocks of about ``shard_rows``.
-
-    The sizes of the cells, at most 1,024 rows on either side, tell how many blocks.
-    """
-    size = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias(name))
-    plan = F.broadcast(cut(size(rows, "shards").join(size(queries, "blocks"), "cell")))
-    spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    # Fresh names keep both sides apart, which come from one table.
-    fresh = lambda *c: [F.col(x).alias(x) for x in c]
-    left = rows.join(plan, "cell").select(*fresh("cell", "rep", "packed"), spot("shards").alias("shard"), every("blocks").alias("block"))
-    right = queries.join(plan, "cell").select(*fresh("cell", "rep", "packed", "least"), spot("blocks").alias("block"), every("shards").alias("shard"))
-    return left.groupBy("cell", "shard", "block").cogroup(right.groupBy("cell", "shard", "block")).applyInPandas(_search_block(k, relax, dim), _FOUND)
-
-
 def candidates(units: DataFrame, k: int, relax: float, dim: int, shard_rows: int) -> DataFrame:
-    """(rep, other, cos): the k best others of every packed vector (rep, packed)."""
+    """(rep, others, cos): the k best others of every packed vector (rep, packed), unordered."""
+    spark = units.sparkSession
     n = units.count()
+    if not n:
+        return spark.createDataFrame([], _FOUND)
     keep = max(1, n // SAMPLE_ROWS)
-    drawn = units.where(F.pmod(F.xxhash64("rep"), F.lit(keep)) == 0).select("packed").toPandas() if n else pd.DataFrame({"packed": []})
+    drawn = units.where(F.pmod(F.xxhash64("rep"), F.lit(keep)) == 0).select("packed").toPandas()
     sample = _units(drawn["packed"], dim).astype(np.float32) if len(drawn) else np.zeros((0, dim), dtype=np.float32)
     cells = Cells(sample, min(-(-n // shard_rows), SAMPLE_ROWS // SAMPLE_PER_CELL))
-    rows = cut(units.select("rep", "packed").mapInPandas(_assign(cells, dim), "rep bigint, packed binary, cell int"))
-    home = cut(_best(_blocks(rows, rows.withColumn("least", F.lit(float("-inf"))), shard_rows, k, relax, dim), k))
-    if cells.count == 1:
-        return home
-    # A cell with fewer than k others bounds nothing.
-    least = home.groupBy("rep").agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).otherwise(F.lit(float("-inf"))).alias("least"))
-    known = rows.select("rep", "packed").join(least, "rep", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    routed = cut(known.mapInPandas(_route(cells, relax, dim), "rep bigint, packed binary, least double, cell int"))
-    away = _blocks(rows, routed, shard_rows, k, relax, dim)
-    return _best(away.unionByName(home.groupBy("rep").agg(F.collect_list("other").alias("others"), F.collect_list("cos").alias("cos"))), k)
-
-
-def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "vector", k: int = K, relax: float = RELAX, dim: int = DIM, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(id, rank, other_id, similarity): the k most similar vectors of every one.
-
-    What is shuffled are the rows of a cell once for each block of the queries routed
-    to it, and each query once for each cell that its bound cannot exclude.
+    rows = units.select("rep", "packed").mapInPandas(_assign(cells, dim), "rep bigint, packed binary, cell int")
+    folder = shared_folder(spark, "vectors")
+    rows.repartitionByRange(-(-n // shard_rows), "cell", "rep").sortWithinPartitions("cell", "rep").write.option("maxRecordsPerFile", shard_rows).parquet(folder)
+    # One row per file and cell it holds: about two for each shard.
+    held = spark.read.parquet(folder).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "cell").count().collect()
+    files: dict[str, dict[int, int]] = {}
+    for r in sorted(held, key=lambda r: (r["cell"], r["file"])):
+        files.setdefault(r["file"], {})[r["cell"]] = r["count"]
+    layout = [(name, list(holds)) for name, holds in files.items()]
+    cores = spark.sparkContext.defaultParallelism
+    block = max(1, min(shard_rows, max(512, -(-n // (4 * cores)))))
+    blocks = [(i, a, a + block) for i, holds in enumerate(files.values()) for a in range(0, sum(holds.values()), block)]
+    tasks = spark.createDataFrame(spark.sparkContext.parallelize(blocks, len(blocks)), "file int, start int, end int")
+    return tasks.mapInPandas(_search(folder, layout, cells, k, relax, dim), _FOUND)
+
+
+def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "vector", k: int = K, relax: float = RELAX, dim: int = DIM, shard_rows: int = SHARD_ROWS, least: float | None = None) -> DataFrame:
+    """(id, rank, other_id, similarity): the k most similar vectors of every one;
+    where ``least`` is given, those of them that are at least so similar.
+
+    Nothing is shuffled or written per cell; every vector is moved by its hash, kept,
+    and laid out by cell, each once.
     """
     reps, members = representatives(vectors, id_column, vector_column, k, dim)
     units = cut(reps.mapInPandas(_pack, "rep bigint, ids array<bigint>, packed binary"))
-    best = candidates(units, k, relax, dim, shard_rows)
+    found = candidates(units, k, relax, dim, shard_rows)
+    best = found.select("rep", F.explode(F.arrays_zip("others", "cos")).alias("x")).select("rep", F.col("x.others").alias("other"), F.col("x.cos").alias("cos"))
+    if least is not None:  # what is less similar changes no rank of the others
+        best = best.where(F.col("cos") >= least)
     # Candidates of a representative: its own copies, then the copies of its neighbours.
     own = units.select("rep", "ids", F.lit(1.0).alias("cos"))
     theirs = best.join(units.select(F.col("rep").alias("other"), "ids"), "other").select("rep", "ids", "cos")
@@ -340,6 +402,6 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
 
 def near_pairs(vectors: DataFrame, least: float = 0.95, id_column: str = "vec_id", **how) -> DataFrame:
     """Pairs (smaller id, larger id) at least ``least`` similar, one of them in the other's list."""
-    rows = nearest(vectors, id_column, **how).where(F.col("similarity") >= least)
+    rows = nearest(vectors, id_column, least=least, **how).where(F.col("similarity") >= least)
     a, b = F.least(id_column, "other_id"), F.greatest(id_column, "other_id")
     return rows.select(a.alias(f"{id_column}_a"), b.alias(f"{id_column}_b")).distinct()

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 
 from tallyweave.llm import neighbours as V
@@ -79,3 +81,48 @@ def test_cells_route_without_loss_and_skip_what_is_far(spark):
         got.setdefault(r.vec_id, set()).add(r.other_id)
     m32 = m.astype(np.float32).astype(np.float64)
     assert [got[i] for i in range(3000)] == brute(m32, 5)
+
+
+def written(spark):
+    """Bytes of shuffles, and of what stands in the checkpoint folder."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    executors = context.statusStore().executorList(False)
+    folder = (spark.sparkContext.getCheckpointDir() or "/nowhere").removeprefix("file:")
+    kept = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    return kept + sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_what_is_written_does_not_grow_with_the_cells(spark):
+    """Vectors without clusters, so that every query needs most of the cells."""
+    m = np.random.default_rng(9).normal(size=(1200, 64))
+    table = frame(spark, enumerate(m))
+    took = []
+    for shard_rows in (1200, 60):
+        before = written(spark)
+        got = {}
+        for r in V.nearest(table, relax=1.0, shard_rows=shard_rows).collect():
+            got.setdefault(r.vec_id, set()).add(r.other_id)
+        took.append(written(spark) - before)
+        assert [got[i] for i in range(1200)] == brute(m.astype(np.float32).astype(np.float64), 10)
+    assert took[1] < 2 * took[0]
+
+
+def test_ties_beyond_k_go_to_the_smaller_ids(spark):
+    """Forty lengths of one direction are forty distinct vectors of equal cosine."""
+    v = np.random.default_rng(10).normal(size=8)
+    rows = [(i, v * 2.0 ** ((i * 7) % 40 - 20)) for i in range(40)] + [(100, -v)]
+    for shard_rows in (8192, 10):
+        by = {}
+        for r in V.nearest(frame(spark, rows), k=5, dim=8, shard_rows=shard_rows).collect():
+            by.setdefault(r.vec_id, {})[r.rank] = r.other_id
+        assert all([by[i][n] for n in range(1, 6)] == [x for x in range(6) if x != i][:5] for i in [*range(40), 100])
+
+
+def test_near_pairs_are_those_of_the_whole_lists(spark):
+    rng = np.random.default_rng(11)
+    m = np.repeat(rng.normal(size=(30, 8)), 20, axis=0) + 0.2 * rng.normal(size=(600, 8))
+    table = frame(spark, enumerate(m))
+    lists = V.nearest(table, k=5, dim=8, relax=1.0).where("similarity >= 0.95").collect()
+    want = {(min(r.vec_id, r.other_id), max(r.vec_id, r.other_id)) for r in lists}
+    assert want and {tuple(r) for r in V.near_pairs(table, k=5, dim=8, relax=1.0).collect()} == want
